@@ -29,7 +29,7 @@ FAN = 8
 #: Digests that one range's final run holds on average.
 RANGE_ROWS = 100_000
 _DROP = bytes([0x20, *range(0x09, 0x0E)])
-_DIGESTS = "doc_id long, n_points long, n_bytes long, digest binary"
+_DIGESTS = "doc_id long, mark long, n_points long, n_bytes long, digest binary"
 _RUNS = "part int, node int, digests binary, ids binary, points binary, sizes binary, lengths binary"
 
 
@@ -41,8 +41,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.sha256(bare).digest())
             lengths.append(len(bare))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pc.utf8_length(batch.column("text")).cast(pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.binary())],
-            names=["doc_id", "n_points", "n_bytes", "digest"],
+            [batch.column("doc_id"), batch.column("mark"), pc.utf8_length(batch.column("text")).cast(pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.binary())],
+            names=["doc_id", "mark", "n_points", "n_bytes", "digest"],
         )
 
 
@@ -107,16 +107,10 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row.
-
-    Texts are equal if they are identical without ``[\\x20\\x09-\\x0D]``. Of equal texts the row with the
-    most code points in its original text stays, then the smallest id. Defined cases: a null text is
-    empty, and all empty or blank texts are one group; a null id is larger than any other and comes back
-    as null; of rows that repeat id and text, all count, and one is kept; an empty table gives an empty
-    result. Other columns are ignored.
-    """
-    rows = cut(keyed(docs, id_col, text_col).mapInArrow(_digest, _DIGESTS), "digests")
+def _verdicts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """exact_dedup's rows with NO_ID for null, and ``mark``, a hash of the original text."""
+    marked = keyed(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    rows = cut(marked.mapInArrow(_digest, _DIGESTS), "digests")
     total = rows.count()
     ranges = max(64, -(-total // RANGE_ROWS))
     leaves = max(1, rows.rdd.getNumPartitions())
@@ -127,21 +121,32 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if leaves == 1:
             break
     best = runs.mapInArrow(_entries, "digest binary, keep_id long, group_size long")
-    repeat = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.desc("n_points")))
-    out = rows.withColumn("repeat", repeat).join(best, "digest").select(
+    repeat = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.desc("n_points"), "mark"))
+    return rows.withColumn("repeat", repeat).join(best, "digest").select(
         "doc_id",
+        "mark",
         "keep_id",
         "group_size",
         ((F.col("doc_id") == F.col("keep_id")) & (F.col("repeat") == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
-    return with_null_ids(out, "doc_id", "keep_id")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row.
+
+    Texts are equal if they are identical without ``[\\x20\\x09-\\x0D]``. Of equal texts the row with the
+    most code points in its original text stays, then the smallest id. Defined cases: a null text is
+    empty, and all empty or blank texts are one group; a null id is larger than any other and comes back
+    as null; of rows that repeat id and text, all count, and one is kept; an empty table gives an empty
+    result. Other columns are ignored.
+    """
+    return with_null_ids(_verdicts(docs, id_col, text_col).drop("mark"), "doc_id", "keep_id")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_kept_id"))
-    mine = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
-    out = docs.withColumn("_own_id", mine)
-    out = out.join(kept, out["_own_id"] == kept["_kept_id"], "left_semi")
-    return out.dropDuplicates(["_own_id", text_col]).drop("_own_id")
+    kept = _verdicts(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("mark").alias("_kept_mark"))
+    own = docs.withColumns({"_own_id": F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), "_own_mark": F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))})
+    out = own.join(kept, (own["_own_id"] == kept["_kept_id"]) & (own["_own_mark"] == kept["_kept_mark"]), "left_semi")
+    return out.dropDuplicates(["_own_id", "_own_mark"]).drop("_own_id", "_own_mark")
