@@ -51,8 +51,15 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), shingle=4, percent=85)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.suffix_dedup import remove_repeated_bytes
+
+    return remove_repeated_bytes(_documents(spark, sf_dir), with_text=False)
+
+
 QUERIES: dict[str, Query] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
