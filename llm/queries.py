@@ -39,6 +39,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_documents(spark, sf_dir))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.quality import quality_rules
+
+    return quality_rules(_documents(spark, sf_dir))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.substring_dedup import remove_repeated_passages
 
@@ -58,6 +64,7 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
