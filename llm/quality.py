@@ -28,10 +28,10 @@ LEAST_WORDS = 50
 #: Percent of words in repeated three-word windows beyond which a text fails.
 MOST_REPEATED = 50
 #: Median deviations that a measure may lie off its group's median.
-SPREADS = 8.0
+SPREADS = 7.0
 #: Least half-width of the bands, so that uniform groups don't reject their own variation: for characters
 #: per token as a share of the median, for fallback as a share of tokens, for entropy in bits.
-FLOORS = {"chars_per_token": 0.35, "fallback_share": 0.10, "token_entropy": 2.0}
+FLOORS = {"chars_per_token": 0.17, "fallback_share": 0.10, "token_entropy": 1.3}
 #: Groups of fewer rows are held against the bands of all rows of their script.
 LEAST_ROWS = 200
 CACHE_WORDS = 1_500_000

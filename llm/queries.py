@@ -51,6 +51,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(_documents(spark, sf_dir), with_text=False)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.toxicity import score_toxicity
+
+    return score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.jaccard_join import jaccard_components
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op6_toxicity": op6_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
