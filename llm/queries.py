@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from llm.license_scan import license_sql
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -51,6 +53,54 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(_documents(spark, sf_dir), with_text=False)
 
 
+def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.preference import format_preferences, pairs_of_conversations
+
+    return format_preferences(pairs_of_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+OP3_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, text,
+         '<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) AS head,
+         replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS body
+  FROM conversations WHERE conv_id IS NOT NULL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+         CASE WHEN role = 'assistant' THEN '1' ELSE '0' END AS flag FROM t
+), l AS (
+  SELECT conv_id, max(k) AS last FROM r WHERE role = 'assistant' GROUP BY conv_id
+), p AS (
+  SELECT a.conv_id, a.last, y.head AS h1, y.body AS b1, z.head AS h2, z.body AS b2, y.text IS NOT DISTINCT FROM z.text AS same
+  FROM l a JOIN l b ON b.conv_id = a.conv_id + 1
+  JOIN r y ON y.conv_id = a.conv_id AND y.k = a.last JOIN r z ON z.conv_id = b.conv_id AND z.k = b.last
+), s AS (
+  SELECT p.conv_id, count(r.k) AS n, coalesce(string_agg(r.head || r.body, '' ORDER BY r.k), '') AS prefix
+  FROM p LEFT JOIN r ON r.conv_id = p.conv_id AND r.k < p.last GROUP BY p.conv_id
+)
+SELECT p.conv_id AS pair_id, CASE WHEN same THEN n + 1 ELSE n END AS n_prompt_turns,
+       CASE WHEN same THEN prefix || h1 || b1 ELSE prefix END AS prompt,
+       CASE WHEN same THEN '' ELSE h1 || b1 END AS chosen,
+       CASE WHEN same THEN '' ELSE length(h1) || ':0 ' || length(b1) || ':1' END AS chosen_mask,
+       CASE WHEN same THEN '' ELSE h2 || b2 END AS rejected,
+       CASE WHEN same THEN '' ELSE length(h2) || ':0 ' || length(b2) || ':1' END AS rejected_mask,
+       NOT same AS usable
+FROM p JOIN s USING (conv_id)
+"""
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.sentencepiece_codec import encode_documents
+
+    return encode_documents(_documents(spark, sf_dir), with_ids=False)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.license_scan import scan_licenses
+
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.toxicity import score_toxicity
 
@@ -73,6 +123,9 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op3_preference_formatting": op3_preference_formatting,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op7_license_scan": op7_license_scan,
     "op6_toxicity": op6_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
@@ -80,5 +133,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_preference_formatting": OP3_SQL,
+    "op7_license_scan": license_sql(),
     "op9_exact_dedup": OP9_SQL,
 }
