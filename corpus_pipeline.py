@@ -1,4 +1,8 @@
-"""Corpus pipeline: the chosen operators in order, from documents to packed sequences."""
+"""Corpus pipeline: the chosen operators in order, from documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the shared
+folder and read again as the next stage's docs. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
-#: Tokenising and suffix sorting are beyond SQL; tests hold the stages against brute force.
+from llm.batches import cut
+from llm.exact_dedup import drop_copies
+from llm.jaccard_join import one_of_each_group
+from llm.packing import best_fit_pack
+from llm.quality import passing
+from llm.suffix_dedup import without_repeated_bytes
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and their language's fertility bands."""
+    return passing(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_copies(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return one_of_each_group(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that a document of smaller id has."""
+    return without_repeated_bytes(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts' tokens in sequences of at most 4096."""
+    return best_fit_pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Tokenising, vocabulary measures and best-fit packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs, f"stage-{name}")
     return docs
