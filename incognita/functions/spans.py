@@ -41,7 +41,7 @@ def rule_spans(text: Column, rule: Rule, number: int) -> Column:
 
 def luhn_valid(value: Column) -> Column:
     digits = F.regexp_replace(value, "[ -]", "")
-    return F.length(digits).between(13, 19) & F.luhn_check(digits)
+    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
 def all_spans(text: Column, extra: bool = False) -> Column:

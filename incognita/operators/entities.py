@@ -23,12 +23,11 @@ def floor_entities(texts: DataFrame, *keys: str, text: str = "text", extra: bool
     what is found there counts if it stands verbatim in the text, and decides the type."""
     raw = F.col(text)
     decoded = percent_decoded(raw)
-    once = distinct_entities(entities(raw, extra))
-    again = F.filter(distinct_entities(entities(decoded, extra)), lambda e: F.contains(raw, e["value"]))
-    late = F.transform(again, lambda e: e["value"])
-    both = F.concat(F.filter(once, lambda e: ~F.array_contains(late, e["value"])), again)
-    found = F.when(F.contains(raw, F.lit("%")) & (decoded != raw), both).otherwise(once)
-    return texts.select(*keys, F.explode(found).alias("e")).select(*keys, F.col("e.value").alias("value"), F.col("e.entity_type").alias("entity_type"))
+    copies = F.when(F.contains(raw, F.lit("%")) & (decoded != raw), F.array(raw, decoded)).otherwise(F.array(raw))
+    forms = texts.select(*keys, raw.alias("_raw"), F.posexplode(copies).alias("_form", "_text"))
+    found = forms.select(*keys, "_raw", "_form", F.explode(distinct_entities(entities(F.col("_text"), extra))).alias("e"))
+    found = found.where((F.col("_form") == 0) | F.contains("_raw", F.col("e.value")))
+    return found.groupBy(*keys, F.col("e.value").alias("value")).agg(F.max_by("e.entity_type", "_form").alias("entity_type"))
 
 
 def scope_pattern(value: Column) -> Column:
@@ -81,7 +80,7 @@ def without_wrappers(found: DataFrame, *keys: str) -> DataFrame:
     """Drops findings that wrap a precise floor value of the same row: ``label=value`` with a label of at most 24
     characters."""
     inner = found.where("is_floor").where(F.length("value") >= 6).select(*keys, F.col("value").alias("inner"))
-    rest = F.concat(F.substring_index(F.col("value"), F.col("inner"), 1), F.expr("substr(value, instr(value, inner) + length(inner))"))
+    rest = F.expr("concat(substr(value, 1, instr(value, inner) - 1), substr(value, instr(value, inner) + length(inner)))")
     label = rest.rlike(r"""(?U)^[\w.\-]{0,24}\s*["']?\s*[:=]?\s*["']?$""")
     wraps = (~F.col("is_floor")) & F.contains(F.col("value"), F.col("inner")) & (F.col("value") != F.col("inner")) & label
     bad = found.join(inner, list(keys)).where(wraps).select(*keys, "value").distinct()

@@ -62,9 +62,9 @@ def restored(texts: DataFrame, vault: DataFrame, *keys: str, text: str = "text",
     """texts with surrogates turned back, whatever their case, hyphens, white space or marks inside. Only the mappings
     whose tolerant form stands in a text's go to that text; those of a text are tried longest first. Noise marks
     of surrogates are dropped on both sides, so that paths with a tilde come back, too."""
-    forms = vault.select("surrogate", "original", projected(F.col("surrogate")).alias("_needle")).where("_needle <> ''")
+    forms = vault.select(F.col("surrogate").alias("_s"), F.col("original").alias("_o"), projected(F.col("surrogate")).alias("_needle")).where("_needle <> ''")
     hits = _candidates(texts.select(*keys, projected(F.col(text)).alias("_form")), forms, "_form", "_needle", bound)
-    pairs = hits.groupBy(*keys).agg(F.collect_set(F.struct("surrogate", "original")).alias("_pairs"))
+    pairs = hits.groupBy(*keys).agg(F.collect_set(F.struct("_s", "_o")).alias("_pairs"))
     joined = texts.join(pairs, list(keys), "left")
     columns = texts.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
@@ -73,7 +73,7 @@ def restored(texts: DataFrame, vault: DataFrame, *keys: str, text: str = "text",
         for batch in batches:
             new = []
             for value, found in zip(batch.column(text).to_pylist(), batch.column("_pairs").to_pylist(), strict=True):
-                new.append(restore_text(value, longest_first([(p["surrogate"], p["original"]) for p in found])) if value and found else value)
+                new.append(restore_text(value, longest_first([(p["_s"], p["_o"]) for p in found])) if value and found else value)
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else batch.column(c) for c in columns], names=columns)
 
     return joined.mapInArrow(run, schema)

@@ -199,7 +199,10 @@ def _anonymised(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
 
 
 # Entities of one text that hold one another are met longest first; else plain replacement in any order is the same.
-ANONYMISED = f"""{VAULT}, pairs AS (SELECT source, row_id, list([{{'o': original, 's': surrogate}}] ORDER BY length(original) DESC, original) AS l FROM kept JOIN vault ON vault.original = kept.value GROUP BY ALL),
+# A value that only stands inside a longer word is detected, but not replaced.
+BOUNDED = r"""regexp_matches({text}, CASE WHEN regexp_matches({value}, '^\w') THEN '(?:^|[^\w]|%[0-9a-fA-F]{{2}})' ELSE '' END || regexp_escape({value}) || CASE WHEN regexp_matches({value}, '\w$') THEN '(?:$|[^\w])' ELSE '' END)"""
+ANONYMISED = f"""{VAULT}, pairs AS (SELECT k.source, k.row_id, list([{{'o': original, 's': surrogate}}] ORDER BY length(original) DESC, original) AS l FROM kept k JOIN vault ON vault.original = k.value
+  JOIN texts t ON t.source = k.source AND t.row_id = k.row_id WHERE {BOUNDED.format(text="t.text", value="k.value")} GROUP BY ALL),
 anonymised AS (SELECT t.source, t.row_id, t.text AS before, CASE WHEN l IS NULL THEN t.text ELSE list_reduce(list_prepend([{{'o': '', 's': t.text}}], l), lambda a, b: [{{'o': '', 's': replace(a[1].s, b[1].o, b[1].s)}}])[1].s END AS text
   FROM texts t LEFT JOIN pairs p ON t.source = p.source AND t.row_id = p.row_id)"""
 _add(
@@ -226,14 +229,14 @@ def _checks(spark: SparkSession, d: str) -> DataFrame:
     return whole.join(secrets, list(KEYS), "left").join(bad, list(KEYS), "left").select(*KEYS, zero("n_secrets"), zero("n_leaks"), "roundtrip_ok")
 
 
-CHECKS = f"WITH {sql.FOUND} SELECT t.source, t.row_id, count(f.value) AS n_secrets, 0::BIGINT AS n_leaks, true AS roundtrip_ok FROM texts t LEFT JOIN (SELECT * FROM found WHERE NOT (source = 'tool' AND entity_type IN ('CIDR', 'IP_ADDRESS'))) f ON t.source = f.source AND t.row_id = f.row_id GROUP BY ALL"
+CHECKS = f"WITH {sql.FOUND} SELECT t.source, t.row_id, count(f.value) AS n_secrets, coalesce(sum((NOT {BOUNDED.format(text='t.text', value='f.value')})::INT), 0)::BIGINT AS n_leaks, true AS roundtrip_ok FROM texts t LEFT JOIN (SELECT * FROM found WHERE NOT (source = 'tool' AND entity_type IN ('CIDR', 'IP_ADDRESS'))) f ON t.source = f.source AND t.row_id = f.row_id GROUP BY ALL"
 _add("roundtrip_check", _checks, CHECKS)
 _add(
     "leak_check",
     lambda spark, d: (lambda s: audit.leaks(s[3], s[1], *KEYS))(_anonymised(spark, d)),
-    "SELECT 'documents' AS source, doc_id AS row_id, text AS value FROM documents WHERE false",
+    f"WITH {sql.FOUND} SELECT f.source, f.row_id, f.value FROM found f JOIN texts t ON t.source = f.source AND t.row_id = f.row_id WHERE NOT (f.source = 'tool' AND f.entity_type IN ('CIDR', 'IP_ADDRESS')) AND NOT {BOUNDED.format(text='t.text', value='f.value')}",
 )
-_add("verify_report", lambda spark, d: audit.report(_checks(spark, d)), f"SELECT count(*) AS n_texts, sum(n_secrets)::BIGINT AS n_secrets, sum(n_leaks)::BIGINT AS n_leaks, 0::BIGINT AS n_broken, true AS passed FROM ({CHECKS})")
+_add("verify_report", lambda spark, d: audit.report(_checks(spark, d)), f"SELECT count(*) AS n_texts, sum(n_secrets)::BIGINT AS n_secrets, sum(n_leaks)::BIGINT AS n_leaks, 0::BIGINT AS n_broken, sum(n_leaks) = 0 AS passed FROM ({CHECKS})")
 _add(
     "echo_probe",
     lambda spark, d: (lambda s: audit.echo_leaks(s[3], s[1].where("source <> 'tool'").where(F.length("value") > 12)))(_anonymised(spark, d)),
@@ -246,13 +249,13 @@ def _mangled(spark: SparkSession, d: str) -> DataFrame:
     vault = _vault(spark, d)[1].where("entity_type <> 'URL'")
     echoes = None
     for name in MANGLERS:
-        one = vault.select(F.lit(name).alias("mangler"), "original", "surrogate", mangled(F.col("surrogate"), name).alias("text"))
+        one = vault.select(F.lit(name).alias("mangler"), F.col("original").alias("wanted"), "surrogate", mangled(F.col("surrogate"), name).alias("text"))
         echoes = one if echoes is None else echoes.unionAll(one)
     echoes = cut(echoes, "echoes")
-    pair = F.array(F.struct("surrogate", "original"))
-    after = restored(echoes.select("mangler", "original", "text"), vault, "mangler", "original").withColumnRenamed("text", "back")
-    both = echoes.withColumn("naive", restored_exactly(F.col("text"), pair)).join(after, ["mangler", "original"])
-    rate = lambda c: F.sum(F.contains(F.col(c), F.col("original")).cast("long"))
+    pair = F.array(F.struct("surrogate", F.col("wanted").alias("original")))
+    after = restored(echoes.select("mangler", "wanted", "text"), vault, "mangler", "wanted").withColumnRenamed("text", "back")
+    both = echoes.withColumn("naive", restored_exactly(F.col("text"), pair)).join(after, ["mangler", "wanted"])
+    rate = lambda c: F.sum(F.contains(F.col(c), F.col("wanted")).cast("long"))
     return both.groupBy("mangler").agg(F.count("*").alias("n"), rate("naive").alias("naive_ok"), rate("back").alias("tolerant_ok"))
 
 
@@ -305,9 +308,9 @@ _add(
     _payload_leaks,
     f"""WITH {TURNS}, texts AS (SELECT 'conv' AS source, conv_id * 100 + turn AS row_id, text FROM turns), {sql._spans()},
 ranked AS (SELECT row_id, x.v AS value, x.t AS t, row_number() OVER (PARTITION BY row_id, x.v ORDER BY k) AS n FROM (SELECT row_id, unnest(c) AS x, unnest(range(len(c))) AS k FROM claims)),
-f AS (SELECT row_id // 100 AS conv_id, value FROM ranked WHERE n = 1 AND t NOT IN ('CIDR', 'IP_ADDRESS')
-  UNION SELECT conv_id, regexp_extract(text, 'auth=user%7C([0-9a-f]{{32}})%7Cend', 1) FROM turns WHERE contains(text, 'auth=user%7C'))
-SELECT c.conv_id, count(DISTINCT value) AS n_secrets, 0::BIGINT AS n_leaks FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id = c.conv_id GROUP BY ALL""",
+f AS (SELECT r.row_id // 100 AS conv_id, value, {BOUNDED.format(text="texts.text", value="value")} AS open FROM ranked r JOIN texts ON texts.row_id = r.row_id WHERE n = 1 AND t NOT IN ('CIDR', 'IP_ADDRESS')
+  UNION SELECT conv_id, regexp_extract(text, 'auth=user%7C([0-9a-f]{{32}})%7Cend', 1), true FROM turns WHERE contains(text, 'auth=user%7C'))
+SELECT c.conv_id, count(DISTINCT value) AS n_secrets, coalesce(sum((NOT open)::INT), 0)::BIGINT AS n_leaks FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id = c.conv_id GROUP BY ALL""",
 )
 
 
