@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from llm.batches import chunks, column_bytes, cut, keyed, with_null_ids
-from llm.vectext import BYTE_KEYS, IS_SPACE, prefix_sums, ragged, range_hash, unique_inverse
+from llm.vectext import BYTE_KEYS, IS_SPACE, RaggedCache, prefix_sums, ragged, range_hash, unique_inverse
 
 CAPACITY = 4096
 #: Id that closes each document.
 END_ID = 1
 #: Entries of a worker's cache of encoded units; it starts anew when full.
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 1_000_000
 #: Ranks inside one length are dealt over this many salts at least; each salt holds about SALT_ROWS of the longest list.
 SALTS, SALT_ROWS = 64, 200_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -64,34 +64,13 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[int, int] = {}
-        self.pool: list[np.ndarray] = []
-        self.counts: list[int] = []
-        self._flat = np.empty(0, np.uint32)
-        self._starts = np.zeros(1, np.int64)
+        self.cache = RaggedCache(CACHE_UNITS)
 
     def _encode(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, units: list[str]) -> None:
-        ids = self._encode(units)
-        base = len(self.counts)
-        self.known.update(zip(keys.tolist(), range(base, base + len(ids)), strict=True))
-        self.counts += map(len, ids)
-        self.pool.append(np.fromiter((x for row in ids for x in row), np.uint32, sum(map(len, ids))))
-
-    def _store(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.pool:
-            self._flat = np.concatenate([self._flat, *self.pool])
-            self.pool = []
-        counts = np.array(self.counts, np.int64)
-        return self._flat, np.cumsum(counts) - counts, counts
-
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents in a chunk end to end, and their n + 1 offsets."""
-        if len(self.counts) > CACHE_UNITS:
-            self.known.clear()
-            self.counts, self.pool, self._flat = [], [], np.empty(0, np.uint32)
         raw = data.tobytes()
         whole = np.zeros(len(bounds) - 1, dtype=bool)
         for token in self.special:
@@ -119,17 +98,15 @@ class UnitEncoder:
             starts, ends = starts[out], ends[out]
         hashes = range_hash(prefix_sums(BYTE_KEYS[low]), starts, ends)
         distinct, example, place = unique_inverse(hashes)
-        slots = list(map(self.known.get, distinct.tolist()))
-        new = [i for i, s in enumerate(slots) if s is None]
-        if new:
-            text = low.tobytes()
+        text = low.tobytes()
+
+        def make(new: np.ndarray) -> list[list[int]]:
             at = example[new]
-            self._learn(distinct[new], [text[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            slots = list(map(self.known.get, distinct.tolist()))
-        flat, first, count = self._store()
-        slot = np.array(slots, np.int64)[place] if len(place) else np.empty(0, np.int64)
-        lengths = count[slot]
-        ids = flat[ragged(first[slot], lengths)]
+            return self._encode([text[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+
+        first, count = self.cache.rows(distinct, make)
+        lengths = count[place]
+        ids = self.cache.flat[ragged(first[place], lengths)].astype(np.uint32)
         total = np.concatenate(([0], np.cumsum(lengths)))
         offsets = total[np.searchsorted(starts, bounds)]
         if not whole.any():
@@ -159,7 +136,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
             doc_ids = batch.column("doc_id").to_numpy()
             data, at = column_bytes(batch.column("text"))
             out: list[tuple] = []
-            for lo, hi, part, bounds in chunks(data, at):
+            for lo, hi, part, bounds in chunks(data, at, 1 << 20):
                 ids, offsets = tool.encode(part, bounds)
                 for i in range(hi - lo):
                     row = np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(END_ID)).astype("<u4")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from llm.batches import NO_ID, chunks, column_bytes, cut, with_null_ids
 from llm.packing import vocabulary_path
 from llm.substring_dedup import _maybe_twice
-from llm.vectext import BYTE_KEYS, cover, owner, prefix_sums, ragged, range_hash, unique_inverse, words_of
+from llm.vectext import BYTE_KEYS, RaggedCache, cover, owner, prefix_sums, ragged, range_hash, unique_inverse, words_of
 
 LEAST_WORDS = 50
 #: Percent of words in repeated three-word windows beyond which a text fails.
@@ -34,7 +34,8 @@ SPREADS = 7.0
 FLOORS = {"chars_per_token": 0.17, "fallback_share": 0.10, "token_entropy": 1.3}
 #: Groups of fewer rows are held against the bands of all rows of their script.
 LEAST_ROWS = 200
-CACHE_WORDS = 1_500_000
+#: Words that a worker keeps encoded.
+CACHE_WORDS = 1_000_000
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _ROWS = "doc_id long, mark long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, token_entropy double"
@@ -51,34 +52,19 @@ class WordCounter:
 
         self.tool = sentencepiece.SentencePieceProcessor(model_file=path)
         self.fallback = np.array([self.tool.is_byte(i) or self.tool.is_unknown(i) for i in range(self.tool.vocab_size())])
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.counts: list[int] = []
-        self.pool: list[np.ndarray] = []
-        self.flat = np.empty(0, np.int32)
+        self.cache = RaggedCache(CACHE_WORDS)
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the words end to end, and the number of tokens of each word."""
-        if len(self.counts) > CACHE_WORDS:
-            self._clear()
         distinct, example, place = unique_inverse(hashes)
-        slots = list(map(self.known.get, distinct.tolist()))
-        new = [i for i, s in enumerate(slots) if s is None]
-        if new:
-            raw, at = data.tobytes(), example[new]
-            ids = self.tool.encode([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], num_threads=1)
-            self.known.update(zip(distinct[new].tolist(), range(len(self.counts), len(self.counts) + len(new)), strict=True))
-            self.counts += map(len, ids)
-            self.pool.append(np.fromiter((x for row in ids for x in row), np.int32, sum(map(len, ids))))
-            slots = list(map(self.known.get, distinct.tolist()))
-        if self.pool:
-            self.flat = np.concatenate([self.flat, *self.pool])
-            self.pool = []
-        count = np.array(self.counts, np.int64)
-        slot = np.array(slots, np.int64)[place] if len(place) else np.empty(0, np.int64)
-        return self.flat[ragged((np.cumsum(count) - count)[slot], count[slot])], count[slot]
+        raw = data.tobytes()
+
+        def make(new: np.ndarray) -> list[list[int]]:
+            at = example[new]
+            return self.tool.encode([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], num_threads=1)
+
+        first, count = self.cache.rows(distinct, make)
+        return self.cache.flat[ragged(first[place], count[place])], count[place]
 
 
 _COUNTERS: dict[str, WordCounter] = {}
@@ -179,7 +165,7 @@ def _measured(docs: DataFrame, vocabulary: str) -> DataFrame:
         counter = _counter(vocabulary)
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
-            for lo, hi, part, bounds in chunks(data, at):
+            for lo, hi, part, bounds in chunks(data, at, 1 << 20):
                 found = measure(part, bounds, counter)
                 cols = [batch.column("doc_id").slice(lo, hi - lo), batch.column("mark").slice(lo, hi - lo), batch.column("lang").slice(lo, hi - lo), pa.array(_scripts(part, bounds), pa.string())]
                 for name, values in found.items():

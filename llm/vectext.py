@@ -119,3 +119,58 @@ def unique_inverse(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     place = np.empty(len(values), dtype=np.int64)
     place[order] = np.cumsum(head) - 1
     return ranked[head], order[head], place
+
+
+class RaggedCache:
+    """Integer rows by 64-bit key, kept in flat arrays: a sorted index, and a small dictionary of the newest keys
+    that is merged into it now and then. Starts anew when ``limit`` rows are held."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.empty(0, np.uint64)
+        self.slots = np.empty(0, np.int32)
+        self.recent: dict[int, int] = {}
+        self.flat = np.empty(1 << 16, np.int32)
+        self.first = np.zeros(1 << 14, np.int64)
+        self.size = 0
+
+    def _merge(self) -> None:
+        keys = np.concatenate((self.keys, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))))
+        slots = np.concatenate((self.slots, np.fromiter(self.recent.values(), np.int32, len(self.recent))))
+        order = np.argsort(keys)
+        self.keys, self.slots, self.recent = keys[order], slots[order], {}
+
+    def rows(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``flat`` and length of the row of each key (keys are distinct); make(places of unknown keys)
+        gives their rows as lists."""
+        if self.size > self.limit:
+            self._clear()
+        slot = np.full(len(keys), -1, np.int64)
+        if len(self.keys):
+            at = np.searchsorted(self.keys, keys)
+            at[at == len(self.keys)] = 0
+            hit = self.keys[at] == keys
+            slot[hit] = self.slots[at[hit]]
+        open_ = np.flatnonzero(slot < 0)
+        slot[open_] = [self.recent.get(k, -1) for k in keys[open_].tolist()]
+        new = open_[slot[open_] < 0]
+        if len(new):
+            made = make(new)
+            counts = np.fromiter(map(len, made), np.int64, len(made))
+            values = np.fromiter((x for row in made for x in row), np.int32, int(counts.sum()))
+            begin, end = int(self.first[self.size]), self.size + len(made)
+            while len(self.flat) < begin + len(values):
+                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+            while len(self.first) <= end:
+                self.first = np.concatenate((self.first, np.empty_like(self.first)))
+            self.flat[begin : begin + len(values)] = values
+            self.first[self.size + 1 : end + 1] = begin + np.cumsum(counts)
+            slot[new] = np.arange(self.size, end)
+            self.recent.update(zip(keys[new].tolist(), range(self.size, end), strict=True))
+            self.size = end
+            if len(self.recent) > 1 << 16:
+                self._merge()
+        return self.first[slot], self.first[slot + 1] - self.first[slot]
