@@ -9,11 +9,11 @@ few others; two similar sets share a shingle of both prefixes. Index lists hold
   compared with its lists' pivots: a linear number of pairs, whose exact overlaps
   are the pivots' answers and whose links form first components.
 * *Lists by block.* What may be left lies between different components. Lists
-  are cut into blocks by component and size; two blocks are skipped at once if
-  their sizes or smallest positions rule out the overlap. For the pairs of the
-  others, answers are derived from those of a common pivot (the distances to it
-  bound the pair's distance from both sides), and only pairs that stay open
-  are verified.
+  are cut into blocks by component, size and position; two blocks are skipped at once
+  if their sizes, their reach behind their positions or their overlaps with the list's pivot
+  rule the overlap out. For the pairs of the others, answers are derived from the
+  pivot's: what both share with it bounds what they share with each other from both
+  sides. Only pairs that stay open are verified.
 
 Identical sets are one class from the start, so copies cost one entry.
 """
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.batches import NO_ID, batch_count, by_bucket, census_width, chunks, cut, dealt, exchange, keyed, ordered_docs, pack_hashes, per_batch, shorten, split_runs, unpack_hashes
@@ -33,6 +33,8 @@ from llm.substring_dedup import _maybe_twice
 from llm.vectext import BYTE_KEYS, mix, owner, prefix_sums, range_hash, words_of
 
 SHINGLE, PERCENT = 5, 80
+#: Size and position classes of the blocks of an index list.
+LEVELS, PLACES = 32, 16
 _SETS = "doc_id long, n_shingles long, mark1 long, mark2 long, n_alone long, shingles binary, prefix array<long>"
 
 
@@ -190,6 +192,11 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_overlaps, "x long, y long, n_x long, n_y long, overlap long")
 
 
+def _level(size: Column, percent: int) -> Column:
+    """Size class: LEVELS of them span the sizes that can be similar to one."""
+    return F.floor(F.log(F.greatest(size.cast("double"), F.lit(1.0))) / F.lit(float(np.log(100 / percent)) / LEVELS))
+
+
 def _side(entries: DataFrame, side: str, *names: str) -> DataFrame:
     return entries.select("token", *[F.col(c).alias(f"{c}_{side}" if c != "doc_id" else side) for c in ("doc_id", "n", "pos", *names)])
 
@@ -227,43 +234,46 @@ def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     near = answers.where(linked).select("x", "y")
     parts = cut(connected(near), "components")
 
-    labelled = entries.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
-    labelled = labelled.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))))
+    # Each entry learns its overlap with its list's pivot P (in), and how many of its shingles that others have
+    # lie outside P (out). Two entries overlap in at most least(in) + least(out), and in at least in + in - |P|.
+    # An entry that was never compared may have all of its shared shingles on either side.
+    common = F.col("n") - F.col("n_alone")
+    labelled = (
+        entries.join(pivots.select("token", F.col("y").alias("pivot"), F.col("n_y").alias("n_pivot")), "token")
+        .join(answers.select(F.col("x").alias("doc_id"), F.col("y").alias("pivot"), "overlap"), ["doc_id", "pivot"], "left")
+        .join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+        .select(
+            "token", "doc_id", "n", "pos", "n_pivot", F.coalesce("component", "doc_id").alias("part"),
+            _level(F.col("n"), percent).alias("level"),
+            F.floor(F.lit(PLACES) * F.col("pos") / (F.col("n") * F.lit(1 - percent / 100) + 1)).alias("place"),
+            F.when(F.col("doc_id") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("overlap", common)).alias("in"),
+            F.when(F.col("doc_id") == F.col("pivot"), F.lit(0)).otherwise(F.coalesce(common - F.col("overlap"), common)).alias("out"),
+            (F.col("overlap").isNotNull() | (F.col("doc_id") == F.col("pivot"))).alias("compared"),
+        )
+    )
     mixed = labelled.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("token")
     labelled = cut(labelled.join(mixed, "token", "left_semi"), "open-lists")
-    blocks = labelled.groupBy("token", "part", "level").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"))
-    one = blocks.select("token", *[F.col(c).alias(f"{c}_x") for c in ("part", "level", "least", "most", "pos")])
-    two = blocks.select("token", *[F.col(c).alias(f"{c}_y") for c in ("part", "level", "least", "most", "pos")])
-    sizes = F.lit(percent) * (F.col("least_x") + F.col("least_y")) / F.lit(100 + percent) - F.lit(1e-9)
-    open_blocks = one.join(two, "token").where(
-        (F.col("part_x") < F.col("part_y"))
-        & (F.abs(F.col("level_x") - F.col("level_y")) <= 1)
-        & (F.least(F.col("most_x") - F.col("pos_x"), F.col("most_y") - F.col("pos_y")) >= sizes)
-    ).select("token", "part_x", "level_x", "part_y", "level_y")
+    keys = ["part", "level", "place"]
+    blocks = labelled.groupBy("token", *keys).agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("reach"), F.max("in").alias("in"), F.max("out").alias("out"))
+    one, two = (blocks.select("token", *[F.col(c).alias(f"{c}_{side}") for c in blocks.columns if c != "token"]) for side in ("x", "y"))
+    # A block meets only blocks of sizes that its own size and reach allow.
+    share = percent / 100
+    largest = F.least(F.col("most_x") / F.lit(share), F.col("reach_x") * F.lit((1 + share) / share) - F.col("n_x"))
+    one = one.withColumn("level_y", F.explode(F.sequence(_level(F.col("n_x") * F.lit(share), percent), F.greatest(_level(largest, percent), _level(F.col("n_x") * F.lit(share), percent)))))
+    within = F.least("in_x", "in_y") + F.least("out_x", "out_y") >= _needed(percent)
+    open_blocks = one.join(two, ["token", "level_y"]).where(
+        (F.col("part_x") < F.col("part_y")) & (F.least("reach_x", "reach_y") >= _needed(percent)) & within
+    ).select("token", *[f"{k}_{side}" for side in ("x", "y") for k in keys])
     rest = (
-        _side(labelled, "x", "part", "level")
-        .join(open_blocks, ["token", "part_x", "level_x"])
-        .join(_side(labelled, "y", "part", "level"), ["token", "part_y", "level_y"])
-        .where(_fits(percent))
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("n_x")).otherwise(F.col("n_y")).alias("n_x"), F.when(F.col("x") < F.col("y"), F.col("n_y")).otherwise(F.col("n_x")).alias("n_y"))
-        .distinct()
-    )
-    # Distances |A| + |B| - 2 overlap to common pivots bound the distance of a pair from both sides.
-    far = (F.col("n_x") + F.col("n_y") - 2 * F.col("overlap")).alias("far")
-    known = answers.select("x", "y", far)
-    known = known.unionAll(known.select(F.col("y"), F.col("x"), F.col("far"))).unionAll(known.select("x", F.col("x").alias("y"), F.lit(0).cast("long").alias("far"))).unionAll(known.select(F.col("y"), F.col("y").alias("x"), F.lit(0).cast("long").alias("far"))).distinct()
-    to_x = known.select("x", F.col("y").alias("pivot"), F.col("far").alias("far_x"))
-    to_y = known.select(F.col("x").alias("y"), F.col("y").alias("pivot"), F.col("far").alias("far_y"))
-    bounds = rest.join(to_x, "x").join(to_y, ["y", "pivot"]).groupBy("x", "y").agg(F.max(F.abs(F.col("far_x") - F.col("far_y"))).alias("at_least"), F.min(F.col("far_x") + F.col("far_y")).alias("at_most"))
-    allowed = F.col("n_x") + F.col("n_y") - 2 * _needed(percent)
-    derived = cut(
-        rest.join(bounds, ["x", "y"], "left").select(
-            "x", "y", F.when(F.col("at_most") <= allowed, True).when(F.col("at_least") > allowed, False).alias("answer")
-        ).where("answer IS NULL OR answer"),
-        "derived",
+        _side(labelled, "x", *keys, "in", "out", "compared", "n_pivot")
+        .join(open_blocks, ["token", *[f"{k}_x" for k in keys]])
+        .join(_side(labelled, "y", *keys, "in", "out", "compared"), ["token", *[f"{k}_y" for k in keys]])
+        .where(_fits(percent) & within)
     )
-    checked = _verify(derived.where("answer IS NULL").select("x", "y"), sets).where(linked).select("x", "y")
-    links = parts.select(F.col("node").alias("x"), F.col("component").alias("y")).unionAll(derived.where("answer").select("x", "y")).unionAll(checked)
+    certain = F.col("compared_x") & F.col("compared_y") & (F.col("in_x") + F.col("in_y") - F.col("n_pivot_x") >= _needed(percent))
+    derived = cut(rest.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max(certain).alias("certain")), "open-pairs")
+    checked = _verify(derived.where("NOT certain").select("x", "y"), sets).where(linked).select("x", "y")
+    links = parts.select(F.col("node").alias("x"), F.col("component").alias("y")).unionAll(derived.where("certain").select("x", "y")).unionAll(checked)
     # An id that several rows share names one node.
     shared = members.where("class_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("x"), F.max("class_id").alias("most")).where("x < most")
     again = members.join(shared.select("doc_id", "x"), "doc_id").where(F.col("class_id") != F.col("x")).select("x", F.col("class_id").alias("y"))
