@@ -12,6 +12,7 @@ counts, fitted on the same labelled rows, gives the score.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from llm.batches import NO_ID, keyed, with_null_ids
 SAMPLE = 8_000
 #: Terms and stems that the lexicon holds at most, strongest first.
 LEXICON = 4_000
+#: Of these, how many are also looked for at one edit.
+FUZZY = 250
 #: Least signed root of the log-likelihood ratio for a term, and least ratio of its rates in toxic and other rows.
 LEAST_Z, LEAST_RATIO = 4.0, 8.0
 STEMS = (4, 5, 6)
@@ -33,7 +36,7 @@ STEMS = (4, 5, 6)
 FUZZY_FROM = 5
 #: Words before and behind a hit that tell quotation from abuse.
 WINDOW = 6
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…—–¡¿"
 _OPEN, _CLOSE = "\"“„«‘", "\"”“»’"
 _EXACT, _STEM, _FUZZY = 0, 1, 2
@@ -43,20 +46,21 @@ _FEATURES = 7
 class Lexicon:
     """Terms and stems with their trie; finds the entry that a word stands for."""
 
-    def __init__(self, terms: set[str], stems: set[str]):
-        self.terms, self.stems = terms, stems
+    def __init__(self, terms: list[str], stems: list[str]):
+        """terms: strongest first; the first FUZZY of FUZZY_FROM letters or more make the trie."""
+        self.terms, self.stems = set(terms), set(stems)
         self.trie: dict = {}
         self.first: dict[int, set[str]] = {}
         self.last: dict[int, set[str]] = {}
-        for term in terms:
+        for term in [t for t in terms if len(t) >= FUZZY_FROM][:FUZZY]:
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
-            if len(term) >= FUZZY_FROM:  # at one edit, one half of the term stands unchanged at its end of the word
-                half = len(term) // 2
-                self.first.setdefault(half, set()).add(term[:half])
-                self.last.setdefault(len(term) - half, set()).add(term[half:])
+            # At one edit, one half of the term stands unchanged at its end of the word.
+            half = len(term) // 2
+            self.first.setdefault(len(term), set()).add(term[:half])
+            self.last.setdefault(len(term), set()).add(term[half:])
         self.hits: dict[str, tuple[int, str]] = {}
         self.clean: set[str] = set()
 
@@ -68,19 +72,19 @@ class Lexicon:
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         final = 1 << n
-        stack = [(self.trie, 1, 3, 0)]
+        stack = [(self.trie, 1, 3)]
         while stack:
-            node, none, one, depth = stack.pop()
+            node, none, one = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if one & final and depth >= FUZZY_FROM and child != word:
+                    if one & final and child != word:
                         return child
                     continue
                 mask = masks.get(c, 0)
                 same = (none & mask) << 1
                 edit = (one & mask) << 1 | none | none << 1 | same << 1
                 if edit:
-                    stack.append((child, same, edit & (final << 1) - 1, depth + 1))
+                    stack.append((child, same, edit & (final << 1) - 1))
         return None
 
     def look_up(self, token: str) -> tuple[int, str] | None:
@@ -91,9 +95,10 @@ class Lexicon:
             if word[:k] in self.stems and len(word) >= k:
                 return _STEM, word[:k]
         n = len(word)
-        if n >= FUZZY_FROM - 1 and (any(word[:k] in p for k, p in self.first.items()) or any(word[-k:] in p for k, p in self.last.items())):
-            if term := self.near(word):
-                return _FUZZY, term
+        for size in (n - 1, n, n + 1):
+            if size in self.first and (word[: size // 2] in self.first[size] or word[size // 2 - size :] in self.last[size]):
+                term = self.near(word)
+                return (_FUZZY, term) if term else None
         return None
 
     def found(self, tokens: list[str]) -> set[str]:
@@ -176,7 +181,7 @@ def _learn_lexicon(sample: DataFrame, sizes: tuple[int, int]) -> Lexicon:
     strong = counts.withColumn("z", F.sqrt(F.greatest(2 * (part("t", toxic) + part("c", clean)), F.lit(0.0)))).where((ratio >= LEAST_RATIO) & (F.col("z") >= LEAST_Z))
     rows = strong.orderBy(F.desc("z"), "term").limit(LEXICON).select("term").collect()
     entries = [r["term"] for r in rows]
-    return Lexicon({e for e in entries if not e.endswith("*")}, {e[:-1] for e in entries if e.endswith("*")})
+    return Lexicon([e for e in entries if not e.endswith("*")], [e[:-1] for e in entries if e.endswith("*")])
 
 
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -193,12 +198,21 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -
     return beta
 
 
+#: A worker's lexicon, by name, with what it has learned about tokens so far.
+_KEPT: dict[str, Lexicon] = {}
+
+
 def _scored(lexicon: Lexicon, beta: np.ndarray | None):
     """Features of every text, or their score under ``beta``."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _KEPT:
+            _KEPT.clear()
+            _KEPT[name] = lexicon
+        tool = _KEPT[name]
         for batch in batches:
-            rows = np.array([lexicon.features(t.as_py()) for t in batch.column("text")]).reshape(-1, _FEATURES)
+            rows = np.array([tool.features(t.as_py()) for t in batch.column("text")]).reshape(-1, _FEATURES)
             if beta is None:
                 values = pa.array(rows.tolist(), pa.list_(pa.float64()))
             else:
@@ -217,7 +231,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [r for c in (0, 1) for r in known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
     if not picked or len(sizes) < 2:
-        return Lexicon(set(), set()), np.append(np.zeros(_FEATURES), 30.0 if sizes.get(1) else -30.0)
+        return Lexicon([], []), np.append(np.zeros(_FEATURES), 30.0 if sizes.get(1) else -30.0)
     # At most 2 * SAMPLE ids: bounded by the parameter.
     chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic int"))
     sample = keyed(docs, id_col, text_col).join(chosen, "doc_id").select("text", "toxic")

@@ -16,7 +16,7 @@ def edits(a, b):
 def test_automaton_against_distances():
     rnd = random.Random(1)
     terms = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(3, 9))) for _ in range(60)}
-    lexicon = Lexicon(terms, set())
+    lexicon = Lexicon(sorted(terms), [])
     for _ in range(1500):
         word = "".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 10)))
         near = {t for t in terms if len(t) >= 5 and edits(t, word) == 1}
