@@ -224,12 +224,15 @@ def surrogate_for(entity_type: str, original: Column, engagement: str = "default
     return pick(s, ALNUM, F.greatest(F.lit(6), F.least(length, F.lit(16))))
 
 
-def surrogate(entity_type: Column, original: Column, engagement: str = "default", salt: Column | str = "") -> Column:
+def surrogate(entity_type: Column, original: Column, engagement: str = "default", salt: Column | str = "", kinds: list[str] | None = None) -> Column:
     """The surrogate of a row's own type: one branch is evaluated for each row. A type outside TYPES keys its
-    keystream with its own name."""
+    keystream with its own name. ``kinds``: the types that can occur, if known, to keep the plan small."""
     kind = F.upper(F.coalesce(entity_type, F.lit("OTHER")))
-    out = F.when(kind == TYPES[0], surrogate_for(TYPES[0], original, engagement, salt))
-    for name in TYPES[1:-1]:
-        out = out.when(kind == name, surrogate_for(name, original, engagement, salt))
     s = keystream(engagement, kind, original, F.lit(salt) if isinstance(salt, str) else salt)
-    return out.otherwise(pick(s, ALNUM, F.greatest(F.lit(6), F.least(F.length(original), F.lit(16)))))
+    other = pick(s, ALNUM, F.greatest(F.lit(6), F.least(F.length(original), F.lit(16))))
+    out = None
+    for name in TYPES[:-1]:
+        if kinds is None or name in kinds:
+            own = surrogate_for(name, original, engagement, salt)
+            out = F.when(kind == name, own) if out is None else out.when(kind == name, own)
+    return other if out is None else out.otherwise(other)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from incognita.functions.surrogates import surrogate
+from incognita.functions.surrogates import TYPES, surrogate
+from incognita.sources.shared import cut
 
 ATTEMPTS = 64
 
@@ -21,9 +22,9 @@ def mint(wanted: DataFrame, vault: DataFrame | None = None, engagement: str = "d
     Round k offers each open original the surrogate of salt k ("" first, then #0, #1 ...). It wins one that no
     vault row and no earlier round has, and that is no original; of several, the smallest original wins. Rounds
     after the first run over the losers alone. ``checkpoint`` cuts lineage between rounds (a function of a
-    DataFrame and a name).
+    DataFrame and a name); by default rounds are written to the shared folder.
     """
-    keep = checkpoint or (lambda df, name: df.cache())
+    keep = checkpoint or cut
     wanted = wanted.select(F.col("value").alias("original"), "entity_type")
     if vault is not None:
         wanted = wanted.join(vault.select("original"), "original", "left_anti")
@@ -33,8 +34,9 @@ def mint(wanted: DataFrame, vault: DataFrame | None = None, engagement: str = "d
         everyone = everyone.unionAll(vault.select("original"))
     taken = vault.select("surrogate") if vault is not None else None
     won = None
+    kinds = [r["kind"] for r in open_.select(F.upper("entity_type").alias("kind")).where(F.col("kind").isin(TYPES)).distinct().collect()]
     for k in range(attempts):
-        offered = open_.withColumn("surrogate", surrogate(F.col("entity_type"), F.col("original"), engagement, "" if k == 0 else f"#{k - 1}"))
+        offered = open_.withColumn("surrogate", surrogate(F.col("entity_type"), F.col("original"), engagement, "" if k == 0 else f"#{k - 1}", kinds))
         free = offered.join(everyone, "surrogate", "left_anti")
         if taken is not None:
             free = free.join(taken, "surrogate", "left_anti")

@@ -162,7 +162,7 @@ def _found(spark: SparkSession, d: str) -> DataFrame:
 
 def _vault(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     found = cut(_found(spark, d), "found")
-    return found, cut(vaults.mint(found.select("value", "entity_type").distinct(), None, ENGAGEMENT, checkpoint=cut), "vault")
+    return found, cut(vaults.mint(found.select("value", "entity_type").distinct(), None, ENGAGEMENT), "vault")
 
 
 VAULT = f"""{sql.FOUND}, kept AS (SELECT * FROM found WHERE NOT (source = 'tool' AND entity_type IN ('CIDR', 'IP_ADDRESS'))),
@@ -175,7 +175,7 @@ _add("vault_stats", lambda spark, d: vaults.stats(_vault(spark, d)[1]), f"WITH {
 def _collisions(spark: SparkSession, d: str) -> DataFrame:
     """More people than half the pool has names: several rounds."""
     people = _table(spark, d, "nation").crossJoin(_table(spark, d, "region")).select(F.concat_ws(" ", "n_name", "r_name").alias("value"), F.lit("PERSON").alias("entity_type"))
-    return vaults.mint(people, None, ENGAGEMENT, checkpoint=cut)
+    return vaults.mint(people, None, ENGAGEMENT)
 
 
 _add(
@@ -286,7 +286,7 @@ def _payloads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     asked = cut(_requests(spark, d), "requests")
     leaves = cut(payload.leaves(asked, "conv_id"), "leaves")
     found = cut(floor_entities(leaves, "conv_id", "path").where("entity_type NOT IN ('CIDR', 'IP_ADDRESS')"), "found")
-    vault = cut(vaults.mint(found.select("value", "entity_type").distinct(), None, ENGAGEMENT, checkpoint=cut), "vault")
+    vault = cut(vaults.mint(found.select("value", "entity_type").distinct(), None, ENGAGEMENT), "vault")
     changed = cut(anonymized(leaves, found, vault, "conv_id", "path"), "changed")
     return asked, found, vault, cut(payload.with_leaves(asked, changed, "conv_id"), "sent")
 
@@ -344,7 +344,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     """Tool lines, anonymised and cut into deltas that reach the query in several micro-batches out of order."""
     lines = tool_lines(spark, d)
     found = cut(floor_entities(lines, *KEYS).where("entity_type IN ('EMAIL_ADDRESS', 'HASH', 'DOMAIN', 'USERNAME')"), "found")
-    vault = cut(vaults.mint(found.select("value", "entity_type").distinct(), None, ENGAGEMENT, checkpoint=cut), "vault")
+    vault = cut(vaults.mint(found.select("value", "entity_type").distinct(), None, ENGAGEMENT), "vault")
     sent = anonymized(lines, found, vault, *KEYS)
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(DELTA))
     deltas = sent.select(F.col("row_id").cast("string").alias("stream"), F.lit(0).alias("block"), "text", F.posexplode(starts).alias("k", "at"))
