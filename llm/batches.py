@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside the operators: it sorts behind all ids and comes back as null.
 NO_ID = 2**63 - 1
 #: Text bytes that one batch holds on average, and the least number of batches.
-BATCH_BYTES, LEAST_BATCHES = 12 << 20, 64
+BATCH_BYTES, LEAST_BATCHES = 4 << 20, 64
 #: Text bytes that NumPy works on at once inside a batch (a longer document is worked on whole).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 BLOBS = "batch int, bucket int, payload binary"
 

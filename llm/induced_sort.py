@@ -16,6 +16,9 @@ import numpy as np
 
 from llm.vectext import ragged
 
+#: Names up to which a recursion ends in plain sorting: below, NumPy's cost per bucket outweighs linear time.
+BASE = 1 << 19
+
 
 def _types(text: np.ndarray) -> np.ndarray:
     """True for S-type suffixes; the last one (the sentinel) is S."""
@@ -92,6 +95,23 @@ def _induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, starts: np.ndar
     return array
 
 
+def _by_doubling(ranks: np.ndarray) -> np.ndarray:
+    """The recursion's base: suffixes of a string of at most BASE names, sorted by pairs of ranks of doubled reach."""
+    n, reach = len(ranks), 1
+    ranks = ranks.astype(np.uint64)
+    while True:
+        behind = np.zeros(n, np.uint64)
+        behind[: n - reach] = ranks[reach:] + np.uint64(1)
+        key = ranks << np.uint64(32) | behind
+        order = np.argsort(key)
+        ranked = key[order]
+        fresh = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1]))).astype(np.uint64)
+        ranks[order] = fresh
+        reach *= 2
+        if fresh[-1] == n - 1 or reach >= n:
+            return order
+
+
 def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array of ``text`` (integers below sigma). Its last symbol must be 0 and occur nowhere else."""
     n = len(text)
@@ -130,7 +150,9 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     if number < len(lms):
         named = np.empty(len(lms), np.int64)
         named[place[ranked]] = names
-        if number <= 1024:
+        if len(named) <= BASE:
+            order = _by_doubling(named)
+        elif number <= 1024:
             order = suffix_array(named, number)
         else:
             base = int(np.ceil(np.sqrt(number))) + 1

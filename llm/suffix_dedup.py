@@ -32,7 +32,7 @@ LENGTH = 50
 #: Share of a window that its anchor takes: longer ones are rarer by chance, shorter ones lie farther apart.
 GRAM_SHARE = 0.48
 #: Bytes of slices whose suffixes one sort takes; a larger shard is sorted in parts, by anchor.
-SORT_BYTES = 3 << 20
+SORT_BYTES = 1 << 20
 _RESULT = "doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 #: A byte that UTF-8 never has stands between slices.
 _BREAK = 0xFF
@@ -50,12 +50,12 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 class _Runs:
     """A batch's windows as runs with one anchor each: ``start`` and ``count`` of the run's windows, their
-    document, the anchor's hash, and a key of the slice of text that the run covers."""
+    document, the anchor's place and hash, and a key of the slice of text that the run covers."""
 
     def __init__(self, table: pa.Table, length: int):
         self.ids, self.data, self.at, self.order = ordered_docs(table)
         gram = max(1, int(length * GRAM_SHARE))
-        cols: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]]
+        cols: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)] + [[np.empty(0, np.uint64)] for _ in range(2)]
         for lo, _, data, bounds in chunks(self.data, self.at):
             if len(data) < length:
                 continue
@@ -74,15 +74,15 @@ class _Runs:
             changes = np.flatnonzero(np.concatenate((edge | ~inside, [True])))
             stop = changes[np.searchsorted(changes, start, side="right")]
             where = anchor[start]
-            hashes = grams[where]
+            hashes = mix(grams[where])  # smallest hashes crowd at the lower end: spread them over the buckets
             with np.errstate(over="ignore"):
-                key = mix(range_hash(sums, start, stop - 1 + length) ^ mix((where - start).astype(np.uint64) + hashes))
-            for col, value in zip(cols, (start + self.at[lo], stop - start, doc[start] + lo, hashes, key), strict=True):
+                key = mix(range_hash(sums, start, stop - 1 + length) ^ hashes)
+            for col, value in zip(cols, (start + self.at[lo], stop - start, doc[start] + lo, where - start, hashes, key), strict=True):
                 col.append(value)
-        self.start, self.count, self.doc, self.hash, self.key = (np.concatenate(c) for c in cols)
+        self.start, self.count, self.doc, self.offset, self.hash, self.key = (np.concatenate(c) for c in cols)
 
     def only(self, which: np.ndarray) -> None:
-        for name in ("start", "count", "doc", "hash", "key"):
+        for name in ("start", "count", "doc", "offset", "hash", "key"):
             setattr(self, name, getattr(self, name)[which])
 
 
@@ -123,21 +123,25 @@ class _Shards:
         out = {}
         for b in np.flatnonzero(np.diff(limits)):
             own = example[limits[b] : limits[b + 1]]
-            out[int(b)] = b"".join((np.int64([len(own)]).tobytes(), runs.hash[own].tobytes(), runs.key[own].tobytes(), runs.ids[runs.doc[own]].tobytes(), sizes[limits[b] : limits[b + 1]].astype(np.int64).tobytes(), flat[ends[limits[b]] : ends[limits[b + 1]]].tobytes()))
+            small = np.stack((sizes[limits[b] : limits[b + 1]], runs.offset[own])).astype(np.uint16)
+            out[int(b)] = b"".join((np.int64([len(own)]).tobytes(), runs.ids[runs.doc[own]].tobytes(), small.tobytes(), flat[ends[limits[b]] : ends[limits[b + 1]]].tobytes()))
         return out
 
     def answer_slices(self, asked: dict[int, memoryview]) -> dict[int, bytes]:
         """For each slice a batch sent, a bit for each window: a row of smaller id has it."""
-        count, cols, flats = {}, [], []
+        count, ids, smalls, flats = {}, [], [], []
         for batch, payload in asked.items():
-            n = int(np.frombuffer(payload[:8], np.int64)[0])
-            count[batch] = n
-            cols.append(np.frombuffer(payload[8 : 8 + 32 * n], np.uint64).reshape(4, n))
-            flats.append(np.frombuffer(payload[8 + 32 * n :], np.uint8))
-        hashes, keys, ids, sizes = np.concatenate(cols, axis=1)
-        ids, sizes = ids.view(np.int64), sizes.view(np.int64)
-        flat = np.concatenate(flats)
+            n = count[batch] = int(np.frombuffer(payload[:8], np.int64)[0])
+            ids.append(np.frombuffer(payload[8 : 8 + 8 * n], np.int64))
+            smalls.append(np.frombuffer(payload[8 + 8 * n : 8 + 12 * n], np.uint16).reshape(2, n))
+            flats.append(np.frombuffer(payload[8 + 12 * n :], np.uint8))
+        ids, flat = np.concatenate(ids), np.concatenate(flats)
+        sizes, offsets = np.concatenate(smalls, axis=1).astype(np.int64)
         begin = np.cumsum(sizes) - sizes
+        sums = prefix_sums(BYTE_KEYS[flat])
+        hashes = mix(range_hash(sums, begin + offsets, begin + offsets + max(1, int(self.length * GRAM_SHARE))))
+        keys = range_hash(sums, begin, begin + sizes)
+        del sums
         order = np.lexsort((ids, keys, hashes))
         head = np.ones(len(order), dtype=bool)
         head[1:] = (keys[order[1:]] != keys[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import llm.induced_sort as module
 from llm.induced_sort import common_prefixes, suffix_array
 
 
@@ -10,8 +11,14 @@ def naive(text):
     return sorted(range(len(text)), key=lambda i: list(text[i:]))
 
 
+@pytest.fixture(params=[1 << 19, 40])
+def base(request, monkeypatch):
+    """With and without the recursion's base at work."""
+    monkeypatch.setattr(module, "BASE", request.param)
+
+
 @pytest.mark.parametrize("seed", range(6))
-def test_small_texts(seed):
+def test_small_texts(seed, base):
     rnd = random.Random(seed)
     for _ in range(120):
         sigma = rnd.choice([2, 3, 5, 40])
@@ -22,7 +29,7 @@ def test_small_texts(seed):
         assert suffix_array(text, sigma).tolist() == naive(text.tolist())
 
 
-def test_repetitive_and_large_alphabets():
+def test_repetitive_and_large_alphabets(base):
     rnd = np.random.default_rng(1)
     for text in (np.ones(3000, int), np.tile([2, 1], 1500), np.repeat(rnd.integers(1, 4, 40), 60), np.tile(rnd.integers(1, 256, 300), 12), rnd.integers(1, 3000, 4000)):
         text = np.append(text, 0)
@@ -30,7 +37,7 @@ def test_repetitive_and_large_alphabets():
         assert suffix_array(text, 3001).tolist() == sorted(range(len(text)), key=lambda i: raw[2 * i :])
 
 
-def test_names_beyond_one_digit():
+def test_names_beyond_one_digit(base):
     rnd = np.random.default_rng(2)
     text = np.append(np.tile(rnd.integers(1, 256, 9000), 2), 0)
     raw = text.astype(np.uint8).tobytes()
