@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm.worker import drop_tool, give_back
+
 #: Stands for a null id inside the operators: it sorts behind all ids and comes back as null.
 NO_ID = 2**63 - 1
 #: Text bytes that one batch holds on average, and the least number of batches.
@@ -129,8 +131,11 @@ def exchange(
 
     def reply(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        drop_tool()
         asked = dict(zip(table.column("batch").to_pylist(), (memoryview(x.as_buffer()) for x in table.column("payload")), strict=True))
-        return blobs((batch, bucket, payload) for batch, payload in answer(asked).items())
+        out = blobs((batch, bucket, payload) for batch, payload in answer(asked).items())
+        give_back()
+        return out
 
     asked = per_batch(docs, answers, send, BLOBS)
     return asked.groupBy("bucket").applyInArrow(reply, BLOBS)
@@ -138,12 +143,19 @@ def exchange(
 
 def per_batch(docs: DataFrame, answers: DataFrame | None, fn: Callable[[int, pa.Table, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
     """Applies fn(batch, its documents, answers by bucket) to every batch of documents."""
+
+    def run(table: pa.Table, got: dict[int, bytes]) -> pa.Table:
+        drop_tool()
+        out = fn(table.column("batch")[0].as_py(), table, got)
+        give_back()
+        return out
+
     if answers is None:
-        return docs.groupBy("batch").applyInArrow(lambda table: fn(table.column("batch")[0].as_py(), table, {}), schema)
+        return docs.groupBy("batch").applyInArrow(lambda table: run(table, {}), schema)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         got = dict(zip(right.column("bucket").to_pylist(), (memoryview(x.as_buffer()) for x in right.column("payload")), strict=True))
-        return fn(left.column("batch")[0].as_py(), left, got)
+        return run(left, got)
 
     return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(both, schema)
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from llm.batches import NO_ID, cut, keyed, with_null_ids
+from llm.worker import drop_tool, give_back
 
 #: Runs that one merge takes.
 FAN = 8
@@ -34,6 +35,7 @@ _RUNS = "part int, node int, digests binary, ids binary, points binary, sizes bi
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_tool()
     for batch in batches:
         digests, lengths = [], []
         for text in batch.column("text").cast(pa.large_binary()):
@@ -44,6 +46,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id"), batch.column("mark"), pc.utf8_length(batch.column("text")).cast(pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.binary())],
             names=["doc_id", "mark", "n_points", "n_bytes", "digest"],
         )
+    give_back()
 
 
 def _merged(digests: np.ndarray, ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from llm.batches import chunks, column_bytes, cut, keyed, with_null_ids
 from llm.vectext import BYTE_KEYS, IS_SPACE, RaggedCache, prefix_sums, ragged, range_hash, unique_inverse
+from llm.worker import give_back, kept_tool
 
 CAPACITY = 4096
 #: Id that closes each document.
@@ -117,21 +118,11 @@ class UnitEncoder:
         return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
-def encoder(path: str) -> UnitEncoder:
-    """One encoder per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
-
-
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` tokens of every document (ids, then END_ID)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(vocabulary)
+        tool = kept_tool(("units", vocabulary), lambda: UnitEncoder(vocabulary))
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy()
             data, at = column_bytes(batch.column("text"))
@@ -146,6 +137,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
             cols = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.mapInArrow(run, _PIECES)
 

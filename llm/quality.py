@@ -23,6 +23,7 @@ from llm.batches import NO_ID, chunks, column_bytes, cut, with_null_ids
 from llm.packing import vocabulary_path
 from llm.substring_dedup import _maybe_twice
 from llm.vectext import BYTE_KEYS, RaggedCache, cover, owner, prefix_sums, ragged, range_hash, unique_inverse, words_of
+from llm.worker import give_back, kept_tool
 
 LEAST_WORDS = 50
 #: Percent of words in repeated three-word windows beyond which a text fails.
@@ -67,15 +68,6 @@ class WordCounter:
         return self.cache.flat[ragged(first[place], count[place])], count[place]
 
 
-_COUNTERS: dict[str, WordCounter] = {}
-
-
-def _counter(path: str) -> WordCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = WordCounter(path)
-    return _COUNTERS[path]
-
-
 def _grouped_repeats(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of values that their document has more than once, and those of all but the first of each."""
     twice = _maybe_twice(values) if len(values) else np.empty(0, np.int64)
@@ -162,7 +154,7 @@ def measure(data: np.ndarray, bounds: np.ndarray, counter: WordCounter) -> dict[
 
 def _measured(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(vocabulary)
+        counter = kept_tool(("words", vocabulary), lambda: WordCounter(vocabulary))
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
             for lo, hi, part, bounds in chunks(data, at, 1 << 20):
@@ -171,6 +163,7 @@ def _measured(docs: DataFrame, vocabulary: str) -> DataFrame:
                 for name, values in found.items():
                     cols.append(pa.array(values, pa.float64() if name in FLOORS else pa.int64()))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "lang", "script", *found])
+        give_back()
 
     return docs.mapInArrow(run, _ROWS)
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from llm.batches import chunks, column_bytes, keyed, with_null_ids
 from llm.packing import vocabulary_path
 from llm.vectext import BYTE_KEYS, owner, prefix_sums, ragged, range_hash, unique_inverse
+from llm.worker import kept_tool
 
 _MARK = "▁"
 #: How far below the least piece a byte-fallback character scores.
@@ -184,14 +185,9 @@ class PieceAutomaton:
         return self.surface_bytes[ragged(self.surface_at[ids], sizes)]
 
 
-_AUTOMATA: dict[str, PieceAutomaton] = {}
-
-
 def automaton(path: str) -> PieceAutomaton:
-    """One automaton per worker process and vocabulary."""
-    if path not in _AUTOMATA:
-        _AUTOMATA[path] = PieceAutomaton(path)
-    return _AUTOMATA[path]
+    """The worker's automaton of this vocabulary."""
+    return kept_tool(("pieces", path), lambda: PieceAutomaton(path))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
