@@ -197,7 +197,7 @@ class _Shards:
         least[ranked] = np.repeat(best, np.diff(np.concatenate((head, [len(ranked)]))))
         return least[places]
 
-    def finish(self, batch: int, table: pa.Table, known: dict, got: dict, with_text: bool) -> pa.Table:
+    def finish(self, batch: int, table: pa.Table, known: dict, got: dict, with_text: bool, unchanged: bool) -> pa.Table:
         runs, example, place = self._shared(table, known)
         windows = runs.count[example]
         ends = np.concatenate(([0], np.cumsum(windows)))
@@ -228,12 +228,14 @@ class _Shards:
                 "n_removed": pa.array(n_removed),
                 "n_spans": pa.array(np.diff(total(opens))),
                 "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
-                "kept_text": pa.array([bytes(t).decode(errors="ignore") if with_text and r else None for t, r in zip(texts, n_removed.tolist(), strict=True)], pa.string()),
+                "kept_text": pa.array([bytes(t).decode(errors="ignore") if with_text and (r or unchanged) else None for t, r in zip(texts, n_removed.tolist(), strict=True)], pa.string()),
             }
         )
 
 
-def _removals(docs: DataFrame, length: int, id_col: str, text_col: str, with_text: bool) -> DataFrame:
+def _removals(docs: DataFrame, length: int, id_col: str, text_col: str, with_text: bool, unchanged: bool = False) -> DataFrame:
+    """remove_repeated_bytes with NO_ID for null and ``mark``, a hash of the text; with ``unchanged``, texts that lose nothing
+    come along, too."""
     batches, total = batch_count(docs, text_col)
     steps = _Shards(length, batches, census_width(total // 10))
     texts = dealt(keyed(docs, id_col, text_col).withColumn("mark", F.xxhash64("text")), batches)
@@ -244,7 +246,7 @@ def _removals(docs: DataFrame, length: int, id_col: str, text_col: str, with_tex
 
     def finish(batch: int, table: pa.Table, got: dict) -> pa.Table:
         first = {b: p for b, p in got.items() if b < batches}
-        return steps.finish(batch, table, first, {b - batches: p for b, p in got.items() if b >= batches}, with_text)
+        return steps.finish(batch, table, first, {b - batches: p for b, p in got.items() if b >= batches}, with_text, unchanged)
 
     return per_batch(texts, both, finish, _RESULT)
 
@@ -265,12 +267,13 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "
 
 def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the repeated bytes of their texts, and with all their columns; n_chars, if there is one, is
-    counted anew for changed texts. Where a cut splits a character, the rest of it goes, too."""
-    changed = _removals(docs, length, id_col, text_col, True).where("n_removed > 0").select(F.col("doc_id").alias("_cut_id"), F.col("mark").alias("_cut_mark"), F.col("kept_text").alias("_cut_text")).dropDuplicates(["_cut_id", "_cut_mark"])
+    counted anew for changed texts. Where a cut splits a character, the rest of it goes, too. All texts come from the
+    removal, so that the join moves each text once: the other side brings the other columns alone."""
+    left = _removals(docs, length, id_col, text_col, True, True).select(F.col("doc_id").alias("_cut_id"), F.col("mark").alias("_cut_mark"), F.col("n_removed").alias("_n_cut"), F.col("kept_text").alias("_cut_text")).dropDuplicates(["_cut_id", "_cut_mark"])
     text = F.col(text_col).cast("string")
-    own = docs.withColumns({"_own_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_own_mark": F.xxhash64(F.coalesce(text, F.lit("")))})
-    joined = own.join(changed, (F.col("_own_id") == F.col("_cut_id")) & (F.col("_own_mark") == F.col("_cut_mark")), "left")
-    cut = {text_col: F.coalesce("_cut_text", text_col)}
+    own = docs.withColumns({"_own_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_own_mark": F.xxhash64(F.coalesce(text, F.lit(""))), "_has_text": text.isNotNull()}).drop(text_col)
+    joined = own.join(left, (F.col("_own_id") == F.col("_cut_id")) & (F.col("_own_mark") == F.col("_cut_mark")), "left")
+    cut = {text_col: F.when(F.col("_has_text"), F.col("_cut_text"))}
     if "n_chars" in docs.columns:
-        cut["n_chars"] = F.when(F.col("_cut_text").isNotNull(), F.char_length("_cut_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        cut["n_chars"] = F.when(F.col("_n_cut") > 0, F.char_length("_cut_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return joined.withColumns(cut).select(*docs.columns)
