@@ -27,8 +27,6 @@ from llm.batches import NO_ID, keyed, with_null_ids
 SAMPLE = 8_000
 #: Terms and stems that the lexicon holds at most, strongest first.
 LEXICON = 4_000
-#: Of these, how many are also looked for at one edit.
-FUZZY = 250
 #: Least signed root of the log-likelihood ratio for a term, and least ratio of its rates in toxic and other rows.
 LEAST_Z, LEAST_RATIO = 4.0, 8.0
 STEMS = (4, 5, 6)
@@ -47,20 +45,19 @@ class Lexicon:
     """Terms and stems with their trie; finds the entry that a word stands for."""
 
     def __init__(self, terms: list[str], stems: list[str]):
-        """terms: strongest first; the first FUZZY of FUZZY_FROM letters or more make the trie."""
+        """All terms of FUZZY_FROM letters or more make the trie."""
         self.terms, self.stems = set(terms), set(stems)
         self.trie: dict = {}
-        self.first: dict[int, set[str]] = {}
-        self.last: dict[int, set[str]] = {}
-        for term in [t for t in terms if len(t) >= FUZZY_FROM][:FUZZY]:
+        #: These terms, and each without any one letter: a word at one edit, or the word without one letter, is here.
+        self.around: set[str] = set()
+        for term in [t for t in terms if len(t) >= FUZZY_FROM]:
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
-            # At one edit, one half of the term stands unchanged at its end of the word.
-            half = len(term) // 2
-            self.first.setdefault(len(term), set()).add(term[:half])
-            self.last.setdefault(len(term), set()).add(term[half:])
+            self.around.add(term)
+            self.around.update([term[:i] + term[i + 1 :] for i in range(len(term))])
+        self.longest = max(map(len, self.around), default=0)
         self.hits: dict[str, tuple[int, str]] = {}
         self.clean: set[str] = set()
 
@@ -94,11 +91,9 @@ class Lexicon:
         for k in STEMS:
             if word[:k] in self.stems and len(word) >= k:
                 return _STEM, word[:k]
-        n = len(word)
-        for size in (n - 1, n, n + 1):
-            if size in self.first and (word[: size // 2] in self.first[size] or word[size // 2 - size :] in self.last[size]):
-                term = self.near(word)
-                return (_FUZZY, term) if term else None
+        if FUZZY_FROM - 1 <= len(word) <= self.longest + 1 and (word in self.around or any([word[:i] + word[i + 1 :] in self.around for i in range(len(word))])):
+            if term := self.near(word):
+                return _FUZZY, term
         return None
 
     def found(self, tokens: list[str]) -> set[str]:

@@ -26,6 +26,16 @@ def test_automaton_against_distances():
         assert (hit is not None) == (word in terms or (bool(near)))
 
 
+def test_weak_terms_at_one_edit():
+    """Terms far down a full lexicon are found misspelled, too."""
+    rnd = random.Random(3)
+    terms = ["".join(rnd.choice("abcdefghij") for _ in range(9)) for _ in range(4000)]
+    lexicon = Lexicon(terms, [])
+    for term in terms[::400] + terms[-5:]:
+        for word in (term[:4] + "z" + term[5:], term[:4] + term[5:], term[:4] + "z" + term[4:]):
+            assert lexicon.look_up(word) and edits(lexicon.look_up(word)[1], word) == 1
+
+
 def test_quotation():
     tokens = 'he said "you idiot there" and left you idiot'.split()
     assert [quoted(tokens, i) for i, t in enumerate(tokens) if "idiot" in t] == [True, False]
