@@ -1,9 +1,12 @@
-"""SentencePiece encoding and decoding by an Aho-Corasick automaton and Viterbi (operator 5).
+"""SentencePiece encoding and decoding by an Aho-Corasick automaton, in merge order or by Viterbi (operator 5).
 
 The pieces of a public vocabulary form one automaton over bytes (the word mark is
 a blank). A text is read once: at each position the automaton's state and its
-output links name all pieces that end there, and each relaxes the best score of
-the position. Positions of many units are relaxed side by side in NumPy. A unit is
+output links name all pieces that end there. For a BPE vocabulary, whose scores are
+merge ranks, the position's last piece is the only one that merging leaves side by
+side with the last piece before it: a segmentation is that of the merges exactly if
+each two neighbours are. For a unigram vocabulary each piece relaxes the best score
+of the position. Positions of many units are settled side by side in NumPy. A unit is
 a run of blanks and what follows up to the next blank; if no piece holds a blank
 behind another character, which is checked, best paths never cross units, so
 distinct units are encoded once. Characters without a piece fall back to bytes.
@@ -26,6 +29,8 @@ from llm.worker import kept_tool
 _MARK = "▁"
 #: How far below the least piece a byte-fallback character scores.
 FALLBACK_BELOW = 10.0
+#: Slots for pairs of pieces whose merging is known, a power of two.
+PAIR_SLOTS = 1 << 20
 _CODEC = "doc_id long, n_tokens long, n_fallback long, score double, ids_crc32 long, roundtrip boolean"
 
 
@@ -54,6 +59,9 @@ class PieceAutomaton:
         self.fallback = min(self.scores[list(pieces.values())]) - FALLBACK_BELOW
         self.is_fallback = np.zeros(size, dtype=bool)
         self.is_fallback[self.byte_ids] = True
+        self.pieces = pieces
+        self.merges: dict[int, tuple[list[float], list[bytes], list[bytes]]] = {}
+        self.pair_slots = np.full(PAIR_SLOTS, -1, np.int64)
         self._build(pieces)
         self.surface_at = np.concatenate(([0], np.cumsum([len(s) for s in self.surface])))
         self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
@@ -92,9 +100,66 @@ class PieceAutomaton:
             self.link[child] = np.where(self.piece[fail[child]] >= 0, fail[child], self.link[fail[child]])
             self.length[child] = depth + 1
 
-    def encode_units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the units data[start:end] end to end, number of ids and score of each: one Viterbi pass over all
-        units side by side. Of equal scores the path with the longer last piece wins."""
+    def _merges(self, i: int) -> tuple[list[float], list[bytes], list[bytes]]:
+        """How merging makes piece i of its characters: the scores of the merges in their order, and the first and the
+        last part before each merge and after all. A piece that merging doesn't make ends in shorter parts."""
+        if i not in self.merges:
+            parts = [c.encode() for c in self.surface[i].decode()]
+            if any(c not in self.pieces for c in parts):
+                raise ValueError("merge order needs each character of a piece to be a piece")
+            scores, first, last = [], [parts[0]], [parts[-1]]
+            while True:
+                made = [(-self.scores[j], k) for k in range(len(parts) - 1) if (j := self.pieces.get(parts[k] + parts[k + 1])) is not None]
+                if not made:
+                    break
+                score, k = min(made)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                scores.append(-score)
+                first.append(parts[0])
+                last.append(parts[-1])
+            self.merges[i] = scores, first, last
+        return self.merges[i]
+
+    def _stay(self, left: int, right: int) -> bool:
+        """Whether merging the characters of both pieces gives the two pieces; left is -1 where nothing stands before
+        that a merge could take in. The best score is merged first, of equal ones the leftmost."""
+        to, right_first, _ = self._merges(right)
+        if right_first[-1] != self.surface[right]:
+            return False
+        if left < 0:
+            return True
+        of, _, left_last = self._merges(left)
+        i = j = 0
+        while True:
+            across = self.pieces.get(left_last[i] + right_first[j])
+            next_left = of[i] if i < len(of) else -np.inf
+            next_right = to[j] if j < len(to) else -np.inf
+            if across is not None and self.scores[across] > next_left and self.scores[across] >= next_right:
+                return False
+            if i == len(of) and j == len(to):
+                return True
+            if next_left >= next_right:
+                i += 1
+            else:
+                j += 1
+
+    def stay(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """_stay() of many pairs; what was found is kept in slots, of which a later pair may take one over."""
+        key = (left + 1) * len(self.surface) + right
+        slot = (key * 0x9E3779B1 >> 12) & (PAIR_SLOTS - 1)
+        held = self.pair_slots[slot]
+        out = (held & 1).astype(bool)
+        new = np.flatnonzero(held >> 1 != key)
+        if len(new):
+            keys, example, place = np.unique(key[new], return_index=True, return_inverse=True)
+            found = np.array([self._stay(a, b) for a, b in zip(left[new][example].tolist(), right[new][example].tolist(), strict=True)])
+            out[new] = found[place]
+            self.pair_slots[slot[new][example]] = keys << 1 | found
+        return out
+
+    def encode_units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, by_merges: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the units data[start:end] end to end, number of ids and score of each: one pass over all units side
+        by side, in merge order or by Viterbi. Of equal scores of Viterbi the path with the longer last piece wins."""
         lengths = ends - starts
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
@@ -123,16 +188,22 @@ class PieceAutomaton:
                 piece, size = self.piece[node], self.length[node]
                 cell = here[at]
                 score = best[cell - size] + self.scores[piece]
-                better = score > best[cell]
+                if by_merges:
+                    better = np.isfinite(score)
+                    better[better] = self.stay(ids[cell - size][better], piece[better])
+                else:
+                    better = score > best[cell]
                 cell, piece, size = cell[better], piece[better], size[better]
                 best[cell], ids[cell], took[cell], tokens[cell] = score[better], piece, size, tokens[cell - size] + 1
+                if by_merges:  # no second piece can end here
+                    node, at = node[~better], at[~better]
                 node = self.link[node]
             last = np.ones(live, dtype=bool)
             more = lengths[:live] > t + 1
             last[more] = data[starts[:live][more] + t + 1] & 0xC0 != 0x80
             cell, size = here[last], char[:live][last]
             score = best[cell - size] + self.fallback
-            better = score > best[cell]
+            better = ~np.isfinite(best[cell]) if by_merges else score > best[cell]
             cell, size = cell[better], size[better]
             best[cell], ids[cell], took[cell], tokens[cell] = score[better], -1, size, tokens[cell - size] + size
         finish = base + lengths
@@ -158,7 +229,7 @@ class PieceAutomaton:
         back[order] = np.arange(len(order))
         return out[ragged(first[back], counts[back])], counts[back], best[finish][back]
 
-    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, bounds: np.ndarray, by_merges: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the documents of a chunk end to end, n + 1 offsets, and scores. A blank is put before each text
         that isn't empty, as the vocabulary expects."""
         filled = np.flatnonzero(np.diff(bounds) > 0)
@@ -172,7 +243,7 @@ class PieceAutomaton:
         starts = np.flatnonzero(edge)
         ends = np.append(starts[1:], len(text))
         distinct, example, place = unique_inverse(range_hash(prefix_sums(BYTE_KEYS[text]), starts, ends))
-        ids, counts, scores = self.encode_units(text, starts[example], ends[example])
+        ids, counts, scores = self.encode_units(text, starts[example], ends[example], by_merges)
         first = np.cumsum(counts) - counts
         total = np.concatenate(([0], np.cumsum(counts[place])))
         unit_of = np.searchsorted(starts, at)
@@ -190,10 +261,11 @@ def automaton(path: str) -> PieceAutomaton:
     return kept_tool(("pieces", path), lambda: PieceAutomaton(path))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, by_merges: bool = True) -> DataFrame:
     """doc_id, n_tokens, n_fallback, score, ids_crc32 (of little-endian 32-bit ids), roundtrip and ids of every row.
 
-    roundtrip says that the decoded ids are the text again. Defined cases: a null or empty text has no tokens
+    The ids are those that sentencepiece gives for a BPE vocabulary; by_merges=False (for unigram vocabularies)
+    takes the ids of the greatest score instead. score is the sum of the ids' scores. roundtrip says that the decoded ids are the text again. Defined cases: a null or empty text has no tokens
     and score 0; characters without a piece become one token per byte; a word mark that stands in a text is
     such a character; a null id comes back as null; repeated rows are encoded each; an empty table gives an
     empty result. Other columns are ignored.
@@ -205,7 +277,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
             for lo, hi, part, bounds in chunks(data, at):
-                ids, offsets, scores = tool.encode(part, bounds)
+                ids, offsets, scores = tool.encode(part, bounds, by_merges)
                 n = hi - lo
                 flat = tool.decode(ids)
                 sizes = np.concatenate(([0], np.cumsum(np.diff(tool.surface_at)[ids])))[offsets]

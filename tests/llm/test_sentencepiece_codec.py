@@ -64,5 +64,20 @@ def test_round_trip_in_spark(spark):
     assert sorted([(r.doc_id, r.text) for r in decode_documents(coded).collect()], key=key) == sorted([(i, t or "") for i, t in rows], key=key)
 
 
+def test_ids_are_those_of_sentencepiece(spark):
+    """Word marks that stand in a text are left out: sentencepiece takes them for blanks."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
+    rnd = random.Random(5)
+    words = [s.decode().strip() for s in rnd.sample(sorted(PIECES), 3000)]
+    texts = [t for t in cases() if "▁" not in t] + ["All", "All of this, unbelievably; re-tokenised!", "  " * 40 + "x" + " " * 33]
+    texts += ["".join(rnd.choice(words) + rnd.choice(["", "", " ", "  ", "\n"]) for _ in range(rnd.randrange(1, 40))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in encode_documents(docs).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == model.encode(text), repr(text)
+
+
 def test_empty(spark):
     assert encode_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
