@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from llm.batches import keyed, with_null_ids
 
-# Licence sentences as their licences and common notices word them, normalised.
+# Licence sentences as their licences and common notices word them, normalised. Notices that hold a
+# sentence end inside a sentence ("free software; you can", "v. 2.0", a blank line before an address) are listed by
+# the parts that splitting leaves, too. "2 0" and the address behind "at" tell nothing alone and are left out.
 SENTENCES: list[tuple[str, str]] = [
     ("MitGrant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("MitNotice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
@@ -34,6 +36,8 @@ SENTENCES: list[tuple[str, str]] = [
     ("ApacheRef", "spdx license identifier apache 2 0"),
     ("ApacheUse", "you may not use this file except in compliance with the license"),
     ("ApacheObtain", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("ApacheObtain", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+    ("ApacheObtain", "you may obtain a copy of the license at"),
     ("ApacheAsIs", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("ApacheSee", "see the license for the specific language governing permissions and limitations under the license"),
     ("BsdGrant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1"),
@@ -48,6 +52,15 @@ SENTENCES: list[tuple[str, str]] = [
     ("GplFree3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("GplFree2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("GplHope", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("GplProgram", "this program is free software"),
+    ("GplTerms", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("GplProgramTerms", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("GplEither3", "either version 3 of the license or at your option any later version"),
+    ("GplEither2", "either version 2 of the license or at your option any later version"),
+    ("GplTermsEither3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("GplTermsEither2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("GplUseful", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("GplWithout", "without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("GplSee", "see the gnu general public license for more details"),
     ("Gpl3Ref", "this work is licensed under the gnu general public license version 3"),
     ("Gpl3Ref", "licensed under the gnu general public license version 3"),
@@ -57,6 +70,8 @@ SENTENCES: list[tuple[str, str]] = [
     ("Gpl2Ref", "spdx license identifier gpl 2 0 only"),
     ("LgplRef", "licensed under the gnu lesser general public license version 3"),
     ("MplForm", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("MplForm", "this source code form is subject to the terms of the mozilla public license v"),
+    ("MplCopy", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("MplCopy", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
     ("IscGrant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("AsIsIsc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
@@ -69,6 +84,10 @@ SENTENCES: list[tuple[str, str]] = [
     ("Reserved", "all rights reserved"),
 ]
 
+#: The ways in which splitting leaves the two first sentences of a GPL notice.
+_GPL_FREE = {v: [[f"GplFree{v}"], ["GplProgram", "GplTerms", f"GplEither{v}"], ["GplProgramTerms", f"GplEither{v}"], ["GplProgram", f"GplTermsEither{v}"]] for v in (3, 2)}
+_GPL_HOPE = [["GplHope"], ["GplUseful", "GplWithout"]]
+
 # Rules in the order in which they are tried; each is a licence and a run of identifiers.
 RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["MitTitle", "MitGrant", "MitNotice", "AsIsMit", "LiableMit"]),
@@ -77,10 +96,8 @@ RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["ApacheRef", "ApacheUse", "ApacheObtain", "ApacheAsIs", "ApacheSee"]),
     ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "AsIsBsd"]),
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "AsIsBsd"]),
-    ("GPL-3.0-or-later", ["GplFree3", "GplHope", "GplSee"]),
-    ("GPL-2.0-or-later", ["GplFree2", "GplHope", "GplSee"]),
-    ("GPL-3.0-or-later", ["GplFree3"]),
-    ("GPL-2.0-or-later", ["GplFree2"]),
+    *((f"GPL-{v}.0-or-later", [*free, *hope, "GplSee"]) for v in _GPL_FREE for free in _GPL_FREE[v] for hope in _GPL_HOPE),
+    *((f"GPL-{v}.0-or-later", free) for v in _GPL_FREE for free in _GPL_FREE[v]),
     ("MPL-2.0", ["MplForm", "MplCopy"]),
     ("MPL-2.0", ["MplForm"]),
     ("ISC", ["IscGrant", "AsIsIsc"]),
@@ -101,8 +118,9 @@ RULES: list[tuple[str, list[str]]] = [
     ("all-rights-reserved", ["Reserved"]),
 ]
 
-#: Every known sentence holds one of these; a text with none is done without being split.
-KEYWORDS = ["licen", "permission", "warrant", "redistribut", "liable", "rights reserved", "free software", "apache", "gnu", "mpl", "unencumbered"]
+#: Every known sentence holds one of these; a text with none is done without being split. Single words, or parts of
+#: one, only: what stands between two words of a text is anything that isn't a letter or digit.
+KEYWORDS = ["licen", "permission", "warrant", "redistribut", "liable", "reserved", "software", "apache", "gnu", "mpl", "unencumbered"]
 #: Where a sentence ends. Single line breaks don't end one, as notices are wrapped.
 SENTENCE_END = r"[.!?;]+[ \t\r\n]+|\n[ \t]*\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -29,6 +29,44 @@ def test_scan(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_verbatim_notices(spark):
+    """Notices as their licences word them, with sentence ends inside sentences and odd white space."""
+    apache = '''Copyright 2020 X
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+'''
+    gpl = '''This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+'''
+    mpl = '''This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http{}://mozilla.org/MPL/2.0/.
+'''
+    want = [(apache, "Apache-2.0"), (mpl.format("s"), "MPL-2.0"), (mpl.format(""), "MPL-2.0")]
+    want += [(gpl.format(a, b, v), f"GPL-{v}.0-or-later") for a in ":;" for b in ",;" for v in (2, 3)]
+    want += [(gpl.format(";", ";", 2).split("\n\n")[0], "GPL-2.0-or-later"), ("x. All rights\nreserved.", "all-rights-reserved"), ("x. ALL  RIGHTS  RESERVED.", "all-rights-reserved")]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).collect()}
+    for i, (text, name) in enumerate(want):
+        assert (got[i].licenses, got[i].n_unmatched) == (name, 0), text
+
+
 def test_preferences(spark):
     u, a, b = ("user", "hi <|im_end|>"), ("assistant", "yes"), ("assistant", "no")
     rows = [(1, [u, a], [u, b], 0), (2, [u, a, u, a], [u, a, u, b, u], 0), (3, [u, a], [u, a], 0), (4, None, [u], 0), (5, [u], [u, a], 0), (6, [u, ("assistant", None)], [(None, None), a], 0), (1, [u, a], [u, b], 0)]
