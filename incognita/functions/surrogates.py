@@ -87,14 +87,19 @@ def is_ipv6(value: Column) -> Column:
     return full | short
 
 
-def ip_address(original: Column, s: Column) -> Column:
-    v4 = F.concat(_choice(TEST_NETS, _number(s, 0, 4)), (_number(s, 4, 4) % 253 + 1).cast("string"))
+def _bench_address(s: Column) -> Column:
+    """An address of 198.18.0.0/15, which is kept for tests of network devices."""
+    return F.concat(_choice(["198.18.", "198.19."], _number(s, 0, 4)), (_number(s, 4, 2) % 256).cast("string"), F.lit("."), (_number(s, 6, 2) % 256).cast("string"))
+
+
+def ip_address(original: Column, s: Column, wide: bool = False) -> Column:
+    v4 = _bench_address(s) if wide else F.concat(_choice(TEST_NETS, _number(s, 0, 4)), (_number(s, 4, 4) % 253 + 1).cast("string"))
     return F.when(is_ipv6(original), ipv6(s)).otherwise(v4)
 
 
-def cidr(original: Column, s: Column) -> Column:
+def cidr(original: Column, s: Column, wide: bool = False) -> Column:
     prefix = F.when(F.contains(original, F.lit("/")), F.substring_index(original, "/", -1)).otherwise("24")
-    return F.concat(_choice(TEST_NETS, _number(s, 0, 4)), F.lit("0/"), prefix)
+    return F.concat(_bench_address(s), F.lit("/"), prefix) if wide else F.concat(_choice(TEST_NETS, _number(s, 0, 4)), F.lit("0/"), prefix)
 
 
 def hash_like(original: Column, s: Column) -> Column:
@@ -176,8 +181,8 @@ def path(original: Column, s: Column) -> Column:
     return F.when(F.contains(original, F.lit("\\")), back).otherwise(F.array_join(F.transform(F.split(original, "/"), one), "/"))
 
 
-def surrogate_for(entity_type: str, original: Column, engagement: str = "default", salt: Column | str = "") -> Column:
-    """The surrogate of one type; unknown types count as OTHER."""
+def surrogate_for(entity_type: str, original: Column, engagement: str = "default", salt: Column | str = "", wide: bool = False) -> Column:
+    """The surrogate of one type; unknown types count as OTHER. ``wide``: addresses and networks from the larger space."""
     kind = entity_type.upper()
     salt = F.lit(salt) if isinstance(salt, str) else salt
     need: Column | int = {"TOKEN": F.greatest(F.length(original), F.lit(64)), "HASH": F.length(original), "PAYMENT_CARD": 32}.get(kind, 32)
@@ -188,9 +193,9 @@ def surrogate_for(entity_type: str, original: Column, engagement: str = "default
     s = keystream(engagement, F.lit(kind), original, salt, size=need)
     length = F.length(original)
     if kind == "IP_ADDRESS":
-        return ip_address(original, s)
+        return ip_address(original, s, wide)
     if kind == "CIDR":
-        return cidr(original, s)
+        return cidr(original, s, wide)
     if kind == "IPV6":
         return ipv6(s)
     if kind == "HASH":
@@ -224,7 +229,7 @@ def surrogate_for(entity_type: str, original: Column, engagement: str = "default
     return pick(s, ALNUM, F.greatest(F.lit(6), F.least(length, F.lit(16))))
 
 
-def surrogate(entity_type: Column, original: Column, engagement: str = "default", salt: Column | str = "", kinds: list[str] | None = None) -> Column:
+def surrogate(entity_type: Column, original: Column, engagement: str = "default", salt: Column | str = "", kinds: list[str] | None = None, wide: bool = False) -> Column:
     """The surrogate of a row's own type: one branch is evaluated for each row. A type outside TYPES keys its
     keystream with its own name. ``kinds``: the types that can occur, if known, to keep the plan small."""
     kind = F.upper(F.coalesce(entity_type, F.lit("OTHER")))
@@ -233,6 +238,6 @@ def surrogate(entity_type: Column, original: Column, engagement: str = "default"
     out = None
     for name in TYPES[:-1]:
         if kinds is None or name in kinds:
-            own = surrogate_for(name, original, engagement, salt)
+            own = surrogate_for(name, original, engagement, salt, wide)
             out = F.when(kind == name, own) if out is None else out.when(kind == name, own)
     return other if out is None else out.otherwise(other)

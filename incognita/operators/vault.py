@@ -10,6 +10,8 @@ from incognita.functions.surrogates import TYPES, surrogate
 from incognita.sources.shared import cut
 
 ATTEMPTS = 64
+#: Rounds after which addresses and networks that are still open are offered surrogates of the wider space.
+WIDE_FROM = 8
 
 
 class ExhaustedError(RuntimeError):
@@ -21,7 +23,8 @@ def mint(wanted: DataFrame, vault: DataFrame | None = None, engagement: str = "d
 
     Round k offers each open original the surrogate of salt k ("" first, then #0, #1 ...). It wins one that no
     vault row and no earlier round has, and that is no original; of several, the smallest original wins. Rounds
-    after the first run over the losers alone. ``checkpoint`` cuts lineage between rounds (a function of a
+    after the first run over the losers alone. From round WIDE_FROM on, addresses and networks are offered those of
+    198.18.0.0/15 (131,072, or as many for a prefix length). ``checkpoint`` cuts lineage between rounds (a function of a
     DataFrame and a name); by default rounds are written to the shared folder.
     """
     keep = checkpoint or cut
@@ -36,7 +39,7 @@ def mint(wanted: DataFrame, vault: DataFrame | None = None, engagement: str = "d
     won = None
     kinds = [r["kind"] for r in open_.select(F.upper("entity_type").alias("kind")).where(F.col("kind").isin(TYPES)).distinct().collect()]
     for k in range(attempts):
-        offered = open_.withColumn("surrogate", surrogate(F.col("entity_type"), F.col("original"), engagement, "" if k == 0 else f"#{k - 1}", kinds))
+        offered = open_.withColumn("surrogate", surrogate(F.col("entity_type"), F.col("original"), engagement, "" if k == 0 else f"#{k - 1}", kinds, wide=k >= WIDE_FROM))
         free = offered.join(everyone, "surrogate", "left_anti")
         if taken is not None:
             free = free.join(taken, "surrogate", "left_anti")

@@ -343,8 +343,10 @@ DELTA = 7
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """Tool lines, anonymised and cut into deltas that reach the query in several micro-batches out of order."""
     lines = tool_lines(spark, d)
-    found = cut(floor_entities(lines, *KEYS).where("entity_type IN ('EMAIL_ADDRESS', 'HASH', 'DOMAIN', 'USERNAME')"), "found")
+    found = cut(floor_entities(lines, *KEYS), "found")
     vault = cut(vaults.mint(found.select("value", "entity_type").distinct(), None, ENGAGEMENT), "vault")
+    # Each stream's own mappings: those of the values found in its line.
+    own = cut(found.join(vault.withColumnRenamed("original", "value"), "value").select(F.col("row_id").cast("string").alias("stream"), "surrogate", F.col("value").alias("original")), "own")
     sent = anonymized(lines, found, vault, *KEYS)
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(DELTA))
     deltas = sent.select(F.col("row_id").cast("string").alias("stream"), F.lit(0).alias("block"), "text", F.posexplode(starts).alias("k", "at"))
@@ -352,10 +354,8 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     source, sink, marks = (new_path(spark, name) for name in ("deltas", "restored", "marks"))
     for part in (2, 0, 3, 1):  # later parts first
         deltas.where(F.pmod(F.col("seq"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(source)
-    # One engagement's mappings, a snapshot that the stream's tasks carry: bounded by what its operator accepts.
-    pairs = [(r["surrogate"], r["original"]) for r in vault.limit(20_000).select("surrogate", "original").collect()]
     stream = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    query = restored_stream(stream, pairs).writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query = restored_stream(stream, own).writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
     pieces = spark.read.schema("stream string, block int, seq long, text string").parquet(sink)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"]), "")

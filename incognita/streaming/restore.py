@@ -1,7 +1,7 @@
 """Restoration of streamed text deltas.
 
 Deltas carry a stream, a block and a sequence number. State keeps, for each (stream, block), the text not
-yet given out, the number expected next, and deltas that came early, so that micro-batches may arrive in any order; an
+yet given out, the number expected next, deltas that came early, and the stream's own mappings, so that micro-batches may arrive in any order; an
 end mark counts once all deltas before it have. Text is held back as far as a surrogate may still grow.
 """
 
@@ -21,7 +21,7 @@ from incognita.operators.restore import longest_first, restore_text, safe_cut
 #: Marks inside a surrogate that the hold-back allows for.
 ROOM = 16
 DELTAS = "stream string, block int, seq long, delta string, is_end boolean"
-_STATE = "held string, next long, early string"
+_STATE = "held string, next long, early string, pairs string"
 _OUT = "stream string, block int, seq long, text string"
 
 
@@ -43,16 +43,27 @@ class HoldBack:
         return out
 
 
-def restored_stream(deltas: DataFrame, pairs: list[tuple[str, str]], timeout_ms: int | None = None) -> DataFrame:
+def restored_stream(deltas: DataFrame, pairs: list[tuple[str, str]] | DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """A streaming DataFrame of restored pieces (stream, block, seq of the last delta in it, text) for deltas of the
-    columns of DELTAS. ``pairs`` (surrogate, original) is a snapshot of one engagement's mappings, whose size the caller
-    bounds. A delta that comes twice counts once. With ``timeout_ms`` a block without an end is given out after
+    columns of DELTAS. ``pairs``: a table of each stream's own mappings (stream, surrogate, original), which are
+    joined to its deltas and kept in its state; or a short list of (surrogate, original) for all streams. A delta that comes twice counts once. With ``timeout_ms`` a block without an end is given out after
     that time in silence."""
 
+    shared: list[tuple[str, str]] = []
+    if isinstance(pairs, DataFrame):
+        own = pairs.groupBy("stream").agg(F.to_json(F.collect_set(F.struct("surrogate", "original"))).alias("pairs"))
+        deltas = deltas.join(own, "stream", "left")
+    else:
+        shared = pairs
+        deltas = deltas.withColumn("pairs", F.lit(None).cast("string"))
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, expected, raw = state.get if state.exists else ("", 0, "{}")
+        held, expected, raw, mine = state.get if state.exists else ("", 0, "{}", "[]")
         early: dict[str, list] = json.loads(raw)
-        hold = HoldBack(pairs, held)
+        frames = [] if state.hasTimedOut else list(frames)
+        known = {p["surrogate"]: p["original"] for rows in (mine, *(r for f in frames for r in f["pairs"].dropna().unique())) for p in json.loads(rows)}
+        mine = json.dumps([{"surrogate": s, "original": o} for s, o in known.items()])
+        hold = HoldBack([*known.items(), *shared], held)
         if state.hasTimedOut:
             late = "".join(early[k][0] for k in sorted(early, key=int))
             state.remove()
@@ -69,9 +80,9 @@ def restored_stream(deltas: DataFrame, pairs: list[tuple[str, str]], timeout_ms:
         if ended:
             out.append(hold.flush())
             # What comes after the end starts at a number that is never expected again.
-            state.update(("", 2**62, "{}"))
+            state.update(("", 2**62, "{}", "[]"))
         else:
-            state.update((hold.held, expected, json.dumps(early)))
+            state.update((hold.held, expected, json.dumps(early), mine))
             if timeout_ms:
                 state.setTimeoutDuration(timeout_ms)
         if text := "".join(out):
