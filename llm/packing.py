@@ -173,15 +173,17 @@ class _Lengths:
         if self.pairs[gap] > 0 and (pair := self._pair(gap, (length,))):
             return pair
         firsts = np.flatnonzero(self.there[1:gap] & (self.pairs[gap - 1 : 0 : -1] > 0)) + 1
-        for a in firsts[::-1][:8]:
+        for a in firsts[::-1]:
             if pair := self._pair(gap - int(a), (length, int(a))):
                 return (int(a), *pair[0]), pair[1]
         return None
 
     def _pair(self, total: int, beside: tuple[int, ...]) -> tuple[tuple[int, ...], int] | None:
+        if not self.times(beside):
+            return None
         half = total // 2
         big = np.flatnonzero(self.there[total - half : total] & self.there[half:0:-1]) + total - half
-        for a in big[::-1][:8]:
+        for a in big[::-1]:
             combo = (int(a), total - int(a))
             if n := self.times((*beside, *combo)):
                 return combo, n

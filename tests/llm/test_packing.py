@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from llm.packing import UnitEncoder, _segments, best_fit_pack, pack_lengths, vocabulary_path
+from llm.packing import UnitEncoder, _Lengths, _segments, best_fit_pack, pack_lengths, vocabulary_path
 
 PATH = vocabulary_path("word_bpe_49k.json")
 ODD = ["", " ", "Don't, they'll: it's,'s <|endoftext|>x", "a" * 3000, "É,é;ß×÷é", "naïve—dash…", "é, ́,x", "x<|startoftext|>", "日本語。テスト 123,456 ＡＢ", "  a,b\x85c", "A.B.C. #tag @x --''--", "İI ſ K ,̸ ≠"]
@@ -37,6 +37,15 @@ def test_plan_places_each_piece_once_and_fills_well(seed):
     assert least <= sequences <= least + max(2, least // 200)
 
 
+def test_exact_triples_behind_many_that_the_counts_rule_out():
+    """Twelve triples hold the only piece of 1200 once more; the one that counts allow comes after them."""
+    counts = np.zeros(4097, np.int64)
+    firsts = [1001 + 13 * i for i in range(12)]
+    for n in [1200, 960, 966, 970, *firsts, *(1696 - a for a in firsts)]:
+        counts[n] += 1
+    assert _Lengths(counts).exact(1200, 2896) == ((970, 966, 960), 1)
+
+
 def test_exact_complements_are_used():
     counts = np.zeros(11, int)
     counts[[7, 2, 1, 6, 4]] = [3, 3, 3, 2, 2]
