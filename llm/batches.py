@@ -8,6 +8,13 @@ blobs, so that Spark shuffles a few rows of bounded size and a key that a
 third of all documents share reaches its bucket once per batch, not once per
 document. Everything is one lineage of shuffles; a lost executor costs only a
 recomputation of its share.
+
+Batches and buckets are as many, so the blobs of a round grow with their square. Batches therefore
+grow with the root of the input (batch_size), and only buckets that a batch has hashes for get a blob: there are
+never more blobs than hashes.
+
+A null id counts as the largest id, NO_ID, wherever ids are compared; the column ``no_id`` tells it from a row that
+has that id, and makes it null again in results.
 """
 
 from __future__ import annotations
@@ -15,67 +22,106 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm.vectext import distinct
 from llm.worker import drop_tool, give_back
 
-#: Stands for a null id inside the operators: it sorts behind all ids and comes back as null.
+#: What a null id counts as in comparisons.
 NO_ID = 2**63 - 1
-#: Text bytes that one batch holds on average, and the least number of batches.
-BATCH_BYTES, LEAST_BATCHES = 4 << 20, 64
+#: Text bytes that one batch holds on average: at least and at most (what a Python worker can hold some thirty times
+#: over; raise it with executor memory), and so many as give blobs of about BLOB_BYTES. And the least number of batches.
+BATCH_BYTES, MOST_BATCH_BYTES, BLOB_BYTES, LEAST_BATCHES = 4 << 20, 32 << 20, 1 << 10, 64
 #: Text bytes that NumPy works on at once inside a batch (a longer document is worked on whole).
 CHUNK_BYTES = 1 << 18
+#: The bucket under which a batch finds the note that it sent to itself.
+NOTE = -1
 
 BLOBS = "batch int, bucket int, payload binary"
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (null: NO_ID) and text (null: empty) alone, whatever other columns there are."""
-    return docs.select(
-        F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
-    )
+    """doc_id (null: NO_ID), no_id (whether it was null) and text (null: empty) alone, whatever other columns there are."""
+    own = docs[id_col].cast("long")
+    return docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), own.isNull().alias("no_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+
+
+def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (as it is) and text (null: empty) alone, for operators that compare no ids."""
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+
+
+def with_null_ids(df: DataFrame) -> DataFrame:
+    """doc_id null again where no_id says so; no_id goes."""
+    return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
-def with_null_ids(df: DataFrame, *cols: str) -> DataFrame:
-    """Turns NO_ID back into null."""
-    return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in cols or ("doc_id",)})
+def batch_size(total: int) -> int:
+    """Text bytes of a batch: blobs are about a batch's bytes divided by the number of batches."""
+    return min(MOST_BATCH_BYTES, max(BATCH_BYTES, isqrt(total * BLOB_BYTES)))
 
 
 def batch_count(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Number of batches (and of hash buckets) for these texts, and their bytes, counted over all rows."""
-    total = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
-    return max(LEAST_BATCHES, -(-total // BATCH_BYTES)), total
+    total = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string"))).alias("b")).first()["b"] or 0
+    return max(LEAST_BATCHES, -(-total // batch_size(total))), total
 
 
 def dealt(docs: DataFrame, batches: int) -> DataFrame:
-    """Adds the batch of each document; one exchange by it serves every later pass."""
-    return docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    """Adds the batch of each document, by id and text, so that neither a frequent id nor null ids crowd; one exchange by it
+    serves every later pass."""
+    return docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set, as in tests."""
+    """The shared folder that the cluster names; a local one only in local mode where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Tables that cut has written and nothing has deleted yet.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and each later use reads files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of cut that nothing will read again."""
+    for path in paths:
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """The tables that cut writes inside the block, in order."""
+    before, paths = len(_WRITTEN), []
+    yield paths
+    paths += _WRITTEN[before:]
+
+
 def column_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column laid end to end, and its n + 1 offsets."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -121,16 +167,19 @@ def exchange(
     answer: Callable[[dict[int, bytes]], dict[int, bytes]],
 ) -> DataFrame:
     """One round. ask(batch, docs, earlier answers by bucket) -> questions by bucket;
-    answer(questions by batch) -> answers by batch. Returns the answers (BLOBS).
+    answer(questions by batch) -> answers by batch. Returns the answers (BLOBS). What a batch asks under NOTE comes back
+    to it as it is.
 
     A batch or bucket is what one task holds: both are bounded by the choice of their number.
     """
 
     def send(batch: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
-        return blobs((batch, bucket, payload) for bucket, payload in ask(batch, table, got).items())
+        return blobs((batch, NOTE - batch if bucket == NOTE else bucket, payload) for bucket, payload in ask(batch, table, got).items())
 
     def reply(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        if bucket <= NOTE:
+            return table
         drop_tool()
         asked = dict(zip(table.column("batch").to_pylist(), (memoryview(x.as_buffer()) for x in table.column("payload")), strict=True))
         out = blobs((batch, bucket, payload) for batch, payload in answer(asked).items())
@@ -154,7 +203,7 @@ def per_batch(docs: DataFrame, answers: DataFrame | None, fn: Callable[[int, pa.
         return docs.groupBy("batch").applyInArrow(lambda table: run(table, {}), schema)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = dict(zip(right.column("bucket").to_pylist(), (memoryview(x.as_buffer()) for x in right.column("payload")), strict=True))
+        got = dict(zip((max(NOTE, b) for b in right.column("bucket").to_pylist()), (memoryview(x.as_buffer()) for x in right.column("payload")), strict=True))
         return run(left, got)
 
     return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(both, schema)
@@ -172,8 +221,11 @@ def by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def split_runs(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) runs of sorted hashes."""
-    limits = np.searchsorted(by_bucket(hashes, buckets), np.arange(buckets + 1))
-    return [(b, int(limits[b]), int(limits[b + 1])) for b in range(buckets) if limits[b + 1] > limits[b]]
+    if not len(hashes):
+        return []
+    own = by_bucket(hashes, buckets)
+    limits = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]))
+    return list(zip(own[limits[:-1]].tolist(), limits[:-1].tolist(), limits[1:].tolist(), strict=True))
 
 
 # --- the first round of all: which hashes occur in more than one batch ---------------------------------------------------
@@ -206,7 +258,7 @@ def census_answer(width: int) -> Callable[[dict[int, memoryview]], dict[int, byt
     def answer(asked: dict[int, memoryview]) -> dict[int, bytes]:
         sent = {batch: unpack_hashes(p, width) for batch, p in asked.items()}
         pool = np.sort(np.concatenate(list(sent.values())))
-        twice = np.unique(pool[1:][pool[1:] == pool[:-1]])
+        twice = distinct(pool[1:][pool[1:] == pool[:-1]])
         return {batch: np.packbits(isin_sorted(h, twice)).tobytes() for batch, h in sent.items()}
 
     return answer

@@ -16,8 +16,9 @@ import numpy as np
 
 from llm.vectext import ragged
 
-#: Names up to which a recursion ends in plain sorting: below, NumPy's cost per bucket outweighs linear time.
-BASE = 1 << 19
+#: Names up to which a recursion ends in plain sorting: below, NumPy's cost per bucket outweighs linear time. A sort of
+#: suffix_dedup.SORT_BYTES has some 300,000 names, and recurses.
+BASE = 1 << 14
 
 
 def _types(text: np.ndarray) -> np.ndarray:

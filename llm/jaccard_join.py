@@ -27,27 +27,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.batches import NO_ID, batch_count, by_bucket, census_width, chunks, cut, dealt, exchange, keyed, ordered_docs, pack_hashes, per_batch, shorten, split_runs, unpack_hashes
+from llm.batches import batch_count, by_bucket, census_width, chunks, cut, dealt, exchange, keyed, ordered_docs, pack_hashes, per_batch, shorten, split_runs, unpack_hashes
 from llm.components import connected
 from llm.substring_dedup import _maybe_twice
-from llm.vectext import BYTE_KEYS, mix, owner, prefix_sums, range_hash, words_of
+from llm.vectext import BYTE_KEYS, distinct, mix, owner, prefix_sums, range_hash, text_hash, words_of
 
 SHINGLE, PERCENT = 5, 80
 #: Size and position classes of the blocks of an index list.
 LEVELS, PLACES = 32, 16
-_SETS = "doc_id long, n_shingles long, mark1 long, mark2 long, n_alone long, shingles binary, prefix array<long>"
+_SETS = "doc_id long, no_id boolean, n_shingles long, mark1 long, mark2 long, n_alone long, shingles binary, prefix array<long>"
 
 
 class _Sets:
     """A batch's shingle sets, end to end; ``first`` holds the offsets of the documents."""
 
     def __init__(self, table: pa.Table, shingle: int):
-        self.ids, data, at, _ = ordered_docs(table)
+        self.ids, data, at, order = ordered_docs(table)
+        self.no_id = table.column("no_id").to_numpy()[order]
         parts, sizes = [], []
         for _, _, part, bounds in chunks(data, at):
             low = part + ((part >= 65) & (part <= 90)).astype(np.uint8) * np.uint8(32)
             starts, ends, first = words_of(low, bounds)
-            words = range_hash(prefix_sums(BYTE_KEYS[low]), starts, ends) | np.uint64(1)
+            words = text_hash(low, prefix_sums(BYTE_KEYS[low]), starts, ends) | np.uint64(1)
             count = np.diff(first)
             n_windows = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
             doc = np.repeat(np.arange(len(count)), n_windows)
@@ -78,7 +79,9 @@ class _Frequencies:
         self.shingle, self.percent, self.buckets, self.width = shingle, percent, buckets, width
 
     def ask(self, batch: int, table: pa.Table, got: dict) -> dict[int, bytes]:
-        sent, counts = np.unique(shorten(_Sets(table, self.shingle).values, self.width), return_counts=True)
+        ranked = np.sort(shorten(_Sets(table, self.shingle).values, self.width))
+        head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.empty(0, np.int64)
+        sent, counts = ranked[head], np.diff(np.concatenate((head, [len(ranked)])))
         out = {}
         for b, lo, hi in split_runs(sent, self.buckets):
             many = np.flatnonzero(counts[lo:hi] > 1).astype(np.uint32)
@@ -113,7 +116,7 @@ class _Frequencies:
     def grades(self, values: np.ndarray, got: dict[int, memoryview]) -> np.ndarray:
         """The grade of each shingle from the buckets' answers."""
         short = shorten(values, self.width)
-        sent = np.unique(short)
+        sent = distinct(short)
         grade = np.zeros(len(sent), np.uint8)
         for b, lo, hi in split_runs(sent, self.buckets):
             if b in got:
@@ -140,7 +143,7 @@ class _Frequencies:
         shingles: list[bytes | None] = [None] * len(n)
         prefixes: list[np.ndarray | None] = [None] * len(n)
         seen = set()
-        for i in np.flatnonzero((n > 0) & (alone < prefix) & (sets.ids != NO_ID)).tolist():
+        for i in np.flatnonzero((n > 0) & (alone < prefix) & ~sets.no_id).tolist():
             key = (mark1[i], mark2[i], n[i])
             if key in seen:
                 continue
@@ -153,6 +156,7 @@ class _Frequencies:
         return pa.table(
             {
                 "doc_id": pa.array(sets.ids),
+                "no_id": pa.array(sets.no_id),
                 "n_shingles": pa.array(n),
                 "mark1": pa.array(mark1),
                 "mark2": pa.array(mark2),
@@ -202,7 +206,7 @@ def _side(entries: DataFrame, side: str, *names: str) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: doc_id, n_shingles and class_id (smallest id with an identical set) of every
+    """(members, links). members: doc_id, no_id, n_shingles and class_id (smallest id with an identical set) of every
     row; links: pairs x, y of classes that connect all classes that are connected by links. Rows with a null id
     have no class."""
     batches, total = batch_count(docs, text_col)
@@ -210,11 +214,11 @@ def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     texts = dealt(keyed(docs, id_col, text_col), batches)
     counted = exchange(texts, None, steps.ask, steps.answer)
     table = cut(per_batch(texts, counted, steps.sets, _SETS), "shingle-sets")
-    named = table.where(F.col("doc_id") != NO_ID)
+    named = table.where("NOT no_id")
     carried = named.where(F.col("shingles").isNotNull())
     classes = carried.groupBy("mark1", "mark2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    members = table.select("doc_id", "n_shingles", "mark1", "mark2").join(classes, ["mark1", "mark2", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id") != NO_ID, F.coalesce("class_id", "doc_id")).alias("class_id")
+    members = table.select("doc_id", "no_id", "n_shingles", "mark1", "mark2").join(classes, ["mark1", "mark2", "n_shingles"], "left").select(
+        "doc_id", "no_id", "n_shingles", F.when(~F.col("no_id"), F.coalesce("class_id", "doc_id")).alias("class_id")
     )
     own = F.col("doc_id") == F.col("class_id")
     heads = classes.select(F.col("class_id").alias("doc_id"), "mark1", "mark2")
@@ -293,11 +297,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     members, links = jaccard_links(docs, shingle, percent, id_col, text_col)
     parts = connected(links).select(F.col("node").alias("class_id"), "component")
     return members.join(parts, "class_id", "left").select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_shingles", F.coalesce("component", "class_id").alias("component_id")
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_shingles", F.coalesce("component", "class_id").alias("component_id")
     )
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the smallest id of their component, with all their columns; rows with a null id stay."""
+    """The rows of docs with the smallest id of their component, with all their columns.
+
+    Defined cases: rows with a null id stay; rows without words are components of their own and stay; all rows that share a
+    kept id stay, as one node; an empty table stays empty.
+    """
     keep = jaccard_components(docs, shingle, percent, id_col, text_col).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(keep, docs[id_col].cast("long") == keep["_kept_id"], "left_semi").unionByName(docs.where(docs[id_col].cast("long").isNull()))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.batches import keyed, with_null_ids
+from llm.batches import ids_and_texts
 
 # Licence sentences as their licences and common notices word them, normalised. Notices that hold a
 # sentence end inside a sentence ("free software; you can", "v. 2.0", a blank line before an address) are listed by
@@ -165,16 +165,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for word in KEYWORDS:
         likely = likely | F.contains(lower, F.lit(word))
     none = F.array().cast("array<string>")
-    found = keyed(docs, id_col, text_col).select("doc_id", F.when(likely, identifiers(F.col("text"))).otherwise(none).alias("ids"))
+    found = ids_and_texts(docs, id_col, text_col).select("doc_id", F.when(likely, identifiers(F.col("text"))).otherwise(none).alias("ids"))
     applied = found.withColumn("done", F.when(F.size("ids") > 0, _apply_rules(F.concat(F.lit("|"), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")))))
-    return with_null_ids(
-        applied.select(
-            "doc_id",
-            F.size("ids").cast("long").alias("n_sentences"),
-            F.array_join("ids", ",").alias("sentences"),
-            F.coalesce(F.array_join("done.names", ","), F.lit("")).alias("licenses"),
-            F.coalesce(F.length(F.regexp_replace("done.rest", "[^<]", "")), F.lit(0)).cast("long").alias("n_unmatched"),
-        )
+    return applied.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_sentences"),
+        F.array_join("ids", ",").alias("sentences"),
+        F.coalesce(F.array_join("done.names", ","), F.lit("")).alias("licenses"),
+        F.coalesce(F.length(F.regexp_replace("done.rest", "[^<]", "")), F.lit(0)).cast("long").alias("n_unmatched"),
     )
 
 

@@ -11,6 +11,7 @@ salted, two-step rank, so that no length is gathered in one task.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.batches import chunks, column_bytes, cut, keyed, with_null_ids
-from llm.vectext import BYTE_KEYS, IS_SPACE, RaggedCache, prefix_sums, ragged, range_hash, unique_inverse
+from llm.batches import chunks, column_bytes, cut, ids_and_texts
+from llm.vectext import BYTE_KEYS, IS_SPACE, RaggedCache, prefix_sums, ragged, text_hash, unique_inverse
 from llm.worker import give_back, kept_tool
 
 CAPACITY = 4096
@@ -56,13 +57,22 @@ class UnitEncoder:
 
     A unit is a run between white space and certain boundaries of the tokenizer's own pre-tokenizer, so
     the ids of a text are those of its units in order. Texts that contain a special token's string are
-    encoded whole.
+    encoded whole, and so are all texts under a tokenizer of other rules than these boundaries are made for.
     """
 
+    #: The normaliser's steps and the pre-tokenizer's pattern that the boundaries are made for.
+    STEPS = ["NFC", "Replace", "Lowercase"]
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        steps = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+        patterns = [(p.get("pattern") or {}).get("Regex") for p in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_units = steps == self.STEPS and patterns == [self.PATTERN, None]
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = RaggedCache(CACHE_UNITS)
@@ -73,8 +83,8 @@ class UnitEncoder:
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents in a chunk end to end, and their n + 1 offsets."""
         raw = data.tobytes()
-        whole = np.zeros(len(bounds) - 1, dtype=bool)
-        for token in self.special:
+        whole = np.full(len(bounds) - 1, not self.by_units)
+        for token in self.special if self.by_units else []:
             at = raw.find(token)
             while at >= 0:
                 whole[np.searchsorted(bounds, at, side="right") - 1] = True
@@ -97,7 +107,7 @@ class UnitEncoder:
         if whole.any():
             out = ~whole[np.searchsorted(bounds, starts, side="right") - 1]
             starts, ends = starts[out], ends[out]
-        hashes = range_hash(prefix_sums(BYTE_KEYS[low]), starts, ends)
+        hashes = text_hash(low, prefix_sums(BYTE_KEYS[low]), starts, ends)
         distinct, example, place = unique_inverse(hashes)
         text = low.tobytes()
 
@@ -124,7 +134,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = kept_tool(("units", vocabulary), lambda: UnitEncoder(vocabulary))
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_numpy()
+            doc_ids = batch.column("doc_id").to_pylist()
             data, at = column_bytes(batch.column("text"))
             out: list[tuple] = []
             for lo, hi, part, bounds in chunks(data, at, 1 << 20):
@@ -133,7 +143,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
                     row = np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(END_ID)).astype("<u4")
                     for k, start in enumerate(range(0, len(row), capacity)):
                         piece = row[start : start + capacity]
-                        out.append((int(doc_ids[lo + i]), k, start, len(piece), zlib.crc32(piece.tobytes())))
+                        out.append((doc_ids[lo + i], k, start, len(piece), zlib.crc32(piece.tobytes())))
             cols = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -263,21 +273,22 @@ def best_fit_pack(docs: DataFrame, vocabulary: str | None = None, capacity: int
     (at most ``capacity`` numbers) reaches the driver.
     """
     spark = docs.sparkSession
-    pieces = cut(token_pieces(keyed(docs, id_col, text_col), vocabulary or vocabulary_path("word_bpe_49k.json"), capacity), "pieces")
+    pieces = token_pieces(ids_and_texts(docs, id_col, text_col), vocabulary or vocabulary_path("word_bpe_49k.json"), capacity)
+    # A number for each piece, fixed by the written table, deals the pieces of a length over salts whatever repeats.
+    pieces = cut(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
     plan = _segments(pack_lengths(counts, capacity))
     salts = max(SALTS, -(-int(counts.max()) // SALT_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("below"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row"))
     ranked = salted.withColumn("own", own).join(offsets, ["length", "salt"]).withColumn("rank", F.col("below") + F.col("own") - 1)
     schema = "length long, lo long, hi long, base long, offset long"
     # At most a few segments for each of ``capacity`` lengths: bounded by the capacity, not by the data.
     segments = spark.createDataFrame(plan, schema) if plan else spark.createDataFrame([], schema)
-    placed = ranked.join(F.broadcast(segments), (ranked["length"] == segments["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
+    return ranked.join(F.broadcast(segments), (ranked["length"] == segments["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
         "doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"
     )
-    return with_null_ids(placed)

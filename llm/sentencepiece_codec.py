@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from llm.batches import chunks, column_bytes, keyed, with_null_ids
+from llm.batches import chunks, column_bytes, ids_and_texts
 from llm.packing import vocabulary_path
 from llm.vectext import BYTE_KEYS, owner, prefix_sums, ragged, range_hash, unique_inverse
 from llm.worker import kept_tool
@@ -299,7 +299,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return with_null_ids(keyed(docs, id_col, text_col).mapInArrow(run, _CODEC + (", ids array<int>" if with_ids else "")))
+    return ids_and_texts(docs, id_col, text_col).mapInArrow(run, _CODEC + (", ids array<int>" if with_ids else ""))
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -11,7 +11,10 @@ share ``length`` bytes and the smallest id of each, and answers with a bit per
 window. An anchor with a single distinct slice has nothing to sort.
 
 A batch sends each distinct slice once with its smallest id, so a passage that very
-many documents share reaches its shard once per batch.
+many documents share reaches its shard once per batch. An anchor that has very many different
+slices (a frequent line edge or address in ever new surroundings) would crowd one shard;
+the census of anchors counts slices, and windows of such anchors go to shards by their own 128-bit
+hash instead, where equal ones meet, too.
 """
 
 from __future__ import annotations
@@ -23,17 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.batches import NO_ID, answered_bits, batch_count, by_bucket, census_answer, census_width, chunks, dealt, exchange, isin_sorted, keyed, ordered_docs, pack_hashes, per_batch, shorten, split_runs, with_null_ids
+from llm.batches import NO_ID, batch_count, by_bucket, census_width, chunks, dealt, exchange, isin_sorted, keyed, ordered_docs, pack_hashes, per_batch, shorten, split_runs, unpack_hashes, with_null_ids
 from llm.induced_sort import common_prefixes, suffix_array
 from llm.substring_dedup import _distinct, _maybe_twice
-from llm.vectext import BYTE_KEYS, cover, mix, owner, prefix_sums, ragged, range_hash, window_hash
+from llm.vectext import BYTE_KEYS, cover, distinct, mix, owner, prefix_sums, ragged, range_hash, window_hash
 
 LENGTH = 50
 #: Share of a window that its anchor takes: longer ones are rarer by chance, shorter ones lie farther apart.
 GRAM_SHARE = 0.48
 #: Bytes of slices whose suffixes one sort takes; a larger shard is sorted in parts, by anchor.
 SORT_BYTES = 1 << 20
-_RESULT = "doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+#: Slices of one anchor, summed over the batches, beyond which its windows are dealt by their own hashes.
+HOT_SLICES = 20_000
+_RESULT = "doc_id long, no_id boolean, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 #: A byte that UTF-8 never has stands between slices.
 _BREAK = 0xFF
 
@@ -86,49 +91,154 @@ class _Runs:
             setattr(self, name, getattr(self, name)[which])
 
 
+def _window_names(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the window at each start."""
+    one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    other = mix(BYTE_KEYS)
+    with np.errstate(over="ignore"):
+        for k in range(length):
+            byte = data[starts + k]
+            one = mix(one * np.uint64(0x9E3779B97F4A7C15) + BYTE_KEYS[byte])
+            two = mix(two * np.uint64(0xD1B54A32D192ED03) + other[byte])
+    return one, two
+
+
+def _pairs_first(one: np.ndarray, two: np.ndarray, *later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (one, two, *later) and the mask of those that begin a pair (one, two) in it."""
+    order = np.lexsort((*later[::-1], two, one))
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    return order, head
+
+
 class _Shards:
-    """The rounds of one removal; its methods run inside tasks."""
+    """The rounds of one removal; its methods run inside tasks. Anchors have the buckets from 0 on, slices those from
+    ``buckets`` on, and windows of hot anchors those from twice that on."""
 
     def __init__(self, length: int, buckets: int, width: int):
         self.length, self.buckets, self.width = length, buckets, width
+        self.sort_bytes, self.hot_slices = SORT_BYTES, HOT_SLICES
 
     def ask(self, batch: int, table: pa.Table, got: dict) -> dict[int, bytes]:
-        """Every distinct anchor."""
-        sent = np.unique(shorten(_Runs(table, self.length).hash, self.width))
-        return {b: pack_hashes(sent[lo:hi], self.width) for b, lo, hi in split_runs(sent, self.buckets)}
+        """Every distinct anchor, and its number of distinct slices where that is more than one."""
+        runs = _Runs(table, self.length)
+        order = np.argsort(runs.key)
+        head = np.ones(len(order), dtype=bool)
+        head[1:] = runs.key[order[1:]] != runs.key[order[:-1]]
+        ranked = np.sort(shorten(runs.hash[order[head]], self.width))
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.empty(0, np.int64)
+        sent, count = ranked[first], np.diff(np.concatenate((first, [len(ranked)]))).astype(np.uint32)
+        out = {}
+        for b, lo, hi in split_runs(sent, self.buckets):
+            many = np.flatnonzero(count[lo:hi] > 1)
+            out[b] = np.uint32([hi - lo]).tobytes() + pack_hashes(sent[lo:hi], self.width) + many.astype(np.uint32).tobytes() + count[lo:hi][many].tobytes()
+        return out
+
+    def answer(self, asked: dict[int, memoryview]) -> dict[int, bytes]:
+        """For each anchor a bit: another batch has it; and the places of those that are hot."""
+        sent, counts = {}, []
+        for batch, payload in asked.items():
+            n = int(np.frombuffer(payload[:4], np.uint32)[0])
+            sent[batch] = unpack_hashes(payload[4 : 4 + n * self.width], self.width)
+            many, number = np.frombuffer(payload[4 + n * self.width :], np.uint32).reshape(2, -1)
+            own = np.ones(n, np.int64)
+            own[many] = number
+            counts.append(own)
+        pool, count = np.concatenate(list(sent.values())), np.concatenate(counts)
+        order = np.argsort(pool)
+        pool = pool[order]
+        head = np.flatnonzero(np.concatenate(([True], pool[1:] != pool[:-1])))
+        twice = pool[head][np.diff(np.concatenate((head, [len(pool)]))) > 1]
+        hot = pool[head][np.add.reduceat(count[order], head) > self.hot_slices]
+        return {batch: np.packbits(isin_sorted(h, twice)).tobytes() + np.flatnonzero(isin_sorted(h, hot)).astype(np.uint32).tobytes() for batch, h in sent.items()}
 
-    def _shared(self, table: pa.Table, got: dict) -> tuple[_Runs, np.ndarray, np.ndarray]:
-        """Runs whose anchor several documents have; their distinct slices in the order in which they are
-        sent, by example, and each run's place among them."""
+    def _shared(self, table: pa.Table, got: dict) -> tuple[_Runs, np.ndarray]:
+        """Runs whose anchor several documents have, and which of them are hot."""
         runs = _Runs(table, self.length)
         short = shorten(runs.hash, self.width)
-        sent = np.unique(short)
-        twice = _maybe_twice(short) if len(short) else np.empty(0, np.int64)
-        distinct, _, many = _distinct(short[twice], runs.ids[runs.doc[twice]])
-        runs.only(isin_sorted(short, np.union1d(sent[answered_bits(sent, self.buckets, got)], distinct[many])))
-        bucket = by_bucket(runs.hash, self.buckets)
-        order = np.lexsort((np.arange(len(bucket)), runs.key, bucket))  # runs come by ascending id
-        head = np.ones(len(order), dtype=bool)
-        head[1:] = (runs.key[order[1:]] != runs.key[order[:-1]]) | (bucket[order[1:]] != bucket[order[:-1]])
+        sent = distinct(short)
+        shared, hot = np.zeros(len(sent), dtype=bool), np.zeros(len(sent), dtype=bool)
+        for b, lo, hi in split_runs(sent, self.buckets):
+            if b in got:
+                size = -(-(hi - lo) // 8)
+                shared[lo:hi] = np.unpackbits(np.frombuffer(got[b][:size], np.uint8), count=hi - lo).astype(bool)
+                hot[lo + np.frombuffer(got[b][size:], np.uint32).astype(np.int64)] = True
+        twice = _maybe_twice(short)
+        own, _, many = _distinct(short[twice], runs.ids[runs.doc[twice]])
+        which = isin_sorted(short, distinct(np.concatenate((sent[shared], own[many]))))
+        runs.only(which)
+        return runs, isin_sorted(short[which], sent[hot])
+
+    def _slices(self, runs: _Runs, cold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct slices of the runs ``cold`` in the order in which they are sent, by example, and each run's place
+        among them. Runs come by ascending id."""
+        order, head = _pairs_first(runs.hash[cold], runs.key[cold], np.arange(len(cold)))
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(head) - 1
-        return runs, order[head], place
+        return cold[order[head]], place
+
+    def _hot_windows(self, runs: _Runs, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All windows of the runs ``hot``: their starts; of the distinct ones both hashes and the smallest id; and each
+        window's place among those."""
+        starts = ragged(runs.start[hot], runs.count[hot])
+        ids = np.repeat(runs.ids[runs.doc[hot]], runs.count[hot])
+        one, two = _window_names(runs.data, starts, self.length)
+        order, head = _pairs_first(one, two, ids)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(head) - 1
+        first = order[head]
+        return starts, one[first], two[first], ids[first], place
 
     def ask_slices(self, batch: int, table: pa.Table, got: dict) -> dict[int, bytes]:
-        runs, example, _ = self._shared(table, got)
+        runs, hot = self._shared(table, got)
+        example, _ = self._slices(runs, np.flatnonzero(~hot))
         sizes = runs.count[example] + self.length - 1
-        flat = runs.data[ragged(runs.start[example], sizes)]
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        limits = np.searchsorted(by_bucket(runs.hash[example], self.buckets), np.arange(self.buckets + 1))
         out = {}
-        for b in np.flatnonzero(np.diff(limits)):
-            own = example[limits[b] : limits[b + 1]]
-            small = np.stack((sizes[limits[b] : limits[b + 1]], runs.offset[own])).astype(np.uint16)
-            out[int(b)] = b"".join((np.int64([len(own)]).tobytes(), runs.ids[runs.doc[own]].tobytes(), small.tobytes(), flat[ends[limits[b]] : ends[limits[b + 1]]].tobytes()))
+        for b, lo, hi in split_runs(runs.hash[example], self.buckets):
+            own = example[lo:hi]
+            small = np.stack((sizes[lo:hi], runs.offset[own])).astype(np.uint16)
+            flat = runs.data[ragged(runs.start[own], sizes[lo:hi])]
+            out[self.buckets + b] = b"".join((np.int64([hi - lo]).tobytes(), runs.ids[runs.doc[own]].tobytes(), small.tobytes(), flat.tobytes()))
+        if hot.any():
+            _, one, two, ids, _ = self._hot_windows(runs, np.flatnonzero(hot))
+            for b, lo, hi in split_runs(one, self.buckets):
+                out[2 * self.buckets + b] = b"".join((np.int64([lo - hi]).tobytes(), one[lo:hi].tobytes(), two[lo:hi].tobytes(), ids[lo:hi].tobytes()))
         return out
 
+    @staticmethod
+    def _answer_windows(asked: dict[int, memoryview]) -> dict[int, bytes]:
+        """For each window of a hot anchor that a batch sent, a bit: a row of smaller id has it."""
+        sent = {batch: np.frombuffer(p[8:], np.uint64).reshape(3, -1) for batch, p in asked.items()}
+        one, two, ids = np.concatenate(list(sent.values()), axis=1)
+        ids = ids.view(np.int64)
+        order, head = _pairs_first(one, two, ids)
+        least = np.empty(len(order), np.int64)
+        least[order] = ids[order][head][np.cumsum(head) - 1]
+        out, at = {}, 0
+        for batch, p in sent.items():
+            n = p.shape[1]
+            out[batch] = np.packbits(least[at : at + n] < ids[at : at + n]).tobytes()
+            at += n
+        return out
+
+    def _names(self, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the slices' anchors and of the slices, some at a time."""
+        gram = max(1, int(self.length * GRAM_SHARE))
+        hashes, keys = np.empty(len(sizes), np.uint64), np.empty(len(sizes), np.uint64)
+        for lo in range(0, len(sizes), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
+            base = begin[lo]
+            sums = prefix_sums(BYTE_KEYS[flat[base : int(begin[part][-1] + sizes[part][-1])]])
+            at = begin[part] - base
+            hashes[part] = mix(range_hash(sums, at + offsets[part], at + offsets[part] + gram))
+            keys[part] = range_hash(sums, at, at + sizes[part])
+        return hashes, keys
+
     def answer_slices(self, asked: dict[int, memoryview]) -> dict[int, bytes]:
         """For each slice a batch sent, a bit for each window: a row of smaller id has it."""
+        if int(np.frombuffer(next(iter(asked.values()))[:8], np.int64)[0]) < 0:
+            return self._answer_windows(asked)
         count, ids, smalls, flats = {}, [], [], []
         for batch, payload in asked.items():
             n = count[batch] = int(np.frombuffer(payload[:8], np.int64)[0])
@@ -136,15 +246,11 @@ class _Shards:
             smalls.append(np.frombuffer(payload[8 + 8 * n : 8 + 12 * n], np.uint16).reshape(2, n))
             flats.append(np.frombuffer(payload[8 + 12 * n :], np.uint8))
         ids, flat = np.concatenate(ids), np.concatenate(flats)
+        del flats
         sizes, offsets = np.concatenate(smalls, axis=1).astype(np.int64)
         begin = np.cumsum(sizes) - sizes
-        sums = prefix_sums(BYTE_KEYS[flat])
-        hashes = mix(range_hash(sums, begin + offsets, begin + offsets + max(1, int(self.length * GRAM_SHARE))))
-        keys = range_hash(sums, begin, begin + sizes)
-        del sums
-        order = np.lexsort((ids, keys, hashes))
-        head = np.ones(len(order), dtype=bool)
-        head[1:] = (keys[order[1:]] != keys[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])
+        hashes, keys = self._names(flat, begin, sizes, offsets)
+        order, head = _pairs_first(hashes, keys, ids)
         slot = np.empty(len(order), np.int64)
         slot[order] = np.cumsum(head) - 1
         first = order[head]  # each distinct slice, in its row of smallest id; by anchor
@@ -154,7 +260,7 @@ class _Shards:
         anchor = np.cumsum(np.concatenate(([0], (hashes[first][1:] != hashes[first][:-1]).astype(np.int64))))
         crowded = np.flatnonzero(np.bincount(anchor)[anchor] > 1)
         # Whole anchors at a time, about SORT_BYTES of slices in each sort.
-        group = np.cumsum(sizes[first][crowded]) // SORT_BYTES
+        group = np.cumsum(sizes[first][crowded]) // self.sort_bytes
         if len(crowded):
             starts_anchor = np.concatenate(([True], anchor[crowded][1:] != anchor[crowded][:-1]))
             group = group[np.maximum.accumulate(np.where(starts_anchor, np.arange(len(crowded)), 0))]
@@ -197,18 +303,25 @@ class _Shards:
         least[ranked] = np.repeat(best, np.diff(np.concatenate((head, [len(ranked)]))))
         return least[places]
 
-    def finish(self, batch: int, table: pa.Table, known: dict, got: dict, with_text: bool, unchanged: bool) -> pa.Table:
-        runs, example, place = self._shared(table, known)
+    def finish(self, batch: int, table: pa.Table, got: dict, with_text: bool, unchanged: bool) -> pa.Table:
+        runs, hot = self._shared(table, got)
+        cold = np.flatnonzero(~hot)
+        example, place = self._slices(runs, cold)
         windows = runs.count[example]
         ends = np.concatenate(([0], np.cumsum(windows)))
         bits = np.zeros(int(ends[-1]), dtype=bool)
-        limits = np.searchsorted(by_bucket(runs.hash[example], self.buckets), np.arange(self.buckets + 1))
-        for b, payload in got.items():
-            lo, hi = ends[limits[b]], ends[limits[b + 1]]
-            bits[lo:hi] = np.unpackbits(np.frombuffer(payload, np.uint8), count=hi - lo).astype(bool)
+        for b, lo, hi in split_runs(runs.hash[example], self.buckets):
+            bits[ends[lo] : ends[hi]] = np.unpackbits(np.frombuffer(got[self.buckets + b], np.uint8), count=int(ends[hi] - ends[lo])).astype(bool)
         ids = runs.ids[runs.doc]
-        gone = bits[ragged(ends[:-1][place], runs.count)] | np.repeat(ids > runs.ids[runs.doc[example]][place], runs.count)
-        starts = ragged(runs.start, runs.count)[gone]
+        gone = bits[ragged(ends[:-1][place], runs.count[cold])] | np.repeat(ids[cold] > ids[example][place], runs.count[cold])
+        starts = ragged(runs.start[cold], runs.count[cold])[gone]
+        if hot.any():
+            hot = np.flatnonzero(hot)
+            places, one, _, least, place = self._hot_windows(runs, hot)
+            bits = np.zeros(len(one), dtype=bool)
+            for b, lo, hi in split_runs(one, self.buckets):
+                bits[lo:hi] = np.unpackbits(np.frombuffer(got[2 * self.buckets + b], np.uint8), count=hi - lo).astype(bool)
+            starts = np.concatenate((starts, places[bits[place] | (np.repeat(ids[hot], runs.count[hot]) > least[place])]))
         removed = cover(len(runs.data), starts, self.length)
         n = len(runs.ids)
         opens = removed.copy()
@@ -223,6 +336,7 @@ class _Shards:
         return pa.table(
             {
                 "doc_id": pa.array(runs.ids),
+                "no_id": table.column("no_id").take(pa.array(runs.order)),
                 "mark": table.column("mark").take(pa.array(runs.order)),
                 "n_bytes": pa.array(np.diff(runs.at)),
                 "n_removed": pa.array(n_removed),
@@ -234,21 +348,15 @@ class _Shards:
 
 
 def _removals(docs: DataFrame, length: int, id_col: str, text_col: str, with_text: bool, unchanged: bool = False) -> DataFrame:
-    """remove_repeated_bytes with NO_ID for null and ``mark``, a hash of the text; with ``unchanged``, texts that lose nothing
+    """remove_repeated_bytes with no_id and ``mark``, a hash of the text; with ``unchanged``, texts that lose nothing
     come along, too."""
     batches, total = batch_count(docs, text_col)
     steps = _Shards(length, batches, census_width(total // 10))
     texts = dealt(keyed(docs, id_col, text_col).withColumn("mark", F.xxhash64("text")), batches)
-    known = exchange(texts, None, steps.ask, census_answer(steps.width))
+    known = exchange(texts, None, steps.ask, steps.answer)
     settled = exchange(texts, known, steps.ask_slices, steps.answer_slices)
-    # The last pass needs both answers: those of the second round carry bucket numbers from ``batches`` on.
-    both = known.unionAll(settled.withColumn("bucket", F.col("bucket") + batches))
-
-    def finish(batch: int, table: pa.Table, got: dict) -> pa.Table:
-        first = {b: p for b, p in got.items() if b < batches}
-        return steps.finish(batch, table, first, {b - batches: p for b, p in got.items() if b >= batches}, with_text, unchanged)
-
-    return per_batch(texts, both, finish, _RESULT)
+    # The last pass needs both answers; their bucket numbers differ.
+    return per_batch(texts, known.unionAll(settled), lambda batch, table, got: steps.finish(batch, table, got, with_text, unchanged), _RESULT)
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -258,7 +366,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "
     row of smaller id; strings never cross rows and are judged on the input. kept_text is null where nothing
     was removed; where a cut splits a character, it lacks the rest of that, while kept_sha256 is of all
     remaining bytes. Defined cases: a null text is empty; texts shorter than ``length`` are kept whole; a
-    null id is larger than any other and comes back as null; rows that share an id don't remove each
+    null id counts as the largest id and comes back as null; rows that share an id don't remove each
     other's bytes; an empty table gives an empty result. Other columns are ignored.
     """
     out = with_null_ids(_removals(docs, length, id_col, text_col, with_text).drop("mark"))
@@ -266,13 +374,17 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "
 
 
 def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the repeated bytes of their texts, and with all their columns; n_chars, if there is one, is
-    counted anew for changed texts. Where a cut splits a character, the rest of it goes, too. All texts come from the
-    removal, so that the join moves each text once: the other side brings the other columns alone."""
-    left = _removals(docs, length, id_col, text_col, True, True).select(F.col("doc_id").alias("_cut_id"), F.col("mark").alias("_cut_mark"), F.col("n_removed").alias("_n_cut"), F.col("kept_text").alias("_cut_text")).dropDuplicates(["_cut_id", "_cut_mark"])
+    """docs without the repeated bytes of their texts, and with all their columns.
+
+    n_chars, if there is one, is counted anew for changed texts. Where a cut splits a character, the rest of it goes, too.
+    Defined cases: as in remove_repeated_bytes; a null text stays null; repeated rows stay, each with its cut text; an empty
+    table stays empty. All texts come from the removal, so that the join moves each text once: the other side brings the
+    other columns alone.
+    """
+    left = _removals(docs, length, id_col, text_col, True, True).select(F.when(~F.col("no_id"), F.col("doc_id")).alias("_cut_id"), F.col("mark").alias("_cut_mark"), F.col("n_removed").alias("_n_cut"), F.col("kept_text").alias("_cut_text")).dropDuplicates(["_cut_id", "_cut_mark"])
     text = F.col(text_col).cast("string")
-    own = docs.withColumns({"_own_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_own_mark": F.xxhash64(F.coalesce(text, F.lit(""))), "_has_text": text.isNotNull()}).drop(text_col)
-    joined = own.join(left, (F.col("_own_id") == F.col("_cut_id")) & (F.col("_own_mark") == F.col("_cut_mark")), "left")
+    own = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_mark": F.xxhash64(F.coalesce(text, F.lit(""))), "_has_text": text.isNotNull()}).drop(text_col)
+    joined = own.join(left, F.col("_own_id").eqNullSafe(F.col("_cut_id")) & (F.col("_own_mark") == F.col("_cut_mark")), "left")
     cut = {text_col: F.when(F.col("_has_text"), F.col("_cut_text"))}
     if "n_chars" in docs.columns:
         cut["n_chars"] = F.when(F.col("_n_cut") > 0, F.char_length("_cut_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -5,8 +5,8 @@ word beginnings (stems), that toxic rows have significantly more often. A text's
 words are held against it exactly, by stem, and through a Levenshtein automaton
 of the word intersected with the lexicon's trie, which finds terms at one edit.
 Each hit is weighed by its context: a window of words around it tells whether it
-stands in quotation or is attributed to somebody. A logistic model on these
-counts, fitted on the same labelled rows, gives the score.
+stands in quotation, or is attributed to somebody by a word of reporting before it in its sentence. A logistic model on
+these counts, fitted on the same labelled rows, gives the score.
 """
 
 from __future__ import annotations
@@ -21,12 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.batches import NO_ID, keyed, with_null_ids
+from llm.batches import ids_and_texts, keyed, with_null_ids
 
 #: Labelled rows per class that the model is fitted on (those of smallest hash of the id).
 SAMPLE = 8_000
-#: Terms and stems that the lexicon holds at most, strongest first.
-LEXICON = 4_000
 #: Least signed root of the log-likelihood ratio for a term, and least ratio of its rates in toxic and other rows.
 LEAST_Z, LEAST_RATIO = 4.0, 8.0
 STEMS = (4, 5, 6)
@@ -38,7 +36,13 @@ CACHE_WORDS = 600_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…—–¡¿"
 _OPEN, _CLOSE = "\"“„«‘", "\"”“»’"
 _EXACT, _STEM, _FUZZY = 0, 1, 2
-_FEATURES = 7
+_PLAIN, _ATTRIBUTED, _QUOTED = 0, 1, 2
+#: Words of reporting, which attribute what follows in their sentence to somebody.
+REPORTING = {
+    "said", "says", "saying", "wrote", "writes", "called", "calls", "quoted", "quotes", "quoting", "reported", "reports", "claimed", "according", "told", "replied", "shouted",
+    "sagte", "sagt", "schrieb", "nannte", "laut", "zitierte", "dit", "disait", "écrit", "selon", "cité", "dijo", "dice", "escribió", "llamó", "según", "citó",
+}
+_FEATURES = 10
 
 
 class Lexicon:
@@ -111,17 +115,32 @@ class Lexicon:
         return out
 
     def features(self, text: str) -> list[float]:
-        """Log counts of hits by kind, outside and inside quotation, and their share of words."""
+        """Log counts of hits by kind and context, and the share of plain ones among the words."""
         tokens = text.lower().split()
         found = self.found(tokens)
         if not found:
             return [0.0] * _FEATURES
-        counts = [[0, 0], [0, 0], [0, 0]]
+        counts = [[0, 0, 0], [0, 0, 0], [0, 0, 0]]
         for i, token in enumerate(tokens):
             if token in found:
-                counts[self.hits[token][0]][quoted(tokens, i)] += 1
-        total = sum(c[0] for c in counts)
-        return [math.log1p(c[k]) for c in counts for k in (0, 1)] + [100.0 * total / len(tokens)]
+                counts[self.hits[token][0]][context(tokens, i)] += 1
+        total = sum(c[_PLAIN] for c in counts)
+        return [math.log1p(n) for c in counts for n in c] + [100.0 * total / len(tokens)]
+
+
+def context(tokens: list[str], at: int) -> int:
+    """How the context window presents the word at ``at``."""
+    return _QUOTED if quoted(tokens, at) else _ATTRIBUTED if attributed(tokens, at) else _PLAIN
+
+
+def attributed(tokens: list[str], at: int) -> bool:
+    """Whether a word of reporting stands before the word at ``at`` in the window, with no end of a sentence between."""
+    for before in tokens[max(0, at - WINDOW) : at][::-1]:
+        if before[-1] in ".!?":
+            return False
+        if before.strip(_EDGE) in REPORTING:
+            return True
+    return False
 
 
 def quoted(tokens: list[str], at: int) -> bool:
@@ -165,7 +184,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _learn_lexicon(sample: DataFrame, sizes: tuple[int, int]) -> Lexicon:
-    """The LEXICON strongest entries, the only ones that reach the driver."""
+    """All entries that are strong enough. They are words of the sample, whose size bounds what reaches the driver."""
     clean, toxic = (float(max(n, 1)) for n in sizes)
     counts = sample.mapInArrow(_term_counts, "term string, toxic int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double").alias("c")
@@ -174,7 +193,7 @@ def _learn_lexicon(sample: DataFrame, sizes: tuple[int, int]) -> Lexicon:
     part = lambda x, size: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (expected * size))).otherwise(0.0)
     ratio = (F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (clean + 1))
     strong = counts.withColumn("z", F.sqrt(F.greatest(2 * (part("t", toxic) + part("c", clean)), F.lit(0.0)))).where((ratio >= LEAST_RATIO) & (F.col("z") >= LEAST_Z))
-    rows = strong.orderBy(F.desc("z"), "term").limit(LEXICON).select("term").collect()
+    rows = strong.orderBy(F.desc("z"), "term").select("term").collect()
     entries = [r["term"] for r in rows]
     return Lexicon([e for e in entries if not e.endswith("*")], [e[:-1] for e in entries if e.endswith("*")])
 
@@ -229,7 +248,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return Lexicon([], []), np.append(np.zeros(_FEATURES), 30.0 if sizes.get(1) else -30.0)
     # At most 2 * SAMPLE ids: bounded by the parameter.
     chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic int"))
-    sample = keyed(docs, id_col, text_col).join(chosen, "doc_id").select("text", "toxic")
+    sample = ids_and_texts(docs, id_col, text_col).join(chosen, "doc_id").select("text", "toxic")
     got = [sum(r["toxic"] == c for r in picked) for c in (0, 1)]
     lexicon = _learn_lexicon(sample, (got[0], got[1]))
     rows = sample.mapInArrow(_scored(lexicon, None), "toxic int, value array<double>").groupBy("toxic", "value").count().collect()
@@ -250,7 +269,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     empty table gives an empty result. Other columns are ignored.
     """
     lexicon, beta = fit_toxicity(docs, labels, id_col, text_col, label_col)
-    scored = keyed(docs, id_col, text_col).mapInArrow(_scored(lexicon, beta), "doc_id long, value double")
+    scored = keyed(docs, id_col, text_col).mapInArrow(_scored(lexicon, beta), "doc_id long, no_id boolean, value double")
     return with_null_ids(
-        scored.select("doc_id", ((_fold() == 0) & (F.col("doc_id") != NO_ID)).alias("held_out"), F.col("value").alias("score"), (F.col("value") >= 0.5).cast("int").alias("predicted"))
+        scored.select("doc_id", "no_id", ((_fold() == 0) & ~F.col("no_id")).alias("held_out"), F.col("value").alias("score"), (F.col("value") >= 0.5).cast("int").alias("predicted"))
     )

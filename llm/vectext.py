@@ -7,9 +7,13 @@ hashes is modulo 2**64 on purpose.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U64 = np.uint64
+#: Ranges of more bytes are named by BLAKE2b: sums modulo 2**64 can be made to collide on long structured ranges.
+LONG_RANGE = 1024
 _RNG = np.random.default_rng(20240229)
 #: One random 64-bit value per byte value; fixed by the seed above, so every task agrees.
 BYTE_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -70,6 +74,24 @@ def window_hash(sums: np.ndarray, length: int) -> np.ndarray:
         return mix((sums[length:] - sums[:n]) * _powers(_INV, n) + U64(length))
 
 
+def text_hash(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """range_hash of byte ranges; those of more than LONG_RANGE bytes by BLAKE2b."""
+    out = range_hash(sums, start, end)
+    for i in np.flatnonzero(end - start > LONG_RANGE).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "big")
+    return out
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted (by sorting: faster here than hashing)."""
+    ranked = np.sort(values)
+    if not len(ranked):
+        return ranked
+    head = np.ones(len(ranked), dtype=bool)
+    head[1:] = ranked[1:] != ranked[:-1]
+    return ranked[head]
+
+
 def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the offsets of each document's first word (n + 1).
 
@@ -99,7 +121,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.empty(0, dtype=np.int64)
     first = np.cumsum(lengths) - lengths
-    return np.arange(total) + np.repeat(starts.astype(np.int64) - first, lengths)
+    kind = np.int32 if max(total, int((starts + lengths).max())) < 2**31 else np.int64
+    return np.arange(total, dtype=kind) + np.repeat((starts.astype(np.int64) - first).astype(kind), lengths)
 
 
 def cover(n: int, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+import llm.batches
 import llm.suffix_dedup as module
 from llm.suffix_dedup import remove_repeated_bytes, without_repeated_bytes
 
@@ -38,10 +39,15 @@ def rows_for(seed):
     return rows
 
 
-@pytest.mark.parametrize("length,seed,part", [(20, 1, 3 << 20), (50, 2, 3 << 20), (12, 3, 2000)])
-def test_against_brute_force(spark, monkeypatch, length, seed, part):
+@pytest.mark.parametrize("length,seed,part,hot,batches", [(20, 1, 3 << 20, 20_000, 64), (50, 2, 3 << 20, 20_000, 64), (12, 3, 2000, 20_000, 2), (20, 5, 2000, 3, 64), (50, 6, 3 << 20, 0, 2)])
+def test_against_brute_force(spark, monkeypatch, length, seed, part, hot, batches):
+    """Also in small sorts, with anchors that are hot, and in batches of several chunks."""
     monkeypatch.setattr(module, "SORT_BYTES", part)
+    monkeypatch.setattr(module, "HOT_SLICES", hot)
+    monkeypatch.setattr(llm.batches, "LEAST_BATCHES", batches)
     rows = rows_for(seed)
+    if batches == 2:
+        rows += [(1000 + i, (rows[i][1] or "") + "é" * (i % 7) + f" line {i % 50} " * 200) for i in range(220)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, mark int")
     got = [tuple(r)[:5] for r in remove_repeated_bytes(docs, length).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
