@@ -7,6 +7,7 @@ extended block by block with SHA-256 as far as a format needs.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,14 +93,23 @@ def _bench_address(s: Column) -> Column:
     return F.concat(_choice(["198.18.", "198.19."], _number(s, 0, 4)), (_number(s, 4, 2) % 256).cast("string"), F.lit("."), (_number(s, 6, 2) % 256).cast("string"))
 
 
-def ip_address(original: Column, s: Column, wide: bool = False) -> Column:
-    v4 = _bench_address(s) if wide else F.concat(_choice(TEST_NETS, _number(s, 0, 4)), (_number(s, 4, 4) % 253 + 1).cast("string"))
+def _reserved_address(s: Column) -> Column:
+    """An address of 240.0.0.0/4, which is reserved and never routed."""
+    return F.concat_ws(".", (_number(s, 0, 1) % 15 + 240).cast("string"), *[(_number(s, k, 1)).cast("string") for k in (1, 2, 3)])
+
+
+#: Address spaces beyond the compatible one, by the number that ``wide`` gives.
+WIDER = {1: _bench_address, 2: _reserved_address}
+
+
+def ip_address(original: Column, s: Column, wide: int = 0) -> Column:
+    v4 = WIDER[wide](s) if wide else F.concat(_choice(TEST_NETS, _number(s, 0, 4)), (_number(s, 4, 4) % 253 + 1).cast("string"))
     return F.when(is_ipv6(original), ipv6(s)).otherwise(v4)
 
 
-def cidr(original: Column, s: Column, wide: bool = False) -> Column:
+def cidr(original: Column, s: Column, wide: int = 0) -> Column:
     prefix = F.when(F.contains(original, F.lit("/")), F.substring_index(original, "/", -1)).otherwise("24")
-    return F.concat(_bench_address(s), F.lit("/"), prefix) if wide else F.concat(_choice(TEST_NETS, _number(s, 0, 4)), F.lit("0/"), prefix)
+    return F.concat(WIDER[wide](s), F.lit("/"), prefix) if wide else F.concat(_choice(TEST_NETS, _number(s, 0, 4)), F.lit("0/"), prefix)
 
 
 def hash_like(original: Column, s: Column) -> Column:
@@ -181,60 +191,58 @@ def path(original: Column, s: Column) -> Column:
     return F.when(F.contains(original, F.lit("\\")), back).otherwise(F.array_join(F.transform(F.split(original, "/"), one), "/"))
 
 
-def surrogate_for(entity_type: str, original: Column, engagement: str = "default", salt: Column | str = "", wide: bool = False) -> Column:
-    """The surrogate of one type; unknown types count as OTHER. ``wide``: addresses and networks from the larger space."""
+def _sized(least: int, most: int) -> Callable[[Column, Column], Column]:
+    """As many letters and digits as the original has characters, within limits."""
+    return lambda original, s: pick(s, ALNUM, F.greatest(F.lit(least), F.least(F.length(original), F.lit(most))))
+
+
+#: How each type's surrogate is made from the original and its keystream.
+MAKERS: dict[str, Callable[[Column, Column], Column]] = {
+    "IP_ADDRESS": ip_address,
+    "CIDR": cidr,
+    "IPV6": lambda original, s: ipv6(s),
+    "HASH": hash_like,
+    "MAC_ADDRESS": lambda original, s: mac(s),
+    "TOKEN": token_like,
+    "EMAIL_ADDRESS": lambda original, s: F.concat(pick(s, LOWER, 6), F.lit("@"), pick(s, LOWER, 7, 6), F.lit(".example")),
+    "DOMAIN": domain,
+    "URL": url,
+    "HOSTNAME": hostname,
+    "USERNAME": lambda original, s: F.concat(F.lit("u"), pick(s, LOWER + DIGITS, 6)),
+    "PERSON": lambda original, s: F.concat_ws(" ", _choice(FIRST_NAMES, _number(s, 0, 4)), _choice(LAST_NAMES, _number(s, 4, 4))),
+    "ORGANIZATION": lambda original, s: F.concat_ws(" ", _choice(COMPANY_NAMES, _number(s, 0, 4)), _choice(COMPANY_KINDS, _number(s, 4, 4))),
+    "PAYMENT_CARD": payment_card,
+    "CREDENTIAL": lambda original, s: F.concat(F.lit("Pw"), pick(s, ALNUM, 10), F.lit("!7")),
+    "PATH": path,
+    "IDENTIFIER": _sized(8, 24),
+    "OTHER": _sized(6, 16),
+}
+#: Bytes of keystream that a type needs beyond the first 32, from the original's length.
+NEEDS: dict[str, Callable[[Column], Column]] = {
+    "TOKEN": lambda n: F.greatest(n, F.lit(64)),
+    "HASH": lambda n: n,
+    "DOMAIN": lambda n: n * 3 + 6,
+    "URL": lambda n: n * 3 + 6,
+    "PATH": lambda n: n + 10,
+}
+
+
+def surrogate_for(entity_type: str, original: Column, engagement: str = "default", salt: Column | str = "", wide: int = 0) -> Column:
+    """The surrogate of one type; unknown types count as OTHER. ``wide``: addresses and networks from a larger space (WIDER)."""
     kind = entity_type.upper()
-    salt = F.lit(salt) if isinstance(salt, str) else salt
-    need: Column | int = {"TOKEN": F.greatest(F.length(original), F.lit(64)), "HASH": F.length(original), "PAYMENT_CARD": 32}.get(kind, 32)
-    if kind in ("DOMAIN", "URL"):
-        need = F.length(original) * 3 + 6
-    elif kind == "PATH":
-        need = F.length(original) + 10
-    s = keystream(engagement, F.lit(kind), original, salt, size=need)
-    length = F.length(original)
-    if kind == "IP_ADDRESS":
-        return ip_address(original, s, wide)
-    if kind == "CIDR":
-        return cidr(original, s, wide)
-    if kind == "IPV6":
-        return ipv6(s)
-    if kind == "HASH":
-        return hash_like(original, s)
-    if kind == "MAC_ADDRESS":
-        return mac(s)
-    if kind == "TOKEN":
-        return token_like(original, s)
-    if kind == "EMAIL_ADDRESS":
-        return F.concat(pick(s, LOWER, 6), F.lit("@"), pick(s, LOWER, 7, 6), F.lit(".example"))
-    if kind == "DOMAIN":
-        return domain(original, s)
-    if kind == "URL":
-        return url(original, s)
-    if kind == "HOSTNAME":
-        return hostname(original, s)
-    if kind == "USERNAME":
-        return F.concat(F.lit("u"), pick(s, LOWER + DIGITS, 6))
-    if kind == "PERSON":
-        return F.concat(_choice(FIRST_NAMES, _number(s, 0, 4)), F.lit(" "), _choice(LAST_NAMES, _number(s, 4, 4)))
-    if kind == "ORGANIZATION":
-        return F.concat(_choice(COMPANY_NAMES, _number(s, 0, 4)), F.lit(" "), _choice(COMPANY_KINDS, _number(s, 4, 4)))
-    if kind == "PAYMENT_CARD":
-        return payment_card(original, s)
-    if kind == "CREDENTIAL":
-        return F.concat(F.lit("Pw"), pick(s, ALNUM, 10), F.lit("!7"))
-    if kind == "PATH":
-        return path(original, s)
-    if kind == "IDENTIFIER":
-        return pick(s, ALNUM, F.greatest(F.lit(8), F.least(length, F.lit(24))))
-    return pick(s, ALNUM, F.greatest(F.lit(6), F.least(length, F.lit(16))))
-
-
-def surrogate(entity_type: Column, original: Column, engagement: str = "default", salt: Column | str = "", kinds: list[str] | None = None, wide: bool = False) -> Column:
+    need = NEEDS[kind](F.length(original)) if kind in NEEDS else 32
+    s = keystream(engagement, F.lit(kind), original, F.lit(salt) if isinstance(salt, str) else salt, size=need)
+    if wide and kind in ("IP_ADDRESS", "CIDR"):
+        return (ip_address if kind == "IP_ADDRESS" else cidr)(original, s, wide)
+    return MAKERS.get(kind, MAKERS["OTHER"])(original, s)
+
+
+def surrogate(entity_type: Column, original: Column, engagement: str = "default", salt: Column | str = "", kinds: list[str] | None = None, wide: int = 0) -> Column:
     """The surrogate of a row's own type: one branch is evaluated for each row. A type outside TYPES keys its
     keystream with its own name. ``kinds``: the types that can occur, if known, to keep the plan small."""
     kind = F.upper(F.coalesce(entity_type, F.lit("OTHER")))
     s = keystream(engagement, kind, original, F.lit(salt) if isinstance(salt, str) else salt)
-    other = pick(s, ALNUM, F.greatest(F.lit(6), F.least(F.length(original), F.lit(16))))
+    other = MAKERS["OTHER"](original, s)
     out = None
     for name in TYPES[:-1]:
         if kinds is None or name in kinds:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from incognita.operators.search import holding
+
 
 def search(vault: DataFrame, query: str | None = None, entity_type: str | None = None) -> DataFrame:
     """Rows of a type that hold the query anywhere, whatever its case."""
@@ -32,10 +34,10 @@ def leaks(anonymised: DataFrame, secrets: DataFrame, *keys: str, text: str = "te
     return secrets.join(anonymised.select(*keys, F.col(text).alias("_text")), list(keys)).where(F.contains("_text", F.col("value"))).select(*keys, "value").distinct()
 
 
-def echo_leaks(anonymised: DataFrame, secrets: DataFrame, text: str = "text") -> DataFrame:
+def echo_leaks(anonymised: DataFrame, secrets: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """Secrets of any row that any row's text still holds: the probe that looks at all texts at once, as one."""
     values = secrets.select("value").distinct()
-    return values.join(anonymised.select(F.col(text).alias("_text")), F.contains("_text", F.col("value")), "left_semi")
+    return holding(anonymised, values, *keys, text=text, term="value").select("value").distinct()
 
 
 def roundtrip(before: DataFrame, after: DataFrame, *keys: str, text: str = "text") -> DataFrame:

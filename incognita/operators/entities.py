@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from incognita.functions.rules import ALLOWED_WORDS, STRUCTURED_TYPES
 from incognita.functions.spans import distinct_entities, entities
 from incognita.functions.text import percent_decoded, quoted_literal
+from incognita.operators.search import FEW_TERMS, holding
 
 FLOOR_REGEX, FLOOR_SCOPE, VAULT = "regex", "scope", "vault"
 
@@ -36,11 +37,12 @@ def scope_pattern(value: Column) -> Column:
 
 
 def scope_entities(texts: DataFrame, terms: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """Distinct (value as it stands in the text, entity_type) for scope terms (value, entity_type), whose number is
-    small by nature; of terms that see the same value, the shortest decides, as the last one tried."""
-    terms = terms.select(F.col("value").alias("term"), F.col("entity_type").alias("term_type"))
-    likely = F.contains(F.lower(F.col(text)), F.lower(F.col("term")))
-    hits = texts.join(terms, likely).select(*keys, "term", "term_type", F.explode(F.regexp_extract_all(F.col(text), scope_pattern(F.col("term")), F.lit(1))).alias("value"))
+    """Distinct (value as it stands in the text, entity_type) for scope terms (value, entity_type); of terms that see the
+    same value, the shortest decides, as the last one tried."""
+    terms = terms.select(F.lower("value").alias("_low"), F.col("value").alias("term"), F.col("entity_type").alias("term_type"))
+    met = holding(texts.select(*keys, F.lower(F.col(text)).alias("_low_text")), terms, *keys, text="_low_text", term="_low")
+    seen = F.regexp_extract_all(F.col(text), scope_pattern(F.col("term")), F.lit(1))
+    hits = met.join(texts.select(*keys, text), list(keys)).select(*keys, "term", "term_type", F.explode(seen).alias("value"))
     return hits.groupBy(*keys, "value").agg(F.min_by("term_type", F.struct(F.length("term"), "term")).alias("entity_type"))
 
 
@@ -56,24 +58,10 @@ def merged_types(found: DataFrame, *keys: str) -> DataFrame:
     return found.groupBy(*keys, "value").agg(fold.alias("entity_type"), F.max("is_floor").alias("is_floor"))
 
 
-def _candidates(texts: DataFrame, terms: DataFrame, text: str, term: str, bound: int) -> DataFrame:
-    """Pairs of rows whose text holds the term. Up to ``bound`` terms are broadcast; more are met through the first
-    GRAM characters of each, so that no text meets terms that it can't hold."""
-    holds = F.contains(F.col(text), F.col(term))
-    if terms.limit(bound + 1).count() <= bound:
-        return texts.join(F.broadcast(terms), holds)
-    gram = 6
-    keyed = terms.withColumn("_gram", F.substring(term, 1, gram))
-    short = keyed.where(F.length(term) < gram).drop("_gram")
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - gram + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(gram))))
-    by_gram = texts.withColumn("_gram", F.explode(starts)).join(keyed.where(F.length(term) >= gram), "_gram").where(holds).drop("_gram")
-    return by_gram.unionByName(texts.join(short, holds))
-
-
-def known_entities(texts: DataFrame, vault: DataFrame, *keys: str, text: str = "text", bound: int = 20_000) -> DataFrame:
+def known_entities(texts: DataFrame, vault: DataFrame, *keys: str, text: str = "text", few: int = FEW_TERMS) -> DataFrame:
     """(value, entity_type) of all vault originals that stand anywhere in a text."""
     terms = vault.select(F.col("original").alias("value"), "entity_type")
-    return _candidates(texts, terms, text, "value", bound).select(*keys, "value", "entity_type")
+    return holding(texts, terms, *keys, text=text, term="value", few=few).select(*keys, "value", "entity_type")
 
 
 def without_wrappers(found: DataFrame, *keys: str) -> DataFrame:

@@ -88,15 +88,20 @@ def with_leaves(payloads: DataFrame, changed: DataFrame, key: str, column: str =
 
 
 def requests(conversations: DataFrame) -> DataFrame:
-    """(conv_id, payload): each conversation as a chat request; every third turn's content is a list of blocks, and
-    every fourth one is repeated as a tool call's arguments."""
-    content = F.struct(F.col("role"), F.col("text").alias("content"))
-    blocks = F.struct(F.col("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content"))
-    call = F.struct(F.col("role"), F.lit("").alias("content"), F.array(F.struct(F.lit("c").alias("id"), F.struct(F.lit("note").alias("name"), F.to_json(F.struct("text")).alias("arguments")).alias("function"))).alias("tool_calls"))
-    message = F.when(F.col("turn") % 4 == 3, F.to_json(call)).when(F.col("turn") % 3 == 2, F.to_json(blocks)).otherwise(F.to_json(content))
-    turns = conversations.select("conv_id", F.struct("turn", message.alias("m")).alias("t"))
-    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    return listed.select("conv_id", F.concat(F.lit('{"model":"m","messages":['), F.array_join(F.transform("ts", lambda t: t["m"]), ","), F.lit("]}")).alias("payload"))
+    """(conv_id, payload): each conversation as a chat request. Turns of the system are blocks of its ``system`` field; of
+    the others every third content is a list of blocks, every fourth turn a tool call with its text in the arguments, and
+    every fifth one a block that uses a tool with its text as input."""
+    role, text = F.col("role"), F.col("text")
+    listed = lambda block: F.to_json(F.struct(role, F.array(block).alias("content")))
+    plain = F.struct(F.lit("text").alias("type"), text)
+    use = F.struct(F.lit("tool_use").alias("type"), F.lit("c").alias("id"), F.lit("note").alias("name"), F.struct(text.alias("q")).alias("input"))
+    function = F.struct(F.lit("note").alias("name"), F.to_json(F.struct(text)).alias("arguments"))
+    call = F.to_json(F.struct(role, F.lit("").alias("content"), F.array(F.struct(F.lit("c").alias("id"), function.alias("function"))).alias("tool_calls")))
+    message = F.when(role == "system", F.to_json(plain)).when(F.col("turn") % 4 == 3, call).when(F.col("turn") % 5 == 4, listed(use)).when(F.col("turn") % 3 == 2, listed(plain)).otherwise(F.to_json(F.struct(role, text.alias("content"))))
+    turns = conversations.select("conv_id", F.struct("turn", message.alias("m"), role.eqNullSafe("system").alias("first")).alias("t"))
+    listed_turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    joined = lambda system: F.array_join(F.transform(F.filter("ts", lambda t: t["first"] == F.lit(system)), lambda t: t["m"]), ",")
+    return listed_turns.select("conv_id", F.concat(F.lit('{"model":"m","system":['), joined(True), F.lit('],"messages":['), joined(False), F.lit("]}")).alias("payload"))
 
 
 def parse_model_output(raw: DataFrame, key: str, column: str = "raw") -> DataFrame:

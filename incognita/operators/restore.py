@@ -2,81 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incognita.functions.text import HYPHENS, NOISE, ZERO_WIDTH, projected
-from incognita.operators.entities import _candidates
-
-_DROPPED = set(NOISE + ZERO_WIDTH)
-_FOLD = {ord(h): "-" for h in HYPHENS} | {c: c + 32 for c in range(65, 91)}
-
-
-def project(text: str, noise: bool = True) -> tuple[str, list[int]]:
-    """The tolerant form of a text, and for each of its characters the place in the text."""
-    kept, places, blank = [], [], False
-    for place, char in enumerate(text):
-        if noise and char in _DROPPED:
-            continue
-        space = char.isspace()
-        if not (space and blank):
-            kept.append(" " if space else char)
-            places.append(place)
-        blank = space
-    return "".join(kept).translate(_FOLD), places
-
-
-def restore_spans(text: str, pairs: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, original) of all surrogates in a text; pairs (surrogate, original) claim in their order."""
-    form, places = project(text)
-    taken: list[tuple[int, int]] = []
-    out = []
-    for surrogate, original in pairs:
-        needle = project(surrogate, noise=not set(surrogate).isdisjoint(_DROPPED))[0]
-        at = form.find(needle) if needle else -1
-        while at >= 0:
-            start, end = places[at], places[at + len(needle) - 1] + 1
-            if all(end <= a or b <= start for a, b in taken):
-                taken.append((start, end))
-                out.append((start, end, original))
-            at = form.find(needle, at + len(needle))
-    return sorted(out)
-
+from incognita.functions.text import projected
+from incognita.functions.tolerant import PAIRS, restored_text
+from incognita.operators.search import FEW_TERMS, holding
 
-def restore_text(text: str, pairs: list[tuple[str, str]]) -> str:
-    pieces, at = [], 0
-    for start, end, original in restore_spans(text, pairs):
-        pieces += [text[at:start], original]
-        at = end
-    return "".join([*pieces, text[at:]])
 
-
-def longest_first(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    return sorted(pairs, key=lambda p: (-len(p[0]), p[0]))
-
-
-def restored(texts: DataFrame, vault: DataFrame, *keys: str, text: str = "text", bound: int = 20_000) -> DataFrame:
+def restored(texts: DataFrame, vault: DataFrame, *keys: str, text: str = "text", few: int = FEW_TERMS) -> DataFrame:
     """texts with surrogates turned back, whatever their case, hyphens, white space or marks inside. Only the mappings
-    whose tolerant form stands in a text's go to that text; those of a text are tried longest first. Noise marks
-    of surrogates are dropped on both sides, so that paths with a tilde come back, too."""
-    forms = vault.select(F.col("surrogate").alias("_s"), F.col("original").alias("_o"), projected(F.col("surrogate")).alias("_needle")).where("_needle <> ''")
-    hits = _candidates(texts.select(*keys, projected(F.col(text)).alias("_form")), forms, "_form", "_needle", bound)
-    pairs = hits.groupBy(*keys).agg(F.collect_set(F.struct("_s", "_o")).alias("_pairs"))
+    whose tolerant form stands in a text's go to that text; keys tell its rows apart."""
+    forms = vault.select("surrogate", "original", projected(F.col("surrogate")).alias("_form"))
+    hits = holding(texts.select(*keys, projected(F.col(text)).alias("_projected")), forms, *keys, text="_projected", term="_form", few=few)
+    pairs = hits.groupBy(*keys).agg(F.collect_set(F.struct("surrogate", "original")).alias("_pairs"))
     joined = texts.join(pairs, list(keys), "left")
-    columns = texts.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = []
-            for value, found in zip(batch.column(text).to_pylist(), batch.column("_pairs").to_pylist(), strict=True):
-                new.append(restore_text(value, longest_first([(p["_s"], p["_o"]) for p in found])) if value and found else value)
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else batch.column(c) for c in columns], names=columns)
-
-    return joined.mapInArrow(run, schema)
+    new = F.when(F.col("_pairs").isNull(), F.col(text)).otherwise(restored_text(F.col(text), F.coalesce("_pairs", F.array().cast(PAIRS))))
+    return joined.withColumn(text, new).select(*texts.columns)
 
 
 def restored_exactly(text: Column, pairs: Column) -> Column:
@@ -84,15 +26,6 @@ def restored_exactly(text: Column, pairs: Column) -> Column:
     return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["surrogate"], p["original"]))
 
 
-def safe_cut(buffer: str, pairs: list[tuple[str, str]], target: int) -> int:
-    """The largest cut up to ``target`` that lies inside no match."""
-    cut = min(target, len(buffer))
-    for start, end, _ in restore_spans(buffer, pairs):
-        if start < cut < end:
-            cut = start
-    return max(cut, 0)
-
-
 def json_safe(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """Pairs whose originals are escaped for the inside of a JSON string."""
     import json

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from incognita.functions.surrogates import TYPES, surrogate
-from incognita.sources.shared import cut
+from incognita.sources.shared import cut, delete_tables
 
 ATTEMPTS = 64
-#: Rounds after which addresses and networks that are still open are offered surrogates of the wider space.
-WIDE_FROM = 8
+#: Rounds from which on addresses and networks that are still open are offered surrogates of wider spaces (surrogates.WIDER).
+WIDE_FROM = {1: 3, 2: 8}
 
 
 class ExhaustedError(RuntimeError):
@@ -23,31 +22,36 @@ def mint(wanted: DataFrame, vault: DataFrame | None = None, engagement: str = "d
 
     Round k offers each open original the surrogate of salt k ("" first, then #0, #1 ...). It wins one that no
     vault row and no earlier round has, and that is no original; of several, the smallest original wins. Rounds
-    after the first run over the losers alone. From round WIDE_FROM on, addresses and networks are offered those of
-    198.18.0.0/15 (131,072, or as many for a prefix length). ``checkpoint`` cuts lineage between rounds (a function of a
-    DataFrame and a name); by default rounds are written to the shared folder.
+    after the first run over the losers alone. Addresses and networks that are open after three rounds are offered those of
+    198.18.0.0/15 (131,072, or as many for a prefix length), after eight those of 240.0.0.0/4. ``checkpoint`` cuts lineage
+    between rounds (a function of a DataFrame and a name); by default rounds are written to the shared folder, and what later
+    rounds don't read is deleted.
     """
     keep = checkpoint or cut
     wanted = wanted.select(F.col("value").alias("original"), "entity_type")
     if vault is not None:
         wanted = wanted.join(vault.select("original"), "original", "left_anti")
-    open_ = keep(wanted.groupBy("original").agg(F.min("entity_type").alias("entity_type")), "wanted")
-    everyone = open_.select(F.col("original").alias("surrogate"))
+    everyone = keep(wanted.groupBy("original").agg(F.min("entity_type").alias("entity_type")), "wanted")
+    originals = everyone.select(F.col("original").alias("surrogate"))
     if vault is not None:
-        everyone = everyone.unionAll(vault.select("original"))
+        originals = originals.unionAll(vault.select("original"))
     taken = vault.select("surrogate") if vault is not None else None
-    won = None
-    kinds = [r["kind"] for r in open_.select(F.upper("entity_type").alias("kind")).where(F.col("kind").isin(TYPES)).distinct().collect()]
+    open_, won = everyone, None
     for k in range(attempts):
-        offered = open_.withColumn("surrogate", surrogate(F.col("entity_type"), F.col("original"), engagement, "" if k == 0 else f"#{k - 1}", kinds, wide=k >= WIDE_FROM))
-        free = offered.join(everyone, "surrogate", "left_anti")
+        kinds = [r["kind"] for r in open_.select(F.upper("entity_type").alias("kind")).distinct().collect()] if k else TYPES
+        wide = max((space for space, first in WIDE_FROM.items() if k >= first), default=0)
+        offered = open_.withColumn("surrogate", surrogate(F.col("entity_type"), F.col("original"), engagement, "" if k == 0 else f"#{k - 1}", kinds, wide))
+        free = offered.join(originals, "surrogate", "left_anti")
         if taken is not None:
             free = free.join(taken, "surrogate", "left_anti")
-        best = F.row_number().over(Window.partitionBy("surrogate").orderBy("original"))
-        fresh = keep(free.withColumn("_r", best).where("_r = 1").select("original", "entity_type", "surrogate"), f"round-{k}")
+        # Pre-aggregated before the shuffle: in a small space very many originals meet in few surrogates.
+        best = free.groupBy("surrogate").agg(F.min(F.struct("original", "entity_type")).alias("w"))
+        fresh = keep(best.select("w.original", "w.entity_type", "surrogate"), f"round-{k}")
         won = fresh if won is None else won.unionAll(fresh)
         taken = fresh.select("surrogate") if taken is None else taken.unionAll(fresh.select("surrogate"))
-        open_ = keep(open_.join(fresh.select("original"), "original", "left_anti"), f"open-{k}")
+        before, open_ = open_, keep(open_.join(fresh.select("original"), "original", "left_anti"), f"open-{k}")
+        if before is not everyone:
+            delete_tables(before)
         if open_.isEmpty():
             return won
     kinds = [r["entity_type"] for r in open_.select("entity_type").distinct().orderBy("entity_type").limit(20).collect()]

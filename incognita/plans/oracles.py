@@ -100,17 +100,30 @@ def _domain(value: str) -> str:
     return f"CASE WHEN len({labels}) < 2 THEN {_pick(sg.LOWER, 8)} || '.example' ELSE {subs} || CASE WHEN lower({labels}[-1]) IN ({words(sg.INTERNAL_SUFFIXES)}) THEN '.pentest.local' ELSE '.example' END END"
 
 
-def surrogate_expression(kind: str) -> str:
+def _byte(at: int) -> str:
+    return f"CAST('0x' || substr(ks, {2 * at + 1}, 2) AS INT)"
+
+
+#: Addresses of the wider spaces.
+WIDER = {
+    1: f"{_choice(['198.18.', '198.19.'], _int(0))} || CAST(CAST('0x' || substr(ks, 9, 4) AS INT) % 256 AS VARCHAR) || '.' || CAST(CAST('0x' || substr(ks, 13, 4) AS INT) % 256 AS VARCHAR)",
+    2: f"CAST({_byte(0)} % 15 + 240 AS VARCHAR) || '.' || CAST({_byte(1)} AS VARCHAR) || '.' || CAST({_byte(2)} AS VARCHAR) || '.' || CAST({_byte(3)} AS VARCHAR)",
+}
+
+
+def surrogate_expression(kind: str, wide: int = 0) -> str:
     """The surrogate in terms of ``original`` and ``ks``."""
     n = "length(original)"
     v6 = "'2001:db8:' || " + " || ':' || ".join(_pick(sg.HEX, 4, at) for at in (0, 4, 8, 12))
     if kind == "IP_ADDRESS":
         group = "[0-9a-fA-F]{1,4}"
-        return f"CASE WHEN regexp_full_match(original, '({group}:){{7}}{group}') THEN {v6} ELSE {_choice(sg.TEST_NETS, _int(0))} || CAST({_int(4)} % 253 + 1 AS VARCHAR) END"
+        v4 = WIDER[wide] if wide else f"{_choice(sg.TEST_NETS, _int(0))} || CAST({_int(4)} % 253 + 1 AS VARCHAR)"
+        return f"CASE WHEN regexp_full_match(original, '({group}:){{7}}{group}') THEN {v6} ELSE {v4} END"
     if kind == "IPV6":
         return v6
     if kind == "CIDR":
-        return f"{_choice(sg.TEST_NETS, _int(0))} || '0/' || CASE WHEN contains(original, '/') THEN string_split(original, '/')[-1] ELSE '24' END"
+        net = f"{WIDER[wide]} || '/'" if wide else f"{_choice(sg.TEST_NETS, _int(0))} || '0/'"
+        return f"{net} || CASE WHEN contains(original, '/') THEN string_split(original, '/')[-1] ELSE '24' END"
     if kind == "HASH":
         def one(value: str, ks: str) -> str:
             out = _pick(sg.HEX, f"length({value})", 0, ks)
@@ -171,10 +184,10 @@ def surrogate_expression(kind: str) -> str:
     return _pick(sg.ALNUM, f"greatest(6, least({n}, 16))")
 
 
-def surrogate_cte(source: str, kind: str, engagement: str, salt: str = "''", name: str = "minted") -> str:
+def surrogate_cte(source: str, kind: str, engagement: str, salt: str = "''", name: str = "minted", wide: int = 0) -> str:
     """CTEs that give ``name``: the rows of ``source`` with their surrogate."""
     ks = stream_cte(source, lit(kind), engagement, salt, name=f"{name}_k")
-    expression = surrogate_expression(kind)
+    expression = surrogate_expression(kind, wide)
     if isinstance(expression, tuple):
         laid, digits = expression
         return f"{ks}, {name}_d AS (SELECT *, {digits} AS d FROM {name}_k), {name} AS (SELECT * EXCLUDE (d), {laid} AS surrogate FROM {name}_d)"
@@ -210,25 +223,28 @@ def surrogate_query(kind: str, engagement: str) -> str:
 
 # --- vaults --------------------------------------------------------------------------------------------------------------
 
-def vault_ctes(wanted: str, engagement: str, rounds: int, kinds: list[str]) -> str:
+def vault_ctes(wanted: str, engagement: str, rounds: int, kinds: list[str], late_rounds: int = 0, late: tuple[str, ...] = ("IP_ADDRESS", "CIDR")) -> str:
     """CTEs up to ``vault`` (original, entity_type, surrogate) from ``wanted`` (original, entity_type): so many rounds of
-    offers; an original still open after them is missing."""
-    out = [f"open0 AS (SELECT original, min(entity_type) AS entity_type FROM {wanted} GROUP BY original)"]
+    offers, and ``late_rounds`` more for the types ``late``; an original still open after them is missing."""
+    out = [f"open0 AS MATERIALIZED (SELECT original, min(entity_type) AS entity_type FROM {wanted} GROUP BY original)"]
     won = []
-    for k in range(rounds):
+    for k in range(rounds + late_rounds):
         salt = "''" if k == 0 else f"'#{k - 1}'"
+        wide = 2 if k >= 8 else 1 if k >= 3 else 0
         offers = []
         for i, kind in enumerate(kinds):
+            if k >= rounds and kind not in late:
+                continue
             source = f"open{k}_{i}"
             out.append(f"{source} AS (SELECT * FROM open{k} WHERE entity_type = '{kind}')")
-            out.append(surrogate_cte(source, kind, engagement, salt, name=f"mint{k}_{i}"))
+            out.append(surrogate_cte(source, kind, engagement, salt, name=f"mint{k}_{i}", wide=wide))
             offers.append(f"SELECT original, entity_type, surrogate FROM mint{k}_{i}")
         taken = " UNION ALL ".join(f"SELECT surrogate FROM won{j}" for j in range(k)) or "SELECT NULL AS surrogate WHERE false"
-        out.append(f"offer{k} AS ({' UNION ALL '.join(offers)})")
-        out.append(f"won{k} AS (SELECT original, entity_type, surrogate FROM (SELECT *, row_number() OVER (PARTITION BY surrogate ORDER BY original) AS n FROM offer{k} WHERE surrogate NOT IN ({taken}) AND surrogate NOT IN (SELECT original FROM open0)) WHERE n = 1)")
-        out.append(f"open{k + 1} AS (SELECT * FROM open{k} WHERE original NOT IN (SELECT original FROM won{k}))")
+        out.append(f"offer{k} AS MATERIALIZED ({' UNION ALL '.join(offers)})")
+        out.append(f"won{k} AS MATERIALIZED (SELECT original, entity_type, surrogate FROM (SELECT *, row_number() OVER (PARTITION BY surrogate ORDER BY original) AS n FROM offer{k} WHERE surrogate NOT IN ({taken}) AND surrogate NOT IN (SELECT original FROM open0)) WHERE n = 1)")
+        out.append(f"open{k + 1} AS MATERIALIZED (SELECT * FROM open{k} WHERE original NOT IN (SELECT original FROM won{k}))")
         won.append(f"SELECT * FROM won{k}")
-    out.append(f"vault AS ({' UNION ALL '.join(won)})")
+    out.append(f"vault AS MATERIALIZED ({' UNION ALL '.join(won)})")
     return ", ".join(out)
 
 

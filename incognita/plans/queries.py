@@ -11,14 +11,14 @@ from incognita.functions import surrogates as sg
 from incognita.functions.rules import CARD, RULES, Rule
 from incognita.functions.spans import rule_spans
 from incognita.functions.text import chunks, model_type, scope_type
-from incognita.operators import audit, payload, vault as vaults
+from incognita.operators import audit, detectors, payload, vault as vaults
 from incognita.operators.entities import claimed_spans, entity_counts, floor_entities, keep_entity, known_entities, merged_types, scope_entities, without_wrappers
 from incognita.operators.replace import anonymized
 from incognita.operators.restore import MANGLERS, mangled, restored, restored_exactly
 from incognita.plans import oracles as sql
-from incognita.sources.corpus import parse_scope, texts, tool_lines
+from incognita.sources.corpus import append_vault, parse_scope, read_vault, texts, tool_lines, write_export_csv
 from incognita.sources.shared import cut, new_path
-from incognita.streaming.restore import restored_stream
+from incognita.streaming.restore import restored_events, restored_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 ENGAGEMENT = "acme-2024"
@@ -60,10 +60,10 @@ _add(
     f"SELECT entity_type, count(*) AS n, count(DISTINCT value) AS n_distinct FROM ({sql.CLAIMED}) GROUP BY 1",
 )
 
-#: Scope entries from the tables: market segments and regions as organisations, some hosts and networks.
+#: Scope entries from the tables: market segments and regions as organisations, each customer's host, some networks.
 SCOPE_SQL = r"""SELECT c_mktsegment || '=organization' AS value FROM {customer} GROUP BY c_mktsegment
 UNION ALL SELECT ' ' || r_name || ' = Organization ' FROM {region}
-UNION ALL SELECT 'srv' || CAST(c_custkey AS STRING) || '.corp.local' FROM {customer} WHERE c_custkey % 32 = 26 AND c_custkey < 400
+UNION ALL SELECT 'srv' || CAST(c_custkey AS STRING) || '.corp.local' FROM {customer}
 UNION ALL SELECT '# ' || n_name FROM {nation} WHERE n_nationkey < 5
 UNION ALL SELECT '10.' || CAST(n_nationkey AS STRING) || '.0.0/16' FROM {nation} WHERE n_nationkey < 3
 UNION ALL SELECT n_name FROM {nation} WHERE n_nationkey >= 5"""
@@ -133,6 +133,52 @@ _add(
 )
 
 
+def _whole_tokens(text: str) -> list[tuple[str, str]]:
+    """A contextual detector: tokens between blanks that hold a mark. It breaks at lines without secrets."""
+    if text.startswith("nothing"):
+        raise ValueError("a detector's own fault")
+    return [(t, "USERNAME" if "\\" in t else "OTHER") for t in text.split(" ") if any(c in t for c in "=@\\")]
+
+
+def _chain(spark: SparkSession, d: str) -> DataFrame:
+    detectors.register("tokens", detectors.from_function(_whole_tokens))
+    return detectors.detected(tool_lines(spark, d), ["tokens", "no such", "REGEX", "tokens"], *KEYS, scope=_scope(spark, d))
+
+
+_add(
+    "detector_chain",
+    _chain,
+    rf"""WITH {sql.FOUND}, scope AS ({SCOPE_TYPES}), tool AS (SELECT * FROM texts WHERE source = 'tool'),
+seen AS (SELECT source, row_id, scope.value AS term, entity_type, unnest(regexp_extract_all(text, '(?i)(?:^|[^\w@-])(' || regexp_escape(scope.value) || ')(?:$|\.$|\.[^\w-]|[^\w.-])', 1)) AS value FROM tool JOIN scope ON contains(lower(text), lower(scope.value))),
+s AS (SELECT source, row_id, value, min_by(entity_type, (length(term), term)) AS t FROM seen GROUP BY ALL),
+f AS (SELECT source, row_id, value, entity_type AS t FROM found WHERE source = 'tool'),
+c AS (SELECT DISTINCT source, row_id, value, CASE WHEN contains(value, '\') THEN 'USERNAME' ELSE 'OTHER' END AS t FROM (SELECT source, row_id, unnest(string_split(text, ' ')) AS value FROM tool WHERE NOT starts_with(text, 'nothing')) WHERE contains(value, '=') OR contains(value, '@') OR contains(value, '\')),
+k AS (SELECT source, row_id, value FROM f UNION SELECT source, row_id, value FROM s UNION SELECT source, row_id, value FROM c),
+m AS (SELECT k.*, CASE WHEN c.t IS NOT NULL AND coalesce(s.t, f.t, '') NOT IN ({sql.MERGE_STRUCTURED}) THEN c.t ELSE coalesce(s.t, f.t) END AS entity_type, f.value IS NOT NULL OR s.value IS NOT NULL AS is_floor
+  FROM k LEFT JOIN f ON f.source = k.source AND f.row_id = k.row_id AND f.value = k.value LEFT JOIN s ON s.source = k.source AND s.row_id = k.row_id AND s.value = k.value LEFT JOIN c ON c.source = k.source AND c.row_id = k.row_id AND c.value = k.value)
+SELECT source, row_id, value, entity_type, is_floor FROM m WHERE (is_floor OR NOT EXISTS (SELECT 1 FROM m i WHERE i.is_floor AND length(i.value) >= 6 AND i.source = m.source AND i.row_id = m.row_id AND i.value <> m.value AND contains(m.value, i.value)
+  AND regexp_full_match(substr(m.value, 1, strpos(m.value, i.value) - 1) || substr(m.value, strpos(m.value, i.value) + length(i.value)), '[\w.\-]{{0,24}}\s*["'']?\s*[:=]?\s*["'']?')))
+  AND (is_floor OR NOT (length(value) < 4 OR lower(value) IN ({sql.ALLOWED})))""",
+)
+
+
+def _model_output(spark: SparkSession, d: str) -> DataFrame:
+    """What a model may answer about a customer, in each of the shapes that are understood."""
+    item = F.to_json(F.struct(F.col("c_name").alias("text"), F.lit("PERSON").alias("type")))
+    other = F.to_json(F.struct(F.col("c_mktsegment").alias("value"), F.lit("ORGANIZATION").alias("entity_type")))
+    both = F.concat(F.lit("["), item, F.lit(", "), other, F.lit("]"))
+    shape = F.col("c_custkey") % 5
+    raw = F.when(shape == 0, both).when(shape == 1, F.concat(F.lit('{"entities": '), both, F.lit("}"))).when(shape == 2, item).when(shape == 3, F.concat(F.lit("Here they are:\n"), both, F.lit(" as asked"))).otherwise("I found none.")
+    return payload.parse_model_output(_table(spark, d, "customer").select("c_custkey", raw.alias("raw")), "c_custkey")
+
+
+_add(
+    "model_output",
+    _model_output,
+    "SELECT c_custkey, c_name AS value, 'PERSON' AS entity_type FROM customer WHERE c_custkey % 5 <> 4 UNION ALL SELECT c_custkey, c_mktsegment, 'ORGANIZATION' FROM customer WHERE c_custkey % 5 IN (0, 1, 3)",
+)
+
+
 # --- surrogates ----------------------------------------------------------------------------------------------------------
 
 def _surrogates(kind: str) -> Query:
@@ -155,9 +201,8 @@ for _kind in sg.TYPES:
 # --- vault ---------------------------------------------------------------------------------------------------------------
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    """Entities of the tables' texts that the small spaces of compatible surrogates can hold: networks and addresses
-    of documents and pages only."""
-    return floor_entities(texts(spark, d), *KEYS).where("NOT (source = 'tool' AND entity_type IN ('CIDR', 'IP_ADDRESS'))")
+    """Entities of all the tables' texts."""
+    return floor_entities(texts(spark, d), *KEYS)
 
 
 def _vault(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -165,24 +210,50 @@ def _vault(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return found, cut(vaults.mint(found.select("value", "entity_type").distinct(), None, ENGAGEMENT), "vault")
 
 
-VAULT = f"""{sql.FOUND}, kept AS (SELECT * FROM found WHERE NOT (source = 'tool' AND entity_type IN ('CIDR', 'IP_ADDRESS'))),
-wanted AS (SELECT DISTINCT value AS original, entity_type FROM kept), {sql.vault_ctes("wanted", ENGAGEMENT, 4, KINDS)}"""
+VAULT = f"""{sql.FOUND}, wanted AS (SELECT DISTINCT value AS original, entity_type FROM found), {sql.vault_ctes("wanted", ENGAGEMENT, 4, KINDS, 3)}"""
 _add("vault_build", lambda spark, d: _vault(spark, d)[1], f"WITH {VAULT} SELECT * FROM vault")
 _add("vault_export", lambda spark, d: vaults.export(_vault(spark, d)[1]), f"WITH {VAULT} SELECT original, entity_type, surrogate FROM vault")
 _add("vault_stats", lambda spark, d: vaults.stats(_vault(spark, d)[1]), f"WITH {VAULT} SELECT entity_type, count(*) AS n FROM vault GROUP BY ROLLUP (entity_type)")
 
 
-def _collisions(spark: SparkSession, d: str) -> DataFrame:
-    """More people than half the pool has names: several rounds."""
-    people = _table(spark, d, "nation").crossJoin(_table(spark, d, "region")).select(F.concat_ws(" ", "n_name", "r_name").alias("value"), F.lit("PERSON").alias("entity_type"))
-    return vaults.mint(people, None, ENGAGEMENT)
-
-
+#: A network for each customer: three compatible surrogates for all of them, so that most meet in the wider spaces.
+NETWORKS_SQL = "SELECT '10.' || CAST(c_custkey % 250 AS STRING) || '.' || CAST(CAST(floor(c_custkey / 250) AS BIGINT) % 250 AS STRING) || '.' || CAST(CAST(floor(c_custkey / 62500) AS BIGINT) AS STRING) || '/24' AS value, 'CIDR' AS entity_type FROM {customer}"
 _add(
     "vault_collisions",
-    _collisions,
-    f"WITH people AS (SELECT n_name || ' ' || r_name AS original, 'PERSON' AS entity_type FROM nation, region), {sql.vault_ctes('people', ENGAGEMENT, 9, ['PERSON'])} SELECT * FROM vault",
+    lambda spark, d: vaults.mint(spark.sql(NETWORKS_SQL, customer=_table(spark, d, "customer")), None, ENGAGEMENT),
+    f"WITH networks AS (SELECT value AS original, entity_type FROM ({NETWORKS_SQL.format(customer='customer')})), {sql.vault_ctes('networks', ENGAGEMENT, 7, ['CIDR'])} SELECT * FROM vault",
 )
+
+
+def _looked_up(spark: SparkSession, d: str) -> DataFrame:
+    """Each tool line's values with their surrogates, looked up and back."""
+    found, vault = _vault(spark, d)
+    there = vaults.look_up(found.where("source = 'tool'").select(*KEYS, "value"), vault)
+    return vaults.look_up(there.withColumnRenamed("surrogate", "s"), vault, "s", "surrogate").select(*KEYS, "value", F.col("s").alias("surrogate"), F.col("original").alias("back"))
+
+
+_add("vault_look_up", _looked_up, f"WITH {VAULT} SELECT source, row_id, value, surrogate, original AS back FROM found LEFT JOIN vault ON original = value WHERE source = 'tool'")
+_add("vault_mappings", lambda spark, d: vaults.mappings(_vault(spark, d)[1]), f"WITH {VAULT} SELECT surrogate, original FROM vault")
+_add("vault_originals", lambda spark, d: vaults.known_originals(_vault(spark, d)[1]), f"WITH {VAULT} SELECT original, entity_type FROM vault")
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The vault of two engagements written as a table, and one of them read back."""
+    path, vault = new_path(spark, "vault-table"), _vault(spark, d)[1]
+    append_vault(vaults.as_rows(vault, ENGAGEMENT), path)
+    append_vault(vaults.as_rows(vault.where("entity_type = 'HASH'"), "other"), path)
+    return read_vault(spark, path, ENGAGEMENT).select("engagement", "original", "norm", "entity_type", "surrogate", F.col("created_at").isNotNull().alias("is_dated"))
+
+
+def _exported(spark: SparkSession, d: str) -> DataFrame:
+    """The vault's export written as CSV and read back."""
+    path = new_path(spark, "export-csv")
+    write_export_csv(vaults.export(_vault(spark, d)[1]), path)
+    return spark.read.schema("original string, entity_type string, surrogate string").csv(path, header=True, escape='"', multiLine=True)
+
+
+_add("vault_round_trip", _stored, f"WITH {VAULT} SELECT '{ENGAGEMENT}' AS engagement, original, lower(original) AS norm, entity_type, surrogate, true AS is_dated FROM vault")
+_add("vault_export_csv", _exported, f"WITH {VAULT} SELECT original, entity_type, surrogate FROM vault")
 _add(
     "rescan_known",
     lambda spark, d: known_entities(tool_lines(spark, d), _vault(spark, d)[1], *KEYS),
@@ -201,7 +272,7 @@ def _anonymised(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
 # Entities of one text that hold one another are met longest first; else plain replacement in any order is the same.
 # A value that only stands inside a longer word is detected, but not replaced.
 BOUNDED = r"""regexp_matches({text}, CASE WHEN regexp_matches({value}, '^\w') THEN '(?:^|[^\w]|%[0-9a-fA-F]{{2}})' ELSE '' END || regexp_escape({value}) || CASE WHEN regexp_matches({value}, '\w$') THEN '(?:$|[^\w])' ELSE '' END)"""
-ANONYMISED = f"""{VAULT}, pairs AS (SELECT k.source, k.row_id, list([{{'o': original, 's': surrogate}}] ORDER BY length(original) DESC, original) AS l FROM kept k JOIN vault ON vault.original = k.value
+ANONYMISED = f"""{VAULT}, pairs AS (SELECT k.source, k.row_id, list([{{'o': original, 's': surrogate}}] ORDER BY length(original) DESC, original) AS l FROM found k JOIN vault ON vault.original = k.value
   JOIN texts t ON t.source = k.source AND t.row_id = k.row_id WHERE {BOUNDED.format(text="t.text", value="k.value")} GROUP BY ALL),
 anonymised AS (SELECT t.source, t.row_id, t.text AS before, CASE WHEN l IS NULL THEN t.text ELSE list_reduce(list_prepend([{{'o': '', 's': t.text}}], l), lambda a, b: [{{'o': '', 's': replace(a[1].s, b[1].o, b[1].s)}}])[1].s END AS text
   FROM texts t LEFT JOIN pairs p ON t.source = p.source AND t.row_id = p.row_id)"""
@@ -229,24 +300,24 @@ def _checks(spark: SparkSession, d: str) -> DataFrame:
     return whole.join(secrets, list(KEYS), "left").join(bad, list(KEYS), "left").select(*KEYS, zero("n_secrets"), zero("n_leaks"), "roundtrip_ok")
 
 
-CHECKS = f"WITH {sql.FOUND} SELECT t.source, t.row_id, count(f.value) AS n_secrets, coalesce(sum((NOT {BOUNDED.format(text='t.text', value='f.value')})::INT), 0)::BIGINT AS n_leaks, true AS roundtrip_ok FROM texts t LEFT JOIN (SELECT * FROM found WHERE NOT (source = 'tool' AND entity_type IN ('CIDR', 'IP_ADDRESS'))) f ON t.source = f.source AND t.row_id = f.row_id GROUP BY ALL"
+CHECKS = f"WITH {sql.FOUND} SELECT t.source, t.row_id, count(f.value) AS n_secrets, coalesce(sum((NOT {BOUNDED.format(text='t.text', value='f.value')})::INT), 0)::BIGINT AS n_leaks, true AS roundtrip_ok FROM texts t LEFT JOIN found f ON t.source = f.source AND t.row_id = f.row_id GROUP BY ALL"
 _add("roundtrip_check", _checks, CHECKS)
 _add(
     "leak_check",
     lambda spark, d: (lambda s: audit.leaks(s[3], s[1], *KEYS))(_anonymised(spark, d)),
-    f"WITH {sql.FOUND} SELECT f.source, f.row_id, f.value FROM found f JOIN texts t ON t.source = f.source AND t.row_id = f.row_id WHERE NOT (f.source = 'tool' AND f.entity_type IN ('CIDR', 'IP_ADDRESS')) AND NOT {BOUNDED.format(text='t.text', value='f.value')}",
+    f"WITH {sql.FOUND} SELECT f.source, f.row_id, f.value FROM found f JOIN texts t ON t.source = f.source AND t.row_id = f.row_id WHERE NOT {BOUNDED.format(text='t.text', value='f.value')}",
 )
 _add("verify_report", lambda spark, d: audit.report(_checks(spark, d)), f"SELECT count(*) AS n_texts, sum(n_secrets)::BIGINT AS n_secrets, sum(n_leaks)::BIGINT AS n_leaks, 0::BIGINT AS n_broken, sum(n_leaks) = 0 AS passed FROM ({CHECKS})")
 _add(
     "echo_probe",
-    lambda spark, d: (lambda s: audit.echo_leaks(s[3], s[1].where("source <> 'tool'").where(F.length("value") > 12)))(_anonymised(spark, d)),
-    f"WITH {ANONYMISED} SELECT DISTINCT value FROM kept WHERE source <> 'tool' AND length(value) > 12 AND EXISTS (SELECT 1 FROM anonymised WHERE contains(text, value))",
+    lambda spark, d: (lambda s: audit.echo_leaks(s[3], s[1], *KEYS))(_anonymised(spark, d)),
+    f"WITH {ANONYMISED} SELECT DISTINCT value FROM found WHERE EXISTS (SELECT 1 FROM anonymised WHERE contains(text, value))",
 )
 
 
 def _mangled(spark: SparkSession, d: str) -> DataFrame:
     """Rates at which rewritten surrogates of the texts' vault come back, naive and tolerant."""
-    vault = _vault(spark, d)[1].where("entity_type <> 'URL'")
+    vault = _vault(spark, d)[1]
     echoes = None
     for name in MANGLERS:
         one = vault.select(F.lit(name).alias("mangler"), F.col("original").alias("wanted"), "surrogate", mangled(F.col("surrogate"), name).alias("text"))
@@ -267,7 +338,7 @@ _MANGLED_SQL = {
 _add(
     "mangled_restore_rate",
     _mangled,
-    f"WITH {VAULT}, v AS (SELECT original, surrogate AS s FROM vault WHERE entity_type <> 'URL') "
+    f"WITH {VAULT}, v AS (SELECT original, surrogate AS s FROM vault) "
     + " UNION ALL ".join(f"SELECT '{m}' AS mangler, count(*) AS n, sum(contains(replace({e}, s, original), original)::INT)::BIGINT AS naive_ok, count(*) AS tolerant_ok FROM v" for m, e in _MANGLED_SQL.items()),
 )
 
@@ -285,7 +356,7 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 def _payloads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     asked = cut(_requests(spark, d), "requests")
     leaves = cut(payload.leaves(asked, "conv_id"), "leaves")
-    found = cut(floor_entities(leaves, "conv_id", "path").where("entity_type NOT IN ('CIDR', 'IP_ADDRESS')"), "found")
+    found = cut(floor_entities(leaves, "conv_id", "path"), "found")
     vault = cut(vaults.mint(found.select("value", "entity_type").distinct(), None, ENGAGEMENT), "vault")
     changed = cut(anonymized(leaves, found, vault, "conv_id", "path"), "changed")
     return asked, found, vault, cut(payload.with_leaves(asked, changed, "conv_id"), "sent")
@@ -308,7 +379,7 @@ _add(
     _payload_leaks,
     f"""WITH {TURNS}, texts AS (SELECT 'conv' AS source, conv_id * 100 + turn AS row_id, text FROM turns), {sql._spans()},
 ranked AS (SELECT row_id, x.v AS value, x.t AS t, row_number() OVER (PARTITION BY row_id, x.v ORDER BY k) AS n FROM (SELECT row_id, unnest(c) AS x, unnest(range(len(c))) AS k FROM claims)),
-f AS (SELECT r.row_id // 100 AS conv_id, value, {BOUNDED.format(text="texts.text", value="value")} AS open FROM ranked r JOIN texts ON texts.row_id = r.row_id WHERE n = 1 AND t NOT IN ('CIDR', 'IP_ADDRESS')
+f AS (SELECT r.row_id // 100 AS conv_id, value, {BOUNDED.format(text="texts.text", value="value")} AS open FROM ranked r JOIN texts ON texts.row_id = r.row_id WHERE n = 1
   UNION SELECT conv_id, regexp_extract(text, 'auth=user%7C([0-9a-f]{{32}})%7Cend', 1), true FROM turns WHERE contains(text, 'auth=user%7C'))
 SELECT c.conv_id, count(DISTINCT value) AS n_secrets, coalesce(sum((NOT open)::INT), 0)::BIGINT AS n_leaks FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id = c.conv_id GROUP BY ALL""",
 )
@@ -365,6 +436,43 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 _add("stream_restore", _stream, f"SELECT CAST(row_id AS VARCHAR) AS stream, md5(text) AS text_md5 FROM ({sql.TOOL})")
 
 
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Tool lines, anonymised, as the answers of a chat server: event lines of two formats (by row), with comments and events that
+    hold no text between them, restored in one streaming query; what each line's text came out as, and its other lines."""
+    lines = tool_lines(spark, d)
+    found = cut(floor_entities(lines, *KEYS), "found")
+    vault = cut(vaults.mint(found.select("value", "entity_type").distinct(), None, ENGAGEMENT), "vault")
+    own = cut(found.join(vault.withColumnRenamed("original", "value"), "value").select(F.col("row_id").cast("string").alias("stream"), "surrogate", F.col("value").alias("original")), "own")
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(DELTA)), lambda i: F.substring(F.col("text"), i + 1, F.lit(DELTA)))
+    event = lambda body: F.concat(F.lit("data: "), F.to_json(body))
+    first = lambda piece: event(F.struct(F.lit("content_block_delta").alias("type"), F.lit(0).alias("index"), F.struct(F.lit("text_delta").alias("type"), piece.alias("text")).alias("delta")))
+    second = lambda piece: event(F.struct(F.array(F.struct(F.lit(0).alias("index"), F.struct(piece.alias("content")).alias("delta"))).alias("choices")))
+    stop = event(F.struct(F.lit("content_block_stop").alias("type"), F.lit(0).alias("index")))
+    is_first = F.col("row_id") % 2 == 0
+    whole = F.concat(F.array(F.lit(": ping"), F.lit("event: start")), F.transform(cuts, lambda p: F.when(is_first, first(p)).otherwise(second(p))), F.when(is_first, F.array(stop, F.lit("data: no json"))).otherwise(F.array(F.lit(""), F.lit("data: [DONE]"))))
+    sent = anonymized(lines, found, vault, *KEYS).select(F.col("row_id").cast("string").alias("stream"), F.posexplode(whole).alias("seq", "line")).withColumn("seq", F.col("seq").cast("long"))
+    source, sink, marks = (new_path(spark, name) for name in ("events", "restored-events", "marks"))
+    for part in (2, 0, 1):
+        sent.where(F.pmod(F.col("seq"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = restored_events(stream, own).writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.schema("stream string, seq long, part int, line string").parquet(sink)
+    data = F.substring("line", 7, 1_000_000)
+    text = F.coalesce(F.get_json_object(data, "$.delta.text"), F.get_json_object(data, "$.choices[0].delta.content"))
+    placed = out.select("stream", F.struct("seq", "part", text.alias("text"), "line").alias("p")).groupBy("stream").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    joined = lambda keep, field: F.array_join(F.transform(F.filter("ps", keep), lambda p: p[field]), "" if field == "text" else "\n")
+    return placed.select("stream", F.md5(joined(lambda p: p["text"].isNotNull(), "text")).alias("text_md5"), joined(lambda p: p["text"].isNull(), "line").alias("other_lines"))
+
+
+_add(
+    "stream_events",
+    _events,
+    f"""SELECT CAST(row_id AS VARCHAR) AS stream, md5(text) AS text_md5, ': ping' || chr(10) || 'event: start' || chr(10) ||
+  CASE WHEN row_id % 2 = 0 THEN 'data: {{"type":"content_block_stop","index":0}}' || chr(10) || 'data: no json' ELSE chr(10) || 'data: [DONE]' END AS other_lines FROM ({sql.TOOL})""",
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detect, map, replace and restore all texts: per row its secrets, leaks and whether it came back whole."""
     return _checks(spark, sf_dir)

@@ -1,8 +1,7 @@
-"""Restoration of streamed text deltas.
+"""Restoration of streamed texts: deltas, and the event lines of chats.
 
-Deltas carry a stream, a block and a sequence number. State keeps, for each (stream, block), the text not
-yet given out, the number expected next, deltas that came early, and the stream's own mappings, so that micro-batches may arrive in any order; an
-end mark counts once all deltas before it have. Text is held back as far as a surrogate may still grow.
+State keeps, for each stream, what is held back of its texts, the number expected next, what came early, and the stream's own
+mappings, so that micro-batches may arrive in any order; an end counts once all before it has.
 """
 
 from __future__ import annotations
@@ -14,60 +13,52 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.window import Window
 
-from incognita.operators.restore import longest_first, restore_text, safe_cut
+from incognita.streaming.matcher import Held, Matcher
 
-#: Marks inside a surrogate that the hold-back allows for.
-ROOM = 16
 DELTAS = "stream string, block int, seq long, delta string, is_end boolean"
+LINES = "stream string, seq long, line string"
 _STATE = "held string, next long, early string, pairs string"
-_OUT = "stream string, block int, seq long, text string"
+_PIECES = "stream string, block int, seq long, text string"
+_RESTORED = "stream string, seq long, part int, line string"
+#: A number that is never expected: what comes after an end is dropped.
+_NEVER = 2**62
 
 
-class HoldBack:
-    """Restores a text that comes in pieces."""
+def _with_pairs(rows: DataFrame, pairs: list[tuple[str, str]] | DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Rows with their stream's mappings as JSON in a column ``pairs``, and the mappings of all streams."""
+    if isinstance(pairs, list):
+        return rows.withColumn("pairs", F.lit(None).cast("string")), pairs
+    own = pairs.groupBy("stream").agg(F.to_json(F.collect_set(F.struct("surrogate", "original"))).alias("pairs"))
+    return rows.join(own, "stream", "left"), []
 
-    def __init__(self, pairs: list[tuple[str, str]], held: str = ""):
-        self.pairs, self.held = longest_first(pairs), held
-        self.room = max((len(s) for s, _ in pairs), default=0) + ROOM
 
-    def push(self, delta: str) -> str:
-        self.held += delta
-        cut = safe_cut(self.held, self.pairs, len(self.held) - self.room) if len(self.held) > self.room else 0
-        out, self.held = restore_text(self.held[:cut], self.pairs), self.held[cut:]
-        return out
-
-    def flush(self) -> str:
-        out, self.held = restore_text(self.held, self.pairs), ""
-        return out
+def _known(frames: list[pd.DataFrame], kept: str) -> dict[str, str]:
+    known = dict(json.loads(kept))
+    for frame in frames:
+        for raw in frame["pairs"].dropna().unique():
+            known |= {p["surrogate"]: p["original"] for p in json.loads(raw)}
+    return known
 
 
 def restored_stream(deltas: DataFrame, pairs: list[tuple[str, str]] | DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """A streaming DataFrame of restored pieces (stream, block, seq of the last delta in it, text) for deltas of the
     columns of DELTAS. ``pairs``: a table of each stream's own mappings (stream, surrogate, original), which are
-    joined to its deltas and kept in its state; or a short list of (surrogate, original) for all streams. A delta that comes twice counts once. With ``timeout_ms`` a block without an end is given out after
-    that time in silence."""
-
-    shared: list[tuple[str, str]] = []
-    if isinstance(pairs, DataFrame):
-        own = pairs.groupBy("stream").agg(F.to_json(F.collect_set(F.struct("surrogate", "original"))).alias("pairs"))
-        deltas = deltas.join(own, "stream", "left")
-    else:
-        shared = pairs
-        deltas = deltas.withColumn("pairs", F.lit(None).cast("string"))
+    joined to its deltas and kept in its state; or a short list of (surrogate, original) for all streams. A delta that comes
+    twice counts once. With ``timeout_ms`` a block without an end is given out after that time in silence."""
+    deltas, shared = _with_pairs(deltas, pairs)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, expected, raw, mine = state.get if state.exists else ("", 0, "{}", "[]")
+        held, expected, raw, kept = state.get if state.exists else ('["", false]', 0, "{}", "[]")
         early: dict[str, list] = json.loads(raw)
         frames = [] if state.hasTimedOut else list(frames)
-        known = {p["surrogate"]: p["original"] for rows in (mine, *(r for f in frames for r in f["pairs"].dropna().unique())) for p in json.loads(rows)}
-        mine = json.dumps([{"surrogate": s, "original": o} for s, o in known.items()])
-        hold = HoldBack([*known.items(), *shared], held)
+        known = _known(frames, kept)
+        hold = Held(Matcher([*known.items(), *shared]), *json.loads(held))
+        piece = lambda seq, text: pd.DataFrame([(*key, seq, text)], columns=["stream", "block", "seq", "text"])
         if state.hasTimedOut:
             late = "".join(early[k][0] for k in sorted(early, key=int))
             state.remove()
-            yield pd.DataFrame([(*key, expected, hold.push(late) + hold.flush())], columns=["stream", "block", "seq", "text"])
+            yield piece(expected, hold.push(late) + hold.flush())
             return
         for frame in frames:
             for seq, delta, end in zip(frame["seq"], frame["delta"], frame["is_end"], strict=True):
@@ -79,39 +70,94 @@ def restored_stream(deltas: DataFrame, pairs: list[tuple[str, str]] | DataFrame,
             expected, ended = expected + 1, item[1]
         if ended:
             out.append(hold.flush())
-            # What comes after the end starts at a number that is never expected again.
-            state.update(("", 2**62, "{}", "[]"))
+            state.update(('["", false]', _NEVER, "{}", "[]"))
         else:
-            state.update((hold.held, expected, json.dumps(early), mine))
+            state.update((json.dumps([hold.text, hold.after_blank]), expected, json.dumps(early), json.dumps([*known.items()])))
             if timeout_ms:
                 state.setTimeoutDuration(timeout_ms)
         if text := "".join(out):
-            yield pd.DataFrame([(*key, expected - 1, text)], columns=["stream", "block", "seq", "text"])
+            yield piece(expected - 1, text)
 
     mode = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return deltas.groupBy("stream", "block").applyInPandasWithState(step, _OUT, _STATE, "append", mode)
-
-
-def sse_deltas(lines: DataFrame) -> DataFrame:
-    """DELTAS of server-sent event lines (stream, seq, line) of either chat format, native. Tool-call pieces are
-    blocks of their own; lines without data are left out. ``seq`` must count a block's deltas from 0: see
-    numbered()."""
-    data = F.regexp_extract("line", r"^data:\s?(.*)$", 1)
-    field = lambda path: F.get_json_object(data, path)
-    index = F.coalesce(field("$.index"), field("$.choices[0].index"), F.lit("0")).cast("int")
-    tool = field("$.choices[0].delta.tool_calls[0].function.arguments")
-    tool_index = F.coalesce(field("$.choices[0].delta.tool_calls[0].index").cast("int"), F.lit(0))
-    text = F.coalesce(field("$.delta.text"), field("$.delta.partial_json"), field("$.choices[0].delta.content"), tool)
-    done = (data == "[DONE]") | (field("$.type") == "content_block_stop")
-    block = F.when(tool.isNotNull(), 1000 * (index + 1) + tool_index).otherwise(index)
-    rows = lines.where(F.col("line").startswith("data:")).select("stream", block.alias("block"), "seq", text.alias("delta"), F.coalesce(done, F.lit(False)).alias("is_end"), (data == "[DONE]").alias("all_done"))
-    return rows.where(F.col("delta").isNotNull() | F.col("is_end"))
-
-
-def numbered(deltas: DataFrame) -> DataFrame:
-    """Batch deltas with ``seq`` counted anew from 0 in each block; an end of the whole stream ends each block."""
-    ends = deltas.where("all_done").select("stream", F.col("seq").alias("end_seq"))
-    blocks = deltas.where("NOT all_done").select("stream", "block").distinct().join(ends, "stream").select("stream", "block", F.col("end_seq").alias("seq"), F.lit("").alias("delta"), F.lit(True).alias("is_end"))
-    rows = deltas.where("NOT all_done").select("stream", "block", "seq", "delta", "is_end").unionByName(blocks)
-    order = Window.partitionBy("stream", "block").orderBy("seq")
-    return rows.select("stream", "block", (F.row_number().over(order) - 1).cast("long").alias("seq"), "delta", "is_end")
+    return deltas.groupBy("stream", "block").applyInPandasWithState(step, _PIECES, _STATE, "append", mode)
+
+
+def _texts_of(event: dict) -> list[tuple[str, dict, str]]:
+    """The pieces of text in an event of either chat format: (block, the object that holds it, its key)."""
+    delta = event.get("delta")
+    if event.get("type") == "content_block_delta" and isinstance(delta, dict):
+        kind = {"text_delta": "text", "input_json_delta": "partial_json"}.get(delta.get("type"))
+        return [(f"b{event.get('index', 0)}:{kind}", delta, kind)] if kind and isinstance(delta.get(kind), str) else []
+    out = []
+    for choice in event.get("choices") or []:
+        delta = choice.get("delta") if isinstance(choice, dict) else None
+        if isinstance(delta, dict):
+            number = choice.get("index", 0)
+            if isinstance(delta.get("content"), str):
+                out.append((f"c{number}", delta, "content"))
+            calls = [c for c in delta.get("tool_calls") or [] if isinstance(c, dict) and isinstance((c.get("function") or {}).get("arguments"), str)]
+            out += [(f"t{number}:{c.get('index', 0)}", c["function"], "arguments") for c in calls]
+    return out
+
+
+def _tail_event(block: str, text: str) -> dict:
+    """An event of a block's format that brings the rest of its text."""
+    number, _, rest = block[1:].partition(":")
+    if block[0] == "b":
+        kind = "text_delta" if rest == "text" else "input_json_delta"
+        return {"type": "content_block_delta", "index": int(number), "delta": {"type": kind, rest: text}}
+    delta = {"content": text} if block[0] == "c" else {"tool_calls": [{"index": int(rest), "function": {"arguments": text}}]}
+    return {"choices": [{"index": int(number), "delta": delta}]}
+
+
+def _restored_lines(line: str, held: dict[str, Held], matcher: Matcher) -> list[str]:
+    """The lines that one line becomes. Texts of blocks go on in ``held``; the end of a block or of all brings their rests
+    before it. Lines that are no data, or no JSON object, pass as they are."""
+    body = line[5:].strip() if line.startswith("data:") else None
+    ending: list[str] = []
+    if body == "[DONE]":
+        ending, out = sorted(held), line
+    else:
+        try:
+            event = json.loads(body) if body else None
+        except ValueError:
+            event = None
+        if not isinstance(event, dict):
+            return [line]
+        found = _texts_of(event)
+        for block, holder, key in found:
+            holder[key] = held.setdefault(block, Held(matcher)).push(holder[key])
+        if event.get("type") == "content_block_stop":
+            ending = sorted(b for b in held if b.startswith(f"b{event.get('index', 0)}:"))
+        out = f"data: {json.dumps(event, ensure_ascii=False)}" if found else line
+    rests = [(block, held.pop(block).flush()) for block in ending]
+    return [f"data: {json.dumps(_tail_event(block, text), ensure_ascii=False)}" for block, text in rests if text] + [out]
+
+
+def restored_events(lines: DataFrame, pairs: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """A streaming DataFrame of restored event lines (stream, seq, part, line) for the server-sent event lines (LINES) of
+    chats of either format, numbered from 0 in each stream: texts and tool-call arguments are restored across events, rests come
+    as events of their own before their block's end, and all other lines pass as they are. ``pairs`` as in restored_stream.
+    A line that comes twice counts once."""
+    lines, shared = _with_pairs(lines, pairs)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        raw_held, expected, raw, kept = state.get if state.exists else ("{}", 0, "{}", "[]")
+        early: dict[str, str] = json.loads(raw)
+        frames = list(frames)
+        known = _known(frames, kept)
+        matcher = Matcher([*known.items(), *shared])
+        held = {block: Held(matcher, *rest) for block, rest in json.loads(raw_held).items()}
+        for frame in frames:
+            for seq, line in zip(frame["seq"], frame["line"], strict=True):
+                if seq >= expected:
+                    early.setdefault(str(seq), line or "")
+        rows = []
+        while (line := early.pop(str(expected), None)) is not None:
+            rows += [(*key, expected, part, out) for part, out in enumerate(_restored_lines(line, held, matcher))]
+            expected += 1
+        state.update((json.dumps({b: [h.text, h.after_blank] for b, h in held.items()}), expected, json.dumps(early), json.dumps([*known.items()])))
+        if rows:
+            yield pd.DataFrame(rows, columns=["stream", "seq", "part", "line"])
+
+    return lines.groupBy("stream").applyInPandasWithState(step, _RESTORED, _STATE, "append", GroupStateTimeout.NoTimeout)
