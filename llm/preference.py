@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TURNS = "array<struct<role:string,text:string>>"
 #: Marks of the chat format; where a text holds the start of one, a blank breaks it.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 TRAINED_ROLE = "assistant"
+#: Consecutive numbers of conversations among which partners are sought.
+BLOCK = 1_000
 
 
 def _clean(text: Column) -> Column:
@@ -74,16 +77,26 @@ def format_preferences(pairs: DataFrame, id_col: str = "pair_id", chosen_col: st
 
 
 def pairs_of_conversations(conversations: DataFrame) -> DataFrame:
-    """Pairs from a table of turns (conv_id, turn, role, text): each conversation with an assistant's turn is chosen
-    up to its last such turn; rejected has the same turns before it, and the last assistant's turn of the next
-    conversation by number (conv_id + 1) in its place. Conversations without such a neighbour make no pair.
-    A conversation is one row, so its length bounds a group."""
+    """A pair (pair_id, chosen, rejected) for each conversation of a table of turns (conv_id, turn, role, text), all turns kept.
+
+    Partners are sought among BLOCK consecutive numbers. The next conversation there that opens with the same turn is rejected
+    as it is: how far both agree shows only when they are compared. Where none does, rejected is the conversation itself
+    with its last assistant's turn taken from the next one, or that one as it is if either has no such turn. The last of a
+    block has nothing to be held against: rejected is null. Defined cases: turns go by number, then role, then text, so that
+    repeated ones stay in a fixed order; turns without a conv_id belong to none and are left out; an empty table gives no
+    pair. A conversation is one row, so its length bounds a group; a block bounds what is sorted together, however many
+    conversations open alike.
+    """
     turns = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", F.struct("turn", "role", "text").alias("t"))
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts")).withColumn("last", F.array_max(F.filter(F.transform("ts", lambda t, i: F.when(t["role"] == TRAINED_ROLE, i + 1)), lambda i: i.isNotNull())))
-    whole = whole.where("last IS NOT NULL").withColumn("ts", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
-    other = whole.select((F.col("conv_id") - 1).alias("conv_id"), F.element_at("ts", F.col("last")).alias("instead"))
-    return whole.join(other, "conv_id").select(
-        F.col("conv_id").alias("pair_id"),
-        F.slice("ts", 1, F.col("last")).alias("chosen"),
-        F.array_append(F.slice("ts", 1, F.col("last") - 1), F.col("instead")).alias("rejected"),
-    )
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    whole = listed.select("conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("ts"))
+    spoken = F.filter(F.transform("ts", lambda t, i: F.when(t["role"] == TRAINED_ROLE, i + 1)), lambda i: i.isNotNull())
+    whole = whole.withColumn("last", F.array_max(spoken))
+    openings = listed.select("conv_id", F.floor(F.col("conv_id") / BLOCK).alias("block"), F.col("ts")[0]["role"].alias("role"), F.col("ts")[0]["text"].alias("text"))
+    alike = Window.partitionBy("block", "role", "text").orderBy("conv_id")
+    partners = openings.select("conv_id", F.lead("conv_id").over(alike).alias("alike"), F.lead("conv_id").over(Window.partitionBy("block").orderBy("conv_id")).alias("next"))
+    other = whole.select(F.col("conv_id").alias("partner"), F.col("ts").alias("others"), F.col("last").alias("others_last"))
+    met = whole.join(partners.select("conv_id", "alike", F.coalesce("alike", "next").alias("partner")), "conv_id").join(other, "partner", "left")
+    instead = F.transform("ts", lambda t, i: F.when(i + 1 == F.col("last"), F.element_at("others", F.col("others_last"))).otherwise(t))
+    takes_turn = F.col("alike").isNull() & F.col("last").isNotNull() & F.col("others_last").isNotNull()
+    return met.select(F.col("conv_id").alias("pair_id"), F.col("ts").alias("chosen"), F.when(takes_turn, instead).otherwise(F.col("others")).alias("rejected"))

@@ -60,32 +60,42 @@ def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH t AS (
-  SELECT conv_id, turn, role, text,
-         '<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) AS head,
-         replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS body
+WITH r AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
   FROM conversations WHERE conv_id IS NOT NULL
-), r AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
-         CASE WHEN role = 'assistant' THEN '1' ELSE '0' END AS flag FROM t
 ), l AS (
-  SELECT conv_id, max(k) AS last FROM r WHERE role = 'assistant' GROUP BY conv_id
+  SELECT conv_id, max(CASE WHEN role = 'assistant' THEN k END) AS last FROM r GROUP BY conv_id
 ), p AS (
-  SELECT a.conv_id, a.last, y.head AS h1, y.body AS b1, z.head AS h2, z.body AS b2, y.text IS NOT DISTINCT FROM z.text AS same
-  FROM l a JOIN l b ON b.conv_id = a.conv_id + 1
-  JOIN r y ON y.conv_id = a.conv_id AND y.k = a.last JOIN r z ON z.conv_id = b.conv_id AND z.k = b.last
+  SELECT conv_id, lead(conv_id) OVER (PARTITION BY floor(conv_id / 1000), role, text ORDER BY conv_id) AS alike,
+         lead(conv_id) OVER (PARTITION BY floor(conv_id / 1000) ORDER BY conv_id) AS next
+  FROM r WHERE k = 1
+), m AS (
+  SELECT p.conv_id, coalesce(alike, next) AS partner, a.last, b.last AS others,
+         alike IS NULL AND a.last IS NOT NULL AND b.last IS NOT NULL AS takes
+  FROM p JOIN l a ON a.conv_id = p.conv_id LEFT JOIN l b ON b.conv_id = coalesce(alike, next)
+), rejected AS (
+  SELECT m.conv_id, r.k, r.role, r.text FROM m JOIN r ON r.conv_id = m.partner WHERE NOT takes
+  UNION ALL SELECT m.conv_id, r.k, CASE WHEN r.k = m.last THEN o.role ELSE r.role END, CASE WHEN r.k = m.last THEN o.text ELSE r.text END
+  FROM m JOIN r ON r.conv_id = m.conv_id JOIN r o ON o.conv_id = m.partner AND o.k = m.others WHERE takes
+), c AS (  -- both conversations turn by turn, and where they part
+  SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.k, b.k) AS k,
+         a.k IS NULL OR b.k IS NULL OR a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text AS differs
+  FROM r a FULL JOIN rejected b ON a.conv_id = b.conv_id AND a.k = b.k
+), n AS (
+  SELECT conv_id, coalesce(min(CASE WHEN differs THEN k END) - 1, max(k)) AS n FROM c GROUP BY conv_id
+), t AS (
+  SELECT side, x.conv_id, k, x.k <= n.n AS shared, role = 'assistant' AS trained,
+         '<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) AS head, replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS body
+  FROM (SELECT 'a' AS side, conv_id, k, role, text FROM r UNION ALL SELECT 'b', conv_id, k, role, text FROM rejected) x JOIN n USING (conv_id)
 ), s AS (
-  SELECT p.conv_id, count(r.k) AS n, coalesce(string_agg(r.head || r.body, '' ORDER BY r.k), '') AS prefix
-  FROM p LEFT JOIN r ON r.conv_id = p.conv_id AND r.k < p.last GROUP BY p.conv_id
+  SELECT conv_id, side, shared, string_agg(head || body, '' ORDER BY k) AS s, bool_or(coalesce(trained, false)) AS trained,
+         string_agg(length(head) || ':0 ' || length(body) || CASE WHEN trained THEN ':1' ELSE ':0' END, ' ' ORDER BY k) AS mask
+  FROM t GROUP BY ALL
 )
-SELECT p.conv_id AS pair_id, CASE WHEN same THEN n + 1 ELSE n END AS n_prompt_turns,
-       CASE WHEN same THEN prefix || h1 || b1 ELSE prefix END AS prompt,
-       CASE WHEN same THEN '' ELSE h1 || b1 END AS chosen,
-       CASE WHEN same THEN '' ELSE length(h1) || ':0 ' || length(b1) || ':1' END AS chosen_mask,
-       CASE WHEN same THEN '' ELSE h2 || b2 END AS rejected,
-       CASE WHEN same THEN '' ELSE length(h2) || ':0 ' || length(b2) || ':1' END AS rejected_mask,
-       NOT same AS usable
-FROM p JOIN s USING (conv_id)
+SELECT n.conv_id AS pair_id, n.n AS n_prompt_turns, coalesce(p.s, '') AS prompt, coalesce(a.s, '') AS chosen, coalesce(a.mask, '') AS chosen_mask,
+       coalesce(b.s, '') AS rejected, coalesce(b.mask, '') AS rejected_mask, coalesce(a.trained AND b.trained, false) AS usable
+FROM n LEFT JOIN s p ON p.conv_id = n.conv_id AND p.side = 'a' AND p.shared
+LEFT JOIN s a ON a.conv_id = n.conv_id AND a.side = 'a' AND NOT a.shared LEFT JOIN s b ON b.conv_id = n.conv_id AND b.side = 'b' AND NOT b.shared
 """
 
 

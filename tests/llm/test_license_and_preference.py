@@ -1,7 +1,7 @@
 import re
 
 from llm.license_scan import KEYWORDS, RULES, SENTENCES, scan_licenses
-from llm.preference import format_preferences
+from llm.preference import format_preferences, pairs_of_conversations
 
 
 def test_every_sentence_holds_a_keyword_and_every_rule_knows_its_sentences():
@@ -87,3 +87,27 @@ def test_preferences(spark):
             assert at == len(text)
             assert trained == "".join(re.findall(r"<\|im_start\|>assistant\n(.*?<\|im_end\|>\n)", text, re.S))
     assert format_preferences(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pairs_of_conversations(spark):
+    """Partners that open alike, spliced ones, ties, nulls, repeated turns, blocks, very long turns."""
+    u, long = "user", "word " * 50_000
+    rows = [
+        (1, 0, u, "same"), (1, 1, "assistant", "one"), (1, 2, u, "more"), (1, 3, "assistant", "end one"),
+        (2, 0, u, "other"), (2, 1, "assistant", long), (2, 2, u, "bye"),
+        (3, 0, u, "same"), (3, 1, "assistant", "one"), (3, 2, u, "else"),
+        (4, 0, None, None), (5, 1, "b", "y"), (5, 1, "a", "z"), (5, 1, "a", "z"), (5, None, "assistant", "first"),
+        (1005, 0, u, "same"), (None, 0, u, "same"),
+    ]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, last int")
+    got = {r.pair_id: r for r in pairs_of_conversations(docs).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 1005]
+    turns = lambda c: c and [tuple(t) for t in c]
+    assert turns(got[1].rejected) == turns(got[3].chosen) and got[5].rejected is None and got[1005].rejected is None
+    assert turns(got[2].rejected) == [(u, "other"), ("assistant", "one"), (u, "bye")]
+    assert turns(got[3].rejected) == turns(got[4].chosen) == [(None, None)] and turns(got[4].rejected) == turns(got[5].chosen)
+    assert turns(got[5].chosen) == [("assistant", "first"), ("a", "z"), ("a", "z"), ("b", "y")]
+    out = {r.pair_id: r for r in format_preferences(pairs_of_conversations(docs)).collect()}
+    assert [(i, out[i].n_prompt_turns, out[i].usable) for i in sorted(out)] == [(1, 2, False), (2, 1, True), (3, 0, False), (4, 0, False), (5, 0, False), (1005, 0, False)]
+    assert long in out[2].chosen
+    assert pairs_of_conversations(docs.where("false")).count() == 0
