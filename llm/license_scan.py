@@ -80,6 +80,101 @@ SENTENCES: list[tuple[str, str]] = [
     ("CcBySaRef", "licensed under cc by sa 4 0"),
     ("CcByNcRef", "licensed under cc by nc 4 0"),
     ("CcByNcRef", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("Apache2Grant", "grant of copyright license"),
+    ("ApacheCopyGrant", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form"),
+    ("ApacheTerms", "terms and conditions for use reproduction and distribution"),
+    ("ApacheRef", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("ApacheRef", "this project is licensed under the apache license version 2 0"),
+    ("ApacheRef", "licensed under the apache 2 0 license"),
+    ("ApacheRef", "license apache 2 0"),
+    ("ApacheRef", "apache license 2 0"),
+    ("MitRef", "license mit"),
+    ("MitRef", "this software is released under the mit license"),
+    ("MitRef", "this software is licensed under the mit license"),
+    ("MitRef", "this code is released under the mit license"),
+    ("MitRef", "this code is licensed under the mit license"),
+    ("MitRef", "available under the mit license"),
+    ("MitRef", "use of this source code is governed by an mit style license that can be found in the license file"),
+    ("AsIsMitHolders", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement"),
+    ("X11Name", "except as contained in this notice the name of the x consortium shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the x consortium"),
+    ("BsdStyleRef", "use of this source code is governed by a bsd style license that can be found in the license file"),
+    ("Bsd3Ref", "this project is licensed under the bsd 3 clause license"),
+    ("Bsd3Ref", "released under the bsd 3 clause license"),
+    ("Bsd3Ref", "license bsd 3 clause"),
+    ("Bsd2Ref", "this project is licensed under the bsd 2 clause license"),
+    ("Bsd2Ref", "licensed under the bsd 2 clause license"),
+    ("Bsd2Ref", "released under the bsd 2 clause license"),
+    ("Bsd2Ref", "license bsd 2 clause"),
+    ("BsdTitle", "bsd 3 clause license"),
+    ("Bsd2Title", "bsd 2 clause license"),
+    ("BsdSource", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2"),
+    ("BsdBinary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3"),
+    ("BsdAd", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("BsdEndorse", "neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BsdEndorse", "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BsdEndorse", "neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BsdEndorse", "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BsdEndorse", "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("AsIsBsd", "this software is provided by the author and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("AsIsBsd", "this software is provided by the author as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("AsIsBsd", "this software is provided by the regents and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("LiableBsd", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("LgplLibrary", "this library is free software"),
+    ("LgplTerms21", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("LgplTerms3", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("LgplTerms", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("GplEither21", "either version 2 1 of the license or at your option any later version"),
+    ("LgplUseful", "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("LgplSee", "see the gnu lesser general public license for more details"),
+    ("Lgpl21Ref", "spdx license identifier lgpl 2 1 or later"),
+    ("Lgpl21Ref", "spdx license identifier lgpl 2 1 only"),
+    ("LgplRef", "spdx license identifier lgpl 3 0 only"),
+    ("LgplRef", "spdx license identifier lgpl 3 0 or later"),
+    ("AgplTerms", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("AgplTermsEither3", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("AgplSee", "see the gnu affero general public license for more details"),
+    ("AgplRef", "licensed under the gnu affero general public license version 3"),
+    ("AgplRef", "spdx license identifier agpl 3 0 only"),
+    ("AgplRef", "spdx license identifier agpl 3 0 or later"),
+    ("Gpl3Title", "gnu general public license version 3 29 june 2007"),
+    ("Gpl2Title", "gnu general public license version 2 june 1991"),
+    ("GplReceived", "you should have received a copy of the gnu general public license along with this program"),
+    ("Gpl2LaterRef", "spdx license identifier gpl 2 0 or later"),
+    ("Gpl3Ref", "licensed under the gpl version 3"),
+    ("Gpl3Ref", "released under the gnu general public license version 3"),
+    ("Gpl3Ref", "licensed under gpl 3 0"),
+    ("Gpl2Ref", "released under the gnu general public license version 2"),
+    ("MplRef", "spdx license identifier mpl 2 0"),
+    ("MplRef", "licensed under the mozilla public license version 2 0"),
+    ("MplTitle", "mozilla public license version 2 0"),
+    ("EplRef", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("EplRef", "spdx license identifier epl 2 0"),
+    ("IscTitle", "isc license"),
+    ("IscRef", "spdx license identifier isc"),
+    ("LiableIsc", "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("ZlibAsIs", "this software is provided as is without any express or implied warranty"),
+    ("ZlibLiable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("ZlibGrant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1"),
+    ("ZlibGrant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("ZlibRef", "spdx license identifier zlib"),
+    ("BoostGrant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("BoostRef", "distributed under the boost software license version 1 0"),
+    ("BoostRef", "spdx license identifier bsl 1 0"),
+    ("PostgresGrant", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"),
+    ("WtfTitle", "do what the fuck you want to public license"),
+    ("Cc0Ref", "spdx license identifier cc0 1 0"),
+    ("Cc0Ref", "this work is licensed under cc0 1 0 universal license"),
+    ("Cc0Ref", "licensed under cc0 1 0"),
+    ("CcByRef", "this work is licensed under the creative commons attribution 4 0 international license"),
+    ("CcByRef", "licensed under a creative commons attribution 4 0 international license"),
+    ("CcBySaRef", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("CcBySaRef", "text is available under the creative commons attribution sharealike license"),
+    ("CcBySaRef", "content is available under cc by sa 4 0 license"),
+    ("CcByNcSaRef", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("CcByNcNdRef", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("CcByNdRef", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("Unlicense2", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("UnlicenseRef", "spdx license identifier unlicense"),
     ("UnlicenseFree", "this is free and unencumbered software released into the public domain"),
     ("Reserved", "all rights reserved"),
 ]
@@ -94,12 +189,31 @@ RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["MitGrant", "MitNotice", "AsIsMit", "LiableMit"]),
     ("MIT", ["MitGrant", "MitNotice", "AsIsMit"]),
     ("Apache-2.0", ["ApacheRef", "ApacheUse", "ApacheObtain", "ApacheAsIs", "ApacheSee"]),
-    ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "AsIsBsd"]),
-    ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "AsIsBsd"]),
-    *((f"GPL-{v}.0-or-later", [*free, *hope, "GplSee"]) for v in _GPL_FREE for free in _GPL_FREE[v] for hope in _GPL_HOPE),
+    *(("BSD-4-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdAd", "BsdEndorse", *end]) for end in (["AsIsBsd", "LiableBsd"], ["AsIsBsd"])),
+    *(("BSD-3-Clause", [*title, "BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", *end]) for title in (["BsdTitle"], []) for end in (["AsIsBsd", "LiableBsd"], ["AsIsBsd"])),
+    *(("BSD-2-Clause", [*title, "BsdGrant", "BsdSource", "BsdBinary", *end]) for title in (["Bsd2Title"], []) for end in (["AsIsBsd", "LiableBsd"], ["AsIsBsd"])),
+    *((f"GPL-{v}.0-or-later", [*free, *hope, *see]) for v in _GPL_FREE for free in _GPL_FREE[v] for hope in _GPL_HOPE for see in (["GplSee", "GplReceived"], ["GplSee"])),
     *((f"GPL-{v}.0-or-later", free) for v in _GPL_FREE for free in _GPL_FREE[v]),
+    *((f"LGPL-{v}-or-later", run) for v, n in (("2.1", "21"), ("3.0", "3")) for run in (["LgplLibrary", f"LgplTerms{n}", "LgplUseful", "GplWithout", "LgplSee"], ["LgplLibrary", "LgplTerms", f"GplEither{n}", "LgplUseful", "GplWithout", "LgplSee"], ["LgplLibrary", f"LgplTerms{n}"], ["LgplLibrary", "LgplTerms", f"GplEither{n}"], ["GplProgram", f"LgplTerms{n}"])),
+    ("AGPL-3.0-or-later", ["GplProgram", "AgplTermsEither3", "GplUseful", "GplWithout", "AgplSee"]),
+    ("AGPL-3.0-or-later", ["GplProgram", "AgplTerms", "GplEither3", "GplUseful", "GplWithout", "AgplSee"]),
+    ("AGPL-3.0-or-later", ["GplProgram", "AgplTermsEither3"]),
+    ("AGPL-3.0-or-later", ["GplProgram", "AgplTerms", "GplEither3"]),
+    ("X11", ["MitGrant", "MitNotice", "AsIsMit", "X11Name"]),
+    ("MIT", ["MitGrant", "MitNotice", "AsIsMitHolders", "LiableMit"]),
+    ("MIT", ["MitGrant", "MitNotice"]),
+    ("Apache-2.0", ["ApacheRef", "ApacheObtain", "ApacheAsIs", "ApacheSee"]),
+    ("Apache-2.0", ["ApacheTitle", "ApacheTerms"]),
+    ("Apache-2.0", ["Apache2Grant", "ApacheCopyGrant"]),
+    ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse"]),
+    ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
+    ("Zlib", ["ZlibAsIs", "ZlibLiable", "ZlibGrant"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    ("PostgreSQL", ["PostgresGrant"]),
     ("MPL-2.0", ["MplForm", "MplCopy"]),
     ("MPL-2.0", ["MplForm"]),
+    ("ISC", ["IscTitle", "IscGrant", "AsIsIsc", "LiableIsc"]),
+    ("ISC", ["IscGrant", "AsIsIsc", "LiableIsc"]),
     ("ISC", ["IscGrant", "AsIsIsc"]),
     ("MIT", ["MitRef"]),
     ("Apache-2.0", ["ApacheRef"]),
@@ -113,14 +227,38 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-4.0", ["CcByRef"]),
     ("CC-BY-SA-4.0", ["CcBySaRef"]),
     ("CC-BY-NC-4.0", ["CcByNcRef"]),
+    ("CC-BY-NC-SA-4.0", ["CcByNcSaRef"]),
+    ("CC-BY-NC-ND-4.0", ["CcByNcNdRef"]),
+    ("CC-BY-ND-4.0", ["CcByNdRef"]),
+    ("CC0-1.0", ["Cc0Ref"]),
+    ("GPL-2.0-or-later", ["Gpl2LaterRef"]),
+    ("GPL-3.0-only", ["Gpl3Title"]),
+    ("GPL-2.0-only", ["Gpl2Title"]),
+    ("LGPL-2.1-or-later", ["Lgpl21Ref"]),
+    ("AGPL-3.0-only", ["AgplRef"]),
+    ("MPL-2.0", ["MplRef"]),
+    ("MPL-2.0", ["MplTitle"]),
+    ("EPL-2.0", ["EplRef"]),
+    ("ISC", ["IscRef"]),
+    ("ISC", ["IscTitle"]),
+    ("ISC", ["IscGrant"]),
+    ("Zlib", ["ZlibRef"]),
+    ("Zlib", ["ZlibGrant"]),
+    ("BSL-1.0", ["BoostRef"]),
+    ("WTFPL", ["WtfTitle"]),
+    ("BSD-3-Clause", ["BsdStyleRef"]),
+    ("BSD-3-Clause", ["BsdTitle"]),
+    ("BSD-2-Clause", ["Bsd2Title"]),
+    ("Unlicense", ["UnlicenseFree", "Unlicense2"]),
     ("Unlicense", ["UnlicenseFree"]),
+    ("Unlicense", ["UnlicenseRef"]),
     ("MIT", ["MitTitle"]),
     ("all-rights-reserved", ["Reserved"]),
 ]
 
 #: Every known sentence holds one of these; a text with none is done without being split. Single words, or parts of
 #: one, only: what stands between two words of a text is anything that isn't a letter or digit.
-KEYWORDS = ["licen", "permission", "warrant", "redistribut", "liable", "reserved", "software", "apache", "gnu", "mpl", "unencumbered"]
+KEYWORDS = ["licen", "notice", "terms", "anyone", "consortium", "advertising", "neither", "event", "permission", "warrant", "redistribut", "liable", "reserved", "software", "apache", "gnu", "mpl", "unencumbered", "gpl", "endorse"]
 #: Where a sentence ends. Single line breaks don't end one, as notices are wrapped.
 SENTENCE_END = r"[.!?;]+[ \t\r\n]+|\n[ \t]*\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -60,7 +60,47 @@ License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at http{}://mozilla.org/MPL/2.0/.
 '''
     want = [(apache, "Apache-2.0"), (mpl.format("s"), "MPL-2.0"), (mpl.format(""), "MPL-2.0")]
+    bsd = '''BSD 3-Clause License
+
+Copyright (c) 2017, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+'''
+    lgpl = '''This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+'''
+    want += [(lgpl, "LGPL-2.1-or-later"), (bsd, "BSD-3-Clause")]
     want += [(gpl.format(a, b, v), f"GPL-{v}.0-or-later") for a in ":;" for b in ",;" for v in (2, 3)]
+    want += [(gpl.format(":", ",", 3) + "\nYou should have received a copy of the GNU General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>.\n", "GPL-3.0-or-later")]
     want += [(gpl.format(";", ";", 2).split("\n\n")[0], "GPL-2.0-or-later"), ("x. All rights\nreserved.", "all-rights-reserved"), ("x. ALL  RIGHTS  RESERVED.", "all-rights-reserved")]
     got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).collect()}
     for i, (text, name) in enumerate(want):
