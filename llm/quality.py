@@ -4,7 +4,8 @@ Each text is measured with public vocabularies of different make, word by word (
 is encoded once per worker): characters per token, share of tokens that fall back to single bytes, and entropy of the
 text's tokens. Languages and scripts differ in what is usual, so each (language, script) group has its own
 rejection bands: the median of the group, and around it the larger of SPREADS median deviations and a floor. Short texts
-vary more by chance, so a deviation counts by the root of n / (n + STEADY) for n tokens. The bands come from all rows
+vary more by chance, so a deviation counts by the root of n / (n + STEADY) for n tokens; of entropy, which long texts have
+more of, only the lower limit holds. The bands come from all rows
 that pass the base rules. Medians are read off histograms of rounded values, which are aggregated before any shuffle:
 a group's histogram is bounded however many rows it has.
 """
@@ -227,7 +228,9 @@ def _judged(docs: DataFrame, vocabularies: dict[str, str] | None, id_col: str, t
         mid, dev = (F.when(enough, F.col(f"{name}_{c}")).otherwise(F.col(f"wide_{name}_{c}")) for c in ("mid", "dev"))
         floor = next(f for m, f in FLOORS.items() if name.endswith(m))
         least = F.lit(floor) * mid if name.endswith("chars_per_token") else F.lit(floor)
-        inside = inside & (_deviation(name, tokens, mid) <= F.greatest(F.lit(SPREADS) * dev, least))
+        within = _deviation(name, tokens, mid) <= F.greatest(F.lit(SPREADS) * dev, least)
+        # Entropy grows with length, so that only too little of it tells something.
+        inside = inside & ((within | (F.col(name) > mid)) if name.endswith("token_entropy") else within)
     columns = [c for v in vocabularies for c in (f"{v}_tokens", *(f"{v}_{m}" for m in FLOORS))]
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))), columns
 

@@ -72,3 +72,39 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 4096
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mark long, kept boolean, batch int, row long, text_sha256 string"
+
+
+def test_defined_cases(spark, tmp_path):
+    """Null ids, null, empty and very long texts, repeated rows, ties, and columns whose names the stages use themselves."""
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choice("aeioustrn") for _ in range(rnd.randrange(2, 8))) for _ in range(3000)]
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    a, b, c, d, long = text(150), text(150), text(150), text(150), text(60_000)
+    rows = [(1, a), (2, a.replace(" ", "  ")), (None, b), (3, b), (None, c), (4, d), (4, d), (5, None), (6, ""), (7, long), (8, "short one")] + [(20 + i, text(150)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, False, 7, 7, "x") for i, t in rows], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+        assert all((r.mark, r.kept, r.batch, r.row, r.text_sha256) == (7, False, 7, 7, "x") for r in docs.collect())
+        seen[name] = sorted(((r.doc_id, r.text) for r in docs.collect() if r.doc_id is None or r.doc_id < 20), key=str)
+    expect = lambda *ids: sorted([x for x in {*rows} if x[0] in ids] + [(None, c)], key=str)
+    assert seen["exact_dedup"] == seen["ngram_jaccard_join"] == expect(2, 3, 4, 7)
+    assert seen["quality_rules"] == sorted([r for r in rows if r[0] not in (5, 6, 8) and (r[0] or 0) < 20], key=str)
+    assert [i for i, _ in seen["suffix_array_dedup"]] == [i for i, _ in expect(2, 3, 4, 7)]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed if r.doc_id is None or r.doc_id < 20} == {2, 3, 4, 7, None} and sum(r.doc_id == 7 for r in packed) > 10
+
+
+def test_empty(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0 and docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

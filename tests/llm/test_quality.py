@@ -79,7 +79,7 @@ def verdicts(rows, counters):
                 if fine:
                     mid = middle([three(g[place]) for g in group])
                     dev = middle([three(abs(g[place] - mid) * steady(g)) for g in group])
-                    fine = abs(m[place] - mid) * steady(m) <= max(module.SPREADS * dev, floor * mid if name == "chars_per_token" else floor)
+                    fine = (name == "token_entropy" and m[place] > mid) or abs(m[place] - mid) * steady(m) <= max(module.SPREADS * dev, floor * mid if name == "chars_per_token" else floor)
         out.append((i, failed, fine))
     return out
 

@@ -1,7 +1,10 @@
+import math
 import random
 import zlib
 
-from llm.toxicity import Lexicon, quoted, score_toxicity
+import pytest
+
+from llm.toxicity import _EDGE, REPORTING, STEMS, WINDOW, Lexicon, attributed, fit_toxicity, quoted, score_toxicity
 
 
 def edits(a, b):
@@ -42,6 +45,55 @@ def test_quotation():
     assert quoted(['"idiot"'], 0) and not quoted(["idiot"], 0)
 
 
+def test_attribution():
+    tokens = "she said he was an idiot . You idiot".split()
+    assert [attributed(tokens, i) for i, t in enumerate(tokens) if t == "idiot"] == [True, False]
+    assert not attributed("they said yes. you idiot".split(), 4) and not attributed(["idiot"], 0)
+
+
+def score(text, lexicon, beta):
+    """The score from scratch: every word against every term."""
+    tokens = (text or "").lower().split()
+    counts = {(kind, how): 0 for kind in range(3) for how in range(3)}
+    for i, token in enumerate(tokens):
+        word = token.strip(_EDGE)
+        if word in lexicon.terms:
+            kind = 0
+        elif any(word[:k] in lexicon.stems and len(word) >= k for k in STEMS):
+            kind = 1
+        elif any(len(t) >= 5 and edits(t, word) == 1 for t in lexicon.terms):
+            kind = 2
+        else:
+            continue
+        said = False
+        for before in tokens[max(0, i - WINDOW) : i]:
+            said = before[-1] not in ".!?" and (said or before.strip(_EDGE) in REPORTING)
+        counts[kind, 2 if quoted(tokens, i) else 1 if said else 0] += 1
+    plain = sum(n for (_, how), n in counts.items() if how == 0)
+    x = [math.log1p(counts[k, h]) for k in range(3) for h in range(3)] + [100 * plain / max(len(tokens), 1)]
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, beta)) + beta[-1]))))
+
+
+def test_scores_against_brute_force(spark):
+    rnd = random.Random(9)
+    plain = ["".join(rnd.choice("aeiourstln") for _ in range(rnd.randrange(3, 8))) for _ in range(150)]
+    bad = ["grobnik", "smurgle", "fazzock"]
+    rows, labels = [], []
+    for i in range(500):
+        words, toxic = [rnd.choice(plain) for _ in range(rnd.randrange(5, 40))], rnd.random() < 0.3
+        for _ in range(rnd.randrange(1, 4) if toxic or rnd.random() < 0.06 else 0):
+            term = rnd.choice(bad)
+            term = rnd.choice([term, term, term[:3] + term[4:], term + "s", f"{term}!"])
+            words.insert(rnd.randrange(len(words)), term if toxic else rnd.choice([f'"{term}"', f"said {term}"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows + [(600, None)], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon, beta = fit_toxicity(docs, known)
+    assert lexicon.terms and lexicon.stems
+    got = {r.doc_id: r.score for r in score_toxicity(docs, known).collect()}
+    assert got == pytest.approx({i: score(t, lexicon, beta) for i, t in rows + [(600, None)]})
+
+
 def test_held_out_accuracy(spark):
     rnd = random.Random(2)
     plain = ["".join(rnd.choice("aeiourstln") for _ in range(rnd.randrange(3, 8))) for _ in range(300)]
