@@ -7,7 +7,7 @@ dialects share, except for ``before`` of the card rule (see ``card_sql``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -18,6 +18,9 @@ class Rule:
     value: str
     behind: str = ""
     flags: str = ""
+    #: Strings of which any match holds one, and a short pattern that any match holds: texts without are not searched.
+    needs: tuple[str, ...] = ()
+    hint: str = ""
 
     @property
     def pattern(self) -> str:
@@ -46,6 +49,7 @@ SAFE_WORDS = [
     "github.com", "gitlab.com", "anthropic.com", "openai.com",
 ]
 
+# The rules' patterns and types, in their order.
 CARD = Rule("payment_card", "PAYMENT_CARD", r"(?<![\d.])", r"(?:\d[ -]?){12,18}\d")
 #: RE2 has no lookbehind: the character before the candidate is taken along.
 CARD_SQL_BEFORE = r"^|[^\d.]"
@@ -80,15 +84,25 @@ RULES: list[Rule] = [
     Rule("account", "USERNAME", r"\b", r"[A-Za-z0-9.-]{2,30}\\[A-Za-z0-9._-]{2,30}", r"\b"),
     Rule("labelled_secret", "CREDENTIAL", r"(?:password|passwd|pwd|pass|secret|api[_-]?key|token)\s*[:=]\s*", r"[^\s&]{6,}", "", "i"),
 ]
+#: For each rule what spares a text the search for it.
+_NEEDS = {
+    "jwt": ("eyJ",), "aws_key": tuple(AWS_PREFIXES), "google_key": ("AIza",), "github_token": tuple(f"{p}_" for p in GITHUB_PREFIXES), "gitlab_token": ("glpat-",),
+    "stripe_key": ("_live_", "_test_"), "slack_token": ("xox",), "private_key": ("-----BEGIN ",), "bearer": (":",), "basic": (":",), "session": ("=", ":"),
+    "set_cookie": ("=",), "cookie": ("=",), "lm_nt_hash": (":",), "crypt": ("$",), "ssn": ("-",), "mac": (":", "-"), "cidr": ("/",), "ipv4": (".",), "ipv6": (":",),
+    "url": ("://",), "email": ("@",), "domain": (".",), "account": ("\\",), "labelled_secret": ("=", ":"),
+}
+_HINTS = {"payment_card": r"\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d", "ssn": r"\d-\d", "cidr": r"\.\d+/\d", "ipv4": r"\d\.\d", "domain": r"[a-zA-Z0-9]\.[a-zA-Z0-9]"}
+CARD = replace(CARD, hint=_HINTS["payment_card"])
+RULES = [replace(r, needs=_NEEDS.get(r.name, ()), hint=_HINTS.get(r.name, "")) for r in RULES]
 #: Shapes that the rules above miss; on request only, since results then differ from the common set.
 EXTRA_RULES: list[Rule] = [
     Rule("ipv6_short", "IP_ADDRESS", r"(?<![\w:])", r"(?:[0-9a-fA-F]{1,4}:){0,6}[0-9a-fA-F]{0,4}::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6})?", r"(?![\w:])"),
     Rule("json_secret", "CREDENTIAL", r"\"(?:password|passwd|pwd|secret|api[_-]?key|token)\"\s*:\s*\"", r"[^\"\\]{6,}", "", "i"),
 ]
 
-#: Types that a contextual finding never overrides.
+# Types that a contextual finding never overrides.
 STRUCTURED_TYPES = ["TOKEN", "HASH", "CREDENTIAL", "IDENTIFIER", "MAC_ADDRESS", "IP_ADDRESS", "CIDR", "URL", "DOMAIN", "HOSTNAME", "EMAIL_ADDRESS", "PATH", "PAYMENT_CARD"]
-#: Words without a client's identity, which contextual findings must not hide.
+# Words without a client's identity, which contextual findings must not hide.
 ALLOWED_WORDS = [
     "nmap", "metasploit", "mimikatz", "bloodhound", "crackmapexec", "impacket", "hashcat", "john", "responder", "certipy", "rubeus",
     "secretsdump", "netexec", "evil-winrm", "wireshark", "burpsuite", "sqlmap", "nuclei", "ffuf", "gobuster", "smb", "ldap", "kerberos",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import lru_cache, reduce
+from operator import or_
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from incognita.functions.rules import CARD, EXTRA_RULES, RULES, SAFE_WORDS, Rule
@@ -20,7 +23,7 @@ def _java(rule: Rule) -> str:
 
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     """All spans of one rule, left to right: matches are marked in place and positions are read off the pieces.
-    A text without a match costs one regex scan."""
+    A text without what the rule needs costs no regex scan, one without a match costs one."""
     plain = F.translate(text, MARK, "\ufffd")
     pieces = F.split(F.regexp_replace(plain, _java(rule), f"$1{MARK}$2{MARK}$3"), MARK)
 
@@ -36,7 +39,10 @@ def rule_spans(text: Column, rule: Rule, number: int) -> Column:
         found = F.filter(found, lambda s: luhn_valid(s["value"]))
     else:
         found = F.filter(found, lambda s: (s["end"] > s["start"]) & ~F.lower(s["value"]).isin(SAFE_WORDS))
-    return F.when(text.rlike(_java(rule)), found).otherwise(F.array().cast(SPANS))
+    likely = reduce(or_, [F.contains(text, F.lit(n)) for n in rule.needs]) if rule.needs else F.lit(True)
+    if rule.hint:
+        likely = likely & text.rlike(f"(?U){rule.hint}")
+    return F.when(likely & text.rlike(_java(rule)), found).otherwise(F.array().cast(SPANS))
 
 
 def luhn_valid(value: Column) -> Column:
@@ -64,6 +70,16 @@ def entities(text: Column, extra: bool = False) -> Column:
     return claimed(all_spans(text, extra))
 
 
+@lru_cache(maxsize=64)
+def _entities_of(application: str, column: str, extra: bool) -> Column:
+    return entities(F.col(column), extra)
+
+
+def entities_of(spark: SparkSession, column: str, extra: bool = False) -> Column:
+    """entities of a column by name. An expression over all rules takes seconds to build, so that it is built once."""
+    return _entities_of(spark.sparkContext.applicationId, column, extra)
+
+
 def distinct_entities(spans: Column) -> Column:
     """One (value, entity_type) for each value, with the type of its first claim."""
     pairs = F.transform(spans, lambda s: F.struct(s["value"].alias("value"), s["entity_type"].alias("entity_type")))

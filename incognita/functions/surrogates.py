@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Alphabets, pools, ranges and prefixes of the surrogates' formats.
@@ -249,3 +250,14 @@ def surrogate(entity_type: Column, original: Column, engagement: str = "default"
             own = surrogate_for(name, original, engagement, salt, wide)
             out = F.when(kind == name, own) if out is None else out.when(kind == name, own)
     return other if out is None else out.otherwise(other)
+
+
+@lru_cache(maxsize=64)
+def _surrogate_of(application: str, engagement: str, kinds: tuple[str, ...] | None, wide: int) -> Column:
+    return surrogate(F.col("entity_type"), F.col("original"), engagement, F.col("salt"), None if kinds is None else list(kinds), wide)
+
+
+def with_surrogates(rows: DataFrame, engagement: str, salt: str = "", kinds: list[str] | None = None, wide: int = 0) -> DataFrame:
+    """rows (original, entity_type) with their ``surrogate``. The expression over all types is built once."""
+    made = _surrogate_of(rows.sparkSession.sparkContext.applicationId, engagement, None if kinds is None else tuple(sorted(kinds)), wide)
+    return rows.withColumn("salt", F.lit(salt)).withColumn("surrogate", made).drop("salt")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from incognita.functions.rules import ALLOWED_WORDS, STRUCTURED_TYPES
-from incognita.functions.spans import distinct_entities, entities
+from incognita.functions.spans import distinct_entities, entities_of
 from incognita.functions.text import percent_decoded, quoted_literal
 from incognita.operators.search import FEW_TERMS, holding
 
@@ -16,7 +16,8 @@ FLOOR_REGEX, FLOOR_SCOPE, VAULT = "regex", "scope", "vault"
 
 def claimed_spans(texts: DataFrame, *keys: str, text: str = "text", extra: bool = False) -> DataFrame:
     """One row for each claimed span of each text."""
-    return texts.select(*keys, F.explode(entities(F.col(text), extra)).alias("s")).select(*keys, "s.start", "s.end", "s.value", "s.entity_type")
+    spans = entities_of(texts.sparkSession, text, extra)
+    return texts.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.start", "s.end", "s.value", "s.entity_type")
 
 
 def floor_entities(texts: DataFrame, *keys: str, text: str = "text", extra: bool = False) -> DataFrame:
@@ -26,7 +27,7 @@ def floor_entities(texts: DataFrame, *keys: str, text: str = "text", extra: bool
     decoded = percent_decoded(raw)
     copies = F.when(F.contains(raw, F.lit("%")) & (decoded != raw), F.array(raw, decoded)).otherwise(F.array(raw))
     forms = texts.select(*keys, raw.alias("_raw"), F.posexplode(copies).alias("_form", "_text"))
-    found = forms.select(*keys, "_raw", "_form", F.explode(distinct_entities(entities(F.col("_text"), extra))).alias("e"))
+    found = forms.select(*keys, "_raw", "_form", F.explode(distinct_entities(entities_of(texts.sparkSession, "_text", extra))).alias("e"))
     found = found.where((F.col("_form") == 0) | F.contains("_raw", F.col("e.value")))
     return found.groupBy(*keys, F.col("e.value").alias("value")).agg(F.max_by("e.entity_type", "_form").alias("entity_type"))
 

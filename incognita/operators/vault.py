@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incognita.functions.surrogates import TYPES, surrogate
+from incognita.functions.surrogates import TYPES, with_surrogates
 from incognita.sources.shared import cut, delete_tables
 
 ATTEMPTS = 64
@@ -40,7 +40,7 @@ def mint(wanted: DataFrame, vault: DataFrame | None = None, engagement: str = "d
     for k in range(attempts):
         kinds = [r["kind"] for r in open_.select(F.upper("entity_type").alias("kind")).distinct().collect()] if k else TYPES
         wide = max((space for space, first in WIDE_FROM.items() if k >= first), default=0)
-        offered = open_.withColumn("surrogate", surrogate(F.col("entity_type"), F.col("original"), engagement, "" if k == 0 else f"#{k - 1}", kinds, wide))
+        offered = with_surrogates(open_, engagement, "" if k == 0 else f"#{k - 1}", kinds, wide)
         free = offered.join(originals, "surrogate", "left_anti")
         if taken is not None:
             free = free.join(taken, "surrogate", "left_anti")
