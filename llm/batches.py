@@ -27,8 +27,9 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from llm.vectext import distinct
 from llm.worker import drop_tool, give_back
@@ -46,15 +47,23 @@ NOTE = -1
 BLOBS = "batch int, bucket int, payload binary"
 
 
+def long_ids(docs: DataFrame, id_col: str) -> Column:
+    """The ids as longs. Ids of another kind would all become null by a cast, and are an error."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"ids must be integers, but {id_col} is {kind.simpleString()}")
+    return docs[id_col].cast("long")
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id (null: NO_ID), no_id (whether it was null) and text (null: empty) alone, whatever other columns there are."""
-    own = docs[id_col].cast("long")
+    own = long_ids(docs, id_col)
     return docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), own.isNull().alias("no_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id (as it is) and text (null: empty) alone, for operators that compare no ids."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    return docs.select(long_ids(docs, id_col).alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
 def with_null_ids(df: DataFrame) -> DataFrame:
@@ -62,6 +71,21 @@ def with_null_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
+#: Columns that tell a row of documents by its id and text.
+ROW_KEYS = ["_own_id", "_own_none", "_own_mark"]
+
+
+def with_row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with ROW_KEYS. Plain columns, none of them null, so that a join by them and what follows share one shuffle."""
+    own = long_ids(docs, id_col)
+    return docs.withColumns({"_own_id": F.coalesce(own, F.lit(NO_ID)), "_own_none": own.isNull(), "_own_mark": F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))})
+
+
+def as_row_keys(rows: DataFrame, *others: Column) -> DataFrame:
+    """ROW_KEYS from doc_id, no_id and mark, and other columns."""
+    return rows.select(F.col("doc_id").alias("_own_id"), F.col("no_id").alias("_own_none"), F.col("mark").alias("_own_mark"), *others)
+
+
 def batch_size(total: int) -> int:
     """Text bytes of a batch: blobs are about a batch's bytes divided by the number of batches."""
     return min(MOST_BATCH_BYTES, max(BATCH_BYTES, isqrt(total * BLOB_BYTES)))

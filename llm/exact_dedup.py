@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.batches import cut, keyed, with_null_ids
+from llm.batches import ROW_KEYS, as_row_keys, cut, keyed, with_null_ids, with_row_keys
 from llm.worker import drop_tool, give_back
 
 #: Rows that a partition gathers before it merges them into a run.
@@ -167,7 +167,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Defined cases: null and blank texts are one group, of which one row stays; a row with a null id stays only if its group
     has no other; of repeated rows one stays; an empty table stays empty.
     """
-    kept = _verdicts(docs, id_col, text_col).where("kept").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("_kept_id"), F.col("mark").alias("_kept_mark"))
-    own = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_mark": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    out = own.join(kept, F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_mark") == F.col("_kept_mark")), "left_semi")
-    return out.dropDuplicates(["_own_id", "_own_mark"]).drop("_own_id", "_own_mark")
+    kept = as_row_keys(_verdicts(docs, id_col, text_col).where("kept"))
+    return with_row_keys(docs, id_col, text_col).join(kept, ROW_KEYS, "left_semi").dropDuplicates(ROW_KEYS).select(*docs.columns)

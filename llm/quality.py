@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.batches import chunks, column_bytes, cut
+from llm.batches import NO_ID, ROW_KEYS, as_row_keys, chunks, column_bytes, cut, long_ids, with_null_ids, with_row_keys
 from llm.packing import vocabulary_path
 from llm.substring_dedup import _maybe_twice
 from llm.vectext import BYTE_KEYS, RaggedCache, cover, distinct, owner, prefix_sums, ragged, range_hash, text_hash, unique_inverse, words_of
@@ -174,12 +174,12 @@ def _measured(docs: DataFrame, vocabularies: dict[str, str]) -> DataFrame:
             data, at = column_bytes(batch.column("text"))
             for lo, hi, part, bounds in chunks(data, at, 1 << 20):
                 found = measure(part, bounds, counters)
-                cols = [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "mark", "lang")), pa.array(_scripts(part, bounds), pa.string())]
+                cols = [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "no_id", "mark", "lang")), pa.array(_scripts(part, bounds), pa.string())]
                 cols += [pa.array(found[name], kinds[kind]) for name, kind in numbers]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "lang", "script", *(name for name, _ in numbers)])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "no_id", "mark", "lang", "script", *(name for name, _ in numbers)])
         give_back()
 
-    return docs.mapInArrow(run, "doc_id long, mark long, lang string, script string, " + ", ".join(f"{name} {kind}" for name, kind in numbers))
+    return docs.mapInArrow(run, "doc_id long, no_id boolean, mark long, lang string, script string, " + ", ".join(f"{name} {kind}" for name, kind in numbers))
 
 
 def _medians(rows: DataFrame, keys: list[str], values: dict[str, Column], suffix: str) -> DataFrame:
@@ -214,7 +214,8 @@ def _judged(docs: DataFrame, vocabularies: dict[str, str] | None, id_col: str, t
     measures = {f"{v}_{m}": f"{v}_tokens" for v in vocabularies for m in FLOORS}
     lang = F.coalesce(docs[lang_col].cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"), lang.alias("lang"))
+    own_id = long_ids(docs, id_col)
+    own = docs.select(F.coalesce(own_id, F.lit(NO_ID)).alias("doc_id"), own_id.isNull().alias("no_id"), text.alias("text"), F.xxhash64(text).alias("mark"), lang.alias("lang"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = cut(_measured(own, vocabularies).withColumn("base_failed", failed), "fertility")
     usable = rows.where("NOT base_failed")
@@ -246,7 +247,7 @@ def quality_rules(docs: DataFrame, vocabularies: dict[str, str] | None = None, i
     null ids come back as null; repeated rows are judged each; an empty table gives an empty result. Other columns are ignored.
     """
     out, columns = _judged(docs, vocabularies, id_col, text_col, lang_col)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", *columns)
+    return with_null_ids(out).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", *columns)
 
 
 def passing(docs: DataFrame, vocabularies: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -255,6 +256,5 @@ def passing(docs: DataFrame, vocabularies: dict[str, str] | None = None, id_col:
     Defined cases: as in quality_rules; null and empty texts go; repeated rows stay or go together unless their languages
     differ, in which case all stay if one does; an empty table stays empty.
     """
-    kept = _judged(docs, vocabularies, id_col, text_col, lang_col)[0].where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("mark").alias("_kept_mark"))
-    own = docs.withColumns({"_own_id": docs[id_col].cast("long"), "_own_mark": F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))})
-    return own.join(kept, F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_mark") == F.col("_kept_mark")), "left_semi").select(*docs.columns)
+    kept = as_row_keys(_judged(docs, vocabularies, id_col, text_col, lang_col)[0].where("kept"))
+    return with_row_keys(docs, id_col, text_col).join(kept, ROW_KEYS, "left_semi").select(*docs.columns)

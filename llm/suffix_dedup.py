@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.batches import NO_ID, batch_count, by_bucket, census_width, chunks, dealt, exchange, isin_sorted, keyed, ordered_docs, pack_hashes, per_batch, shorten, split_runs, unpack_hashes, with_null_ids
+from llm.batches import NO_ID, ROW_KEYS, as_row_keys, batch_count, by_bucket, census_width, chunks, dealt, exchange, isin_sorted, keyed, ordered_docs, pack_hashes, per_batch, shorten, split_runs, unpack_hashes, with_null_ids, with_row_keys
 from llm.induced_sort import common_prefixes, suffix_array
 from llm.substring_dedup import _distinct, _maybe_twice
 from llm.vectext import BYTE_KEYS, cover, distinct, mix, owner, prefix_sums, ragged, range_hash, window_hash
@@ -381,10 +381,9 @@ def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str =
     table stays empty. All texts come from the removal, so that the join moves each text once: the other side brings the
     other columns alone.
     """
-    left = _removals(docs, length, id_col, text_col, True, True).select(F.when(~F.col("no_id"), F.col("doc_id")).alias("_cut_id"), F.col("mark").alias("_cut_mark"), F.col("n_removed").alias("_n_cut"), F.col("kept_text").alias("_cut_text")).dropDuplicates(["_cut_id", "_cut_mark"])
-    text = F.col(text_col).cast("string")
-    own = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_mark": F.xxhash64(F.coalesce(text, F.lit(""))), "_has_text": text.isNotNull()}).drop(text_col)
-    joined = own.join(left, F.col("_own_id").eqNullSafe(F.col("_cut_id")) & (F.col("_own_mark") == F.col("_cut_mark")), "left")
+    left = as_row_keys(_removals(docs, length, id_col, text_col, True, True), F.col("n_removed").alias("_n_cut"), F.col("kept_text").alias("_cut_text")).dropDuplicates(ROW_KEYS)
+    own = with_row_keys(docs, id_col, text_col).withColumn("_has_text", F.col(text_col).cast("string").isNotNull()).drop(text_col)
+    joined = own.join(left, ROW_KEYS, "left")
     cut = {text_col: F.when(F.col("_has_text"), F.col("_cut_text"))}
     if "n_chars" in docs.columns:
         cut["n_chars"] = F.when(F.col("_n_cut") > 0, F.char_length("_cut_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
