@@ -84,3 +84,34 @@ def test_pack_against_plain_tokenising(spark):
 
 def test_pack_empty_table(spark):
     assert best_fit_pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def optimum(lengths, capacity):
+    """The least number of sequences, by trying all."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def go(i, room):
+        if len(room) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(room)
+            return
+        for gap in {g for g in room if g >= lengths[i]}:
+            k = room.index(gap)
+            go(i + 1, [*room[:k], gap - lengths[i], *room[k + 1 :]])
+        go(i + 1, [*room, capacity - lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_number_of_sequences_against_optimum():
+    rnd, more = random.Random(1), 0
+    for _ in range(1000):
+        capacity = rnd.choice([10, 16, 24])
+        lengths = [rnd.randrange(1, capacity + 1) for _ in range(rnd.randrange(1, 10))]
+        got = sum(n for _, n in pack_lengths(np.bincount(lengths, minlength=capacity + 1), capacity))
+        over = got - optimum(lengths, capacity)
+        assert 0 <= over <= 1
+        more += over
+    assert more <= 5
