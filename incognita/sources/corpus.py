@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,16 @@ def read_vault(spark: SparkSession, path: str, engagement: str | None = None) ->
 
 
 def append_vault(rows: DataFrame, path: str) -> None:
-    """Adds rows, partitioned by engagement and sorted by original for reads by value."""
+    """Adds rows, partitioned by engagement and sorted by original for reads by value. Rows that would give an engagement
+    an original or a surrogate twice are refused, and none is written; the message names no value."""
+    try:
+        known = rows.sparkSession.read.schema(VAULT_SCHEMA).parquet(path).select("engagement", "original", "surrogate")
+        every = known.unionByName(rows.select("engagement", "original", "surrogate"))
+    except AnalysisException:  # there is no table yet
+        every = rows.select("engagement", "original", "surrogate")
+    for column in ("original", "surrogate"):
+        if not every.groupBy("engagement", column).count().where("count > 1").isEmpty():
+            raise ValueError(f"an engagement would have one {column} twice")
     rows.repartition("engagement").sortWithinPartitions("engagement", "original").write.mode("append").partitionBy("engagement").parquet(path)
 
 
