@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from llm.batches import chunks, column_bytes, ids_and_texts
 from llm.packing import vocabulary_path
-from llm.vectext import BYTE_KEYS, owner, prefix_sums, ragged, range_hash, unique_inverse
+from llm.vectext import BYTE_KEYS, owner, prefix_sums, ragged, text_hash, unique_inverse
 from llm.worker import kept_tool
 
 _MARK = "▁"
@@ -242,7 +242,7 @@ class PieceAutomaton:
         edge[at[filled]] = True
         starts = np.flatnonzero(edge)
         ends = np.append(starts[1:], len(text))
-        distinct, example, place = unique_inverse(range_hash(prefix_sums(BYTE_KEYS[text]), starts, ends))
+        distinct, example, place = unique_inverse(text_hash(text, prefix_sums(BYTE_KEYS[text]), starts, ends))
         ids, counts, scores = self.encode_units(text, starts[example], ends[example], by_merges)
         first = np.cumsum(counts) - counts
         total = np.concatenate(([0], np.cumsum(counts[place])))

@@ -40,16 +40,13 @@ from llm.batches import (
     split_runs,
     with_null_ids,
 )
-from llm.vectext import BYTE_KEYS, cover, distinct, mix, owner, prefix_sums, text_hash, window_hash, words_of
+from llm.vectext import BYTE_KEYS, OTHER_KEYS, cover, distinct, owner, prefix_sums, text_hash, window_hash, words_of
 
 #: Words of a window, and doublings that lead to them: windows of 7, 13, 25 and 50 words.
 WINDOW, LEVELS = 50, 3
 _RESULT = "doc_id long, no_id boolean, n_words long, n_removed long, kept_sha256 string, kept_text binary"
 
 
-_OTHER = np.uint64(0xD1B54A32D192ED03)
-
-
 class _Words:
     """A batch's documents as word hashes, end to end; ``last`` is the end of the document of each word."""
 
@@ -75,8 +72,12 @@ class _Words:
         return window_hash(self.sums, length)[at]
 
     def second_windows(self, length: int, at: np.ndarray) -> np.ndarray:
-        """Other hashes of the same windows."""
-        return window_hash(prefix_sums(mix(self.hashes ^ _OTHER) | np.uint64(1)), length)[at]
+        """Other hashes of the same windows, from other hashes of the words themselves."""
+        parts = [np.empty(0, np.uint64)]
+        for lo, hi, data, _ in chunks(self.data, self.at):
+            own = slice(self.first[lo], self.first[hi])
+            parts.append(text_hash(data, prefix_sums(OTHER_KEYS[data]), self.starts[own] - self.at[lo], self.ends[own] - self.at[lo], b"second"))
+        return window_hash(prefix_sums(np.concatenate(parts) | np.uint64(1)), length)[at]
 
 
 def _distinct(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -12,11 +12,14 @@ import hashlib
 import numpy as np
 
 U64 = np.uint64
-#: Ranges of more bytes are named by BLAKE2b: sums modulo 2**64 can be made to collide on long structured ranges.
-LONG_RANGE = 1024
+#: Ranges of so many bytes or more are named by BLAKE2b: sums modulo 2**64 collide on long structured ranges (two words of
+#: the Thue-Morse sequence from some 1,000 bytes on), and the more bits agree by structure the longer a range may be.
+LONG_RANGE = 64
 _RNG = np.random.default_rng(20240229)
 #: One random 64-bit value per byte value; fixed by the seed above, so every task agrees.
 BYTE_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Values for a second hash that knows nothing of the first.
+OTHER_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _ROOT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_ROOT, -1, 2**64)
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -74,11 +77,15 @@ def window_hash(sums: np.ndarray, length: int) -> np.ndarray:
         return mix((sums[length:] - sums[:n]) * _powers(_INV, n) + U64(length))
 
 
-def text_hash(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """range_hash of byte ranges; those of more than LONG_RANGE bytes by BLAKE2b."""
+def text_hash(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray, person: bytes = b"") -> np.ndarray:
+    """range_hash of byte ranges; those of LONG_RANGE bytes or more by BLAKE2b. ``person`` tells apart hashes that are to
+    know nothing of each other."""
     out = range_hash(sums, start, end)
-    for i in np.flatnonzero(end - start > LONG_RANGE).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "big")
+    long = np.flatnonzero(end - start >= LONG_RANGE)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        for i, lo, hi in zip(long.tolist(), start[long].tolist(), end[long].tolist(), strict=True):
+            out[i] = int.from_bytes(hashlib.blake2b(raw[lo:hi], digest_size=8, person=person).digest(), "big")
     return out
 
 
