@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm.license_scan import license_sql
+from llm.url_filter import url_filter_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,6 +130,12 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_documents(spark, sf_dir), with_text=False)
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.url_filter import filter_urls, standard_rules
+
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), standard_rules(spark))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -140,10 +147,12 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_url_filter": op11_url_filter,
 }
 
 ORACLES: dict[str, str] = {
     "op3_preference_formatting": OP3_SQL,
     "op7_license_scan": license_sql(),
     "op9_exact_dedup": OP9_SQL,
+    "op11_url_filter": url_filter_sql(),
 }
