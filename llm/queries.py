@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm.license_scan import license_sql
+from llm.spelling import SPELLING_SQL
 from llm.url_filter import url_filter_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +137,12 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), standard_rules(spark))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.spelling import spelling_variants
+
+    return spelling_variants(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -148,6 +155,7 @@ QUERIES: dict[str, Query] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_url_filter": op11_url_filter,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -155,4 +163,5 @@ ORACLES: dict[str, str] = {
     "op7_license_scan": license_sql(),
     "op9_exact_dedup": OP9_SQL,
     "op11_url_filter": url_filter_sql(),
+    "op12_spelling_variants": SPELLING_SQL,
 }
