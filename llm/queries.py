@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from llm.collocations import COLLOCATIONS_SQL
 from llm.license_scan import license_sql
 from llm.spelling import SPELLING_SQL
 from llm.url_filter import url_filter_sql
@@ -143,6 +144,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_documents(spark, sf_dir))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.collocations import collocations
+
+    return collocations(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -156,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_url_filter": op11_url_filter,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -164,4 +172,5 @@ ORACLES: dict[str, str] = {
     "op9_exact_dedup": OP9_SQL,
     "op11_url_filter": url_filter_sql(),
     "op12_spelling_variants": SPELLING_SQL,
+    "op13_collocations": COLLOCATIONS_SQL,
 }
