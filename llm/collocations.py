@@ -3,10 +3,10 @@
 Each word of a piece leads one window of at most LONGEST words, padded where the piece ends. Only these windows are counted; a Spark ROLLUP
 over their columns sums them into the counts of all shorter phrases, since a phrase begins exactly one window wherever it occurs.
 
-So that rare windows, which are most of them, need not be shuffled, windows end at words and at pairs of words that can't be in any phrase of LEAST
-occurrences. Two passes before count words and then pairs in hashed counters; a counter below LEAST rules out all that share it, one above rules out
-nothing, so no phrase is lost and all counts that are reported are exact. The counters that reach LEAST are sent to the tasks as
-one bit each, in a map whose size is bounded by MOST_BITS whatever the input; a corpus that outgrows the map gets longer windows, not other results.
+So that rare windows, which are most of them, need not be shuffled, windows end where a word, a pair or a triple of words begins that can't be in any
+phrase of LEAST occurrences, and words in no pair of that many lead none. Passes before count words, pairs and triples in hashed counters; a counter below LEAST rules out all that share it, one above
+rules out nothing, so no phrase is lost and all counts that are reported are exact. The counters that reach LEAST are sent to the tasks as
+one bit each, in maps whose size is bounded by MOST_BITS whatever the input; a corpus that outgrows them gets longer windows, not other results.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from llm.batches import chunks, column_bytes, cut, delete_tables, tables_written
-from llm.vectext import BYTE_KEYS, mix, owner, prefix_sums, ragged, text_hash
+from llm.vectext import BYTE_KEYS, distinct, mix, owner, prefix_sums, ragged, text_hash
 from llm.worker import give_back
 
 #: Words of a phrase at most, occurrences at least, and phrases reported for each language.
@@ -30,8 +30,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 INSIDE = 100
 #: Language of rows without one.
 NO_LANG = "und"
-#: Bytes of text for one counter of words and one of pairs, and binary digits of their numbers at least and at most (at most 16 MB of bits).
-WORD_BYTES, PAIR_BYTES, LEAST_BITS, MOST_BITS = 64, 16, 16, 27
+#: Bytes of text for one counter of words, of pairs and of triples, and binary digits of their numbers at least and at most (at most 16 MB of bits).
+COUNTER_BYTES, LEAST_BITS, MOST_BITS = (64, 16, 16), 16, 27
 #: Text that is worked on at once inside a task.
 CHUNK = 4 << 20
 _BREAK, _BLANK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -41,6 +41,8 @@ _SECOND = np.uint64(0xD6E8FEB86659FD93)
 #: Counters whose bits travel together.
 _PART = 16
 _TOTAL = -1
+#: The counters' numbers from which on they tell of words in frequent pairs.
+_PAIRED = 1 << 32
 
 
 class _Chunk:
@@ -63,10 +65,30 @@ class _Chunk:
         self.joined[:-1] = (piece[1:] == piece[:-1]) & (self.doc[1:] == self.doc[:-1])
         self.hashes = mix(text_hash(low, prefix_sums(BYTE_KEYS[low]), self.starts, self.ends) ^ lang_keys[self.doc])
 
-    def pair_hashes(self, at: np.ndarray) -> np.ndarray:
-        """A hash for each word at these places with the word behind it."""
+    def phrase_hashes(self, at: np.ndarray, size: int) -> np.ndarray:
+        """A hash for the phrase of ``size`` words at each of these places."""
+        out = self.hashes[at]
         with np.errstate(over="ignore"):
-            return mix(self.hashes[at] * _SECOND + self.hashes[at + 1])
+            for k in range(1, size):
+                out = mix(out * _SECOND + self.hashes[at + k])
+        return out
+
+    def possible(self, maps: list[np.ndarray], bits: list[int]) -> list[np.ndarray]:
+        """For phrases of 1, 2, ... words, as many as there are maps: at which words one starts that may be frequent."""
+        out: list[np.ndarray] = []
+        for k, (bitmap, digits) in enumerate(zip(maps, bits, strict=False)):
+            at = self.candidates(out, k + 1)
+            mask = np.zeros(len(self.hashes), dtype=bool)
+            mask[at[_has(bitmap, _bucket(self.phrase_hashes(at, k + 1), digits))]] = True
+            out.append(mask)
+        return out
+
+    def candidates(self, shorter: list[np.ndarray], size: int) -> np.ndarray:
+        """Words at which a phrase of ``size`` words in one piece starts both of whose parts of one word less may be frequent."""
+        if size == 1:
+            return np.arange(len(self.hashes))
+        part = shorter[size - 2]
+        return np.flatnonzero(self.joined[:-1] & part[:-1] & part[1:]) if len(part) else np.empty(0, np.int64)
 
     def ids(self, which: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         """Numbers of the words at these places, -1 elsewhere, and the words by number."""
@@ -97,14 +119,6 @@ def _has(bitmap: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     return (bitmap[buckets >> 3] >> (buckets & 7).astype(np.uint8)) & 1 > 0
 
 
-def _links(chunk: _Chunk, words: np.ndarray, word_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which words may be frequent, and at which of them a pair of such words starts in one piece."""
-    often = _has(words, _bucket(chunk.hashes, word_bits))
-    pairs = chunk.joined.copy()
-    pairs[:-1] &= often[:-1] & often[1:]
-    return often, np.flatnonzero(pairs)
-
-
 def _counter(batches: Iterator[pa.RecordBatch], size: int, buckets_of: Callable[[_Chunk], np.ndarray], totals: bool) -> Iterator[pa.RecordBatch]:
     """Counters of each chunk, and with ``totals`` its words by language."""
     for batch in batches:
@@ -120,7 +134,7 @@ def _counter(batches: Iterator[pa.RecordBatch], size: int, buckets_of: Callable[
 def _counters(texts: DataFrame, run: Callable, least: int, name: str) -> DataFrame:
     """Counters that reach ``least``, and the words of each language under _TOTAL, as a table."""
     counted = texts.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    return cut(counted.where((F.col("bucket") == _TOTAL) | (F.col("n") >= least)), name)
+    return cut(counted.where((F.col("bucket") == _TOTAL) | (F.col("bucket") >= _PAIRED) | (F.col("n") >= least)), name)
 
 
 def _bitmap(counters: DataFrame, bits: int) -> np.ndarray:
@@ -141,22 +155,23 @@ def _bitmap(counters: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _padded_windows(chunk: _Chunk, number: np.ndarray, langs: pa.Array, often: np.ndarray, linked: np.ndarray, longest: int) -> pa.RecordBatch:
-    """Each distinct window of a chunk that a frequent word leads, and how often it stands there."""
-    ids, words = chunk.ids(np.flatnonzero(often))
+def _padded_windows(chunk: _Chunk, number: np.ndarray, langs: pa.Array, possible: list[np.ndarray], leads: np.ndarray, longest: int) -> pa.RecordBatch:
+    """Each distinct window of a chunk, and how often it stands there."""
+    ids, words = chunk.ids(np.flatnonzero(possible[0]))
     size = len(ids)
-    columns, alive = [ids], often
-    goes_on = np.zeros(size, dtype=bool)
-    goes_on[linked] = True
+    columns = [ids]
     for k in range(1, longest):
-        further = np.zeros(size, dtype=bool)
-        further[: size - k] = alive[: size - k] & goes_on[k - 1 : size - 1]
+        # The phrase of k + 1 words: known to be possible, or else grown by the last words' phrase.
+        further = possible[k].copy() if k < len(possible) else np.zeros(size, dtype=bool)
+        if k >= len(possible):
+            step = k + 1 - len(possible)
+            further[: size - step] = alive[: size - step] & possible[-1][step:]
         alive = further
         column = np.full(size, -1, np.int64)
         place = np.flatnonzero(alive)
         column[place] = ids[place + k]
         columns.append(column)
-    lead = np.flatnonzero(often)
+    lead = np.flatnonzero(leads)
     key = number[chunk.doc[lead]].astype(np.int64)
     for column in columns:
         key = np.unique(key * (len(words) + 1) + column[lead] + 1, return_inverse=True)[1]
@@ -179,30 +194,41 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, l
     language."""
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    word_bits, pair_bits = _bits(total, WORD_BYTES), _bits(total, PAIR_BYTES)
+    bits = [_bits(total, share) for share in COUNTER_BYTES[:longest]]
     share, size = docs.sparkSession.sparkContext.broadcast, CHUNK
+    maps: list = []
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counter(batches, size, lambda c: _bucket(c.hashes, word_bits), True)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Phrases of one word more than there are maps; with the longest ones, the words of possible pairs."""
+        level = len(maps)
 
-    with tables_written() as paths:
-        of_words = _counters(texts, count_words, least, "words")
-        words = share(_bitmap(of_words, word_bits))
+        def buckets(chunk: _Chunk) -> np.ndarray:
+            possible = chunk.possible([m.value for m in maps], bits)
+            out = _bucket(chunk.phrase_hashes(chunk.candidates(possible, level + 1), level + 1), bits[level])
+            if level < 2 or level + 1 < len(bits):
+                return out
+            pairs = np.flatnonzero(possible[1])
+            paired = distinct(np.concatenate((pairs, pairs + 1)))
+            return np.concatenate((out, _bucket(chunk.hashes[paired], bits[0]) + _PAIRED))
 
-        def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return _counter(batches, size, lambda c: _bucket(c.pair_hashes(_links(c, words.value, word_bits)[1]), pair_bits), False)
+        return _counter(batches, size, buckets, level == 0)
 
-        of_pairs = _counters(texts, count_pairs, least, "pairs")
-        pairs = share(_bitmap(of_pairs, pair_bits))
-        totals = cut(of_words.where(F.col("bucket") == _TOTAL).select("lang", "n"), "totals")
-    delete_tables(docs.sparkSession, paths[:2])
+    with tables_written() as paths:
+        for level, digits in enumerate(bits):
+            counters = _counters(texts, count, least, f"phrases-of-{level + 1}")
+            if level == 0:
+                totals = counters.where(F.col("bucket") == _TOTAL).select("lang", "n")
+            if level == 2:
+                paired = share(_bitmap(counters.where(F.col("bucket") >= _PAIRED).withColumn("bucket", F.col("bucket") - _PAIRED), bits[0]))
+            maps.append(share(_bitmap(counters.where(F.col("bucket") < _PAIRED), digits)))
+    delete_tables(docs.sparkSession, paths[1:])
 
     def lay_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, number, langs in _chunked(batch, size):
-                often, at = _links(chunk, words.value, word_bits)
-                linked = at[_has(pairs.value, _bucket(chunk.pair_hashes(at), pair_bits))]
-                yield _padded_windows(chunk, number, langs, often, linked, longest)
+                possible = chunk.possible([m.value for m in maps], bits)
+                leads = possible[0] & _has(paired.value, _bucket(chunk.hashes, bits[0])) if len(maps) > 2 else possible[0]
+                yield _padded_windows(chunk, number, langs, possible, leads, longest)
         give_back()
 
     names = _columns(longest)
