@@ -37,13 +37,13 @@ SESSION_NAMES = [
     "PHPSESSID", "JSESSIONID", r"ASP\.NET_SessionId", r"connect\.sid", "laravel_session", "sessionid", "session", "sid", "csrftoken",
     "csrf_token", "xsrf[-_]token", "x-csrf-token", "access_token", "refresh_token", "id_token", "auth_token", "remember_token", "bearer",
 ]
-DOMAIN_SUFFIXES = (
-    "local corp lan internal intra intranet home test example localdomain "
-    "com net org io ai app dev cloud tech xyz online site store info biz co "
-    "gov edu mil int me tv gg sh so to cc id "
-    "uk de fr es pt nl br eu cz sk us ca au nz jp cn ru in ch at be se no dk "
-    "fi it pl ie gr hu ro ua kr sg hk za mx ar cl tr il ae sa"
-).split()
+DOMAIN_SUFFIXES = [
+    "local", "corp", "lan", "internal", "intra", "intranet", "home", "test", "example", "localdomain",
+    "com", "net", "org", "io", "ai", "app", "dev", "cloud", "tech", "xyz", "online", "site", "store", "info", "biz", "co",
+    "gov", "edu", "mil", "int", "me", "tv", "gg", "sh", "so", "to", "cc", "id",
+    "uk", "de", "fr", "es", "pt", "nl", "br", "eu", "cz", "sk", "us", "ca", "au", "nz", "jp", "cn", "ru", "in", "ch", "at", "be", "se", "no", "dk",
+    "fi", "it", "pl", "ie", "gr", "hu", "ro", "ua", "kr", "sg", "hk", "za", "mx", "ar", "cl", "tr", "il", "ae", "sa",
+]
 SAFE_WORDS = [
     "localhost", "example", "pentest", "8.8.8.8", "1.1.1.1", "127.0.0.1", "0.0.0.0", "255.255.255.255", "169.254.169.254", "::1",
     "github.com", "gitlab.com", "anthropic.com", "openai.com",
@@ -91,7 +91,11 @@ _NEEDS = {
     "set_cookie": ("=",), "cookie": ("=",), "lm_nt_hash": (":",), "crypt": ("$",), "ssn": ("-",), "mac": (":", "-"), "cidr": ("/",), "ipv4": (".",), "ipv6": (":",),
     "url": ("://",), "email": ("@",), "domain": (".",), "account": ("\\",), "labelled_secret": ("=", ":"),
 }
-_HINTS = {"payment_card": r"\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d", "ssn": r"\d-\d", "cidr": r"\.\d+/\d", "ipv4": r"\d\.\d", "domain": r"[a-zA-Z0-9]\.[a-zA-Z0-9]"}
+_HEX = "[0-9a-fA-F]{32}"
+_HINTS = {
+    "payment_card": r"(?U)\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d", "ssn": r"(?U)\d-\d", "cidr": r"(?U)\.\d+/\d", "ipv4": r"(?U)\d\.\d", "domain": r"[a-zA-Z0-9]\.[a-zA-Z0-9]", "mac": "[0-9a-fA-F][:-][0-9a-fA-F]{2}[:-]",
+    "ipv6": "[0-9a-fA-F]:[0-9a-fA-F]{1,4}:", "lm_nt_hash": f"{_HEX}:", "sha256": _HEX, "sha1": _HEX, "md5": _HEX, "bearer": "(?iu)bearer", "basic": "(?iu)basic", "set_cookie": "(?iu)cookie:", "crypt": r"\$[1256y]",
+}
 CARD = replace(CARD, hint=_HINTS["payment_card"])
 RULES = [replace(r, needs=_NEEDS.get(r.name, ()), hint=_HINTS.get(r.name, "")) for r in RULES]
 #: Shapes that the rules above miss; on request only, since results then differ from the common set.

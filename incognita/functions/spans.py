@@ -1,19 +1,26 @@
-"""Entity spans of a text as native column expressions."""
+"""Entity spans of a text.
+
+The rules run as native expressions: a text is searched for a rule only if it holds what the rule needs, and where the rule matches, its values are marked in
+place. Places, checks and claims are then read off the marked copies in one pass of an Arrow function, in time linear in text and matches.
+"""
 
 from __future__ import annotations
 
 from functools import lru_cache, reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from incognita.functions.claims import claims
 from incognita.functions.rules import CARD, EXTRA_RULES, RULES, SAFE_WORDS, Rule
 
 #: A private-use character that marks values; one that a text itself holds is hidden during the search.
 MARK = "\ue000"
-SPAN = "struct<rule:int,start:int,end:int,value:string,entity_type:string>"
-SPANS = f"array<{SPAN}>"
+_HIDDEN = "\ufffd"
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("entity_type", pa.string())])
+_SAFE = set(SAFE_WORDS)
 
 
 def _java(rule: Rule) -> str:
@@ -21,28 +28,10 @@ def _java(rule: Rule) -> str:
     return f"(?Ud{rule.flags})({rule.before})({rule.value})({rule.behind})"
 
 
-def rule_spans(text: Column, rule: Rule, number: int) -> Column:
-    """All spans of one rule, left to right: matches are marked in place and positions are read off the pieces.
-    A text without what the rule needs costs no regex scan, one without a match costs one."""
-    plain = F.translate(text, MARK, "\ufffd")
-    pieces = F.split(F.regexp_replace(plain, _java(rule), f"$1{MARK}$2{MARK}$3"), MARK)
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        span = F.struct(F.lit(number).alias("rule"), acc["at"].alias("start"), end.alias("end"), piece.alias("value"), F.lit(rule.entity_type).alias("entity_type"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(SPANS).alias("spans"))
-    found = F.aggregate(pieces, start, step, lambda acc: acc["spans"])
-    found = F.transform(found, lambda s: s.withField("value", F.substring(text, s["start"] + 1, s["end"] - s["start"])))
-    if rule is CARD:
-        found = F.filter(found, lambda s: luhn_valid(s["value"]))
-    else:
-        found = F.filter(found, lambda s: (s["end"] > s["start"]) & ~F.lower(s["value"]).isin(SAFE_WORDS))
+def _likely(text: Column, rule: Rule) -> Column:
+    """Whether a text holds what any match of the rule holds."""
     likely = reduce(or_, [F.contains(text, F.lit(n)) for n in rule.needs]) if rule.needs else F.lit(True)
-    if rule.hint:
-        likely = likely & text.rlike(f"(?U){rule.hint}")
-    return F.when(likely & text.rlike(_java(rule)), found).otherwise(F.array().cast(SPANS))
+    return likely & text.rlike(rule.hint) if rule.hint else likely
 
 
 def luhn_valid(value: Column) -> Column:
@@ -50,24 +39,54 @@ def luhn_valid(value: Column) -> Column:
     return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
-def all_spans(text: Column, extra: bool = False) -> Column:
-    """Spans of all rules, by priority and place: cards first."""
+def rule_values(text: Column, rule: Rule) -> Column:
+    """All values that one rule finds, left to right, with repeats."""
+    found = F.regexp_extract_all(text, F.lit(_java(rule)), 2)
+    good = luhn_valid if rule is CARD else lambda v: (v != "") & ~F.lower(v).isin(SAFE_WORDS)
+    return F.when(_likely(text, rule), F.filter(found, good)).otherwise(F.array().cast("array<string>"))
+
+
+def _card(value: str) -> bool:
+    digits = [ord(c) - 48 for c in value if c not in " -"]
+    doubled = sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2])
+    return 13 <= len(digits) <= 19 and all(0 <= d <= 9 for d in digits) and (doubled + sum(digits[::-2])) % 10 == 0
+
+
+def _spans_of(text: str, copies: list[dict], rules: list[Rule]) -> list[dict]:
+    """Claimed spans of a text, by priority, from its marked copies."""
+    found = []
+    for copy in copies:
+        rule, at = rules[copy["rule"]], 0
+        for k, piece in enumerate(copy["marked"].split(MARK)):
+            if k % 2 and piece:
+                value = text[at : at + len(piece)]
+                if _card(value) if rule.name == CARD.name else value.lower() not in _SAFE:
+                    found.append((copy["rule"], at, at + len(piece), value, rule.entity_type))
+            at += len(piece)
+    return [{"start": s, "end": e, "value": v, "entity_type": t} for _, s, e, v, t in sorted(claims(found))]
+
+
+@lru_cache(maxsize=2)
+def _reader(extra: bool):
     rules = [CARD, *RULES, *(EXTRA_RULES if extra else [])]
-    return F.flatten(F.array(*[rule_spans(text, r, i) for i, r in enumerate(rules)]))
 
+    @F.arrow_udf("array<struct<start:int,end:int,value:string,entity_type:string>>")
+    def read(text: pa.Array, copies: pa.Array) -> pa.Array:
+        return pa.array([_spans_of(t, c, rules) if c else [] for t, c in zip(text.to_pylist(), copies.to_pylist(), strict=True)], pa.list_(_SPAN))
 
-def claimed(spans: Column) -> Column:
-    """Spans that overlap no span before them in the order of priority."""
-    return F.aggregate(
-        spans,
-        F.array().cast(SPANS),
-        lambda acc, s: F.when(F.exists(acc, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])), acc).otherwise(F.array_append(acc, s)),
-    )
+    return read
 
 
 def entities(text: Column, extra: bool = False) -> Column:
-    """Claimed spans of a text."""
-    return claimed(all_spans(text, extra))
+    """Claimed spans of a text in the order of priority: cards first, then rule after rule, from left to right; a span
+    that overlaps an earlier one is left out."""
+    plain = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, _HIDDEN)).otherwise(text)
+    copies = [
+        F.when(_likely(text, r) & plain.rlike(_java(r)), F.struct(F.lit(i).alias("rule"), F.regexp_replace(plain, _java(r), f"$1{MARK}$2{MARK}$3").alias("marked")))
+        for i, r in enumerate([CARD, *RULES, *(EXTRA_RULES if extra else [])])
+    ]
+    hit = F.filter(F.array(*copies), lambda c: c.isNotNull())
+    return _reader(extra)(F.when(F.size(hit) > 0, text), hit)
 
 
 @lru_cache(maxsize=64)
@@ -76,11 +95,5 @@ def _entities_of(application: str, column: str, extra: bool) -> Column:
 
 
 def entities_of(spark: SparkSession, column: str, extra: bool = False) -> Column:
-    """entities of a column by name. An expression over all rules takes seconds to build, so that it is built once."""
+    """entities of a column by name. An expression over all rules takes a while to build, so that it is built once."""
     return _entities_of(spark.sparkContext.applicationId, column, extra)
-
-
-def distinct_entities(spans: Column) -> Column:
-    """One (value, entity_type) for each value, with the type of its first claim."""
-    pairs = F.transform(spans, lambda s: F.struct(s["value"].alias("value"), s["entity_type"].alias("entity_type")))
-    return F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["value"]), p["value"]) == i + 1)

@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARK = "\ue000"
 #: Characters that a rewrite may put into a token, and hyphens that stand for "-".
 NOISE = "*`~"
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
@@ -53,9 +52,11 @@ def model_type(value: Column) -> Column:
 
 def percent_decoded(text: Column) -> Column:
     """Lenient percent decoding: valid %HH runs become their bytes, everything else stays as it is."""
-    marked = F.split(F.regexp_replace(text, r"((?:%[0-9a-fA-F]{2})+)", f"{MARK}$1{MARK}"), MARK)
-    decode = lambda p: F.make_valid_utf8(F.unhex(F.replace(p, F.lit("%"), F.lit(""))).cast("string"))
-    return F.when(F.contains(text, F.lit("%")), F.array_join(F.transform(marked, lambda p, i: F.when(i % 2 == 1, decode(p)).otherwise(p)), "")).otherwise(text)
+    codes = r"(?:%[0-9a-fA-F]{2})+"
+    decode = lambda c: F.make_valid_utf8(F.unhex(F.replace(c, F.lit("%"), F.lit(""))).cast("string"))
+    runs = F.regexp_extract_all(text, F.lit(f"({codes})"), 1)
+    whole = F.transform(F.split(text, codes), lambda gap, i: F.concat(gap, F.coalesce(decode(F.get(runs, i)), F.lit(""))))
+    return F.when(F.contains(text, F.lit("%")), F.array_join(whole, "")).otherwise(text)
 
 
 def projected(text: Column, noise: bool = True) -> Column:

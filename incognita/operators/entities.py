@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from incognita.functions.rules import ALLOWED_WORDS, STRUCTURED_TYPES
-from incognita.functions.spans import distinct_entities, entities_of
+from incognita.functions.spans import entities_of
 from incognita.functions.text import percent_decoded, quoted_literal
 from incognita.operators.search import FEW_TERMS, holding
 
@@ -27,9 +27,10 @@ def floor_entities(texts: DataFrame, *keys: str, text: str = "text", extra: bool
     decoded = percent_decoded(raw)
     copies = F.when(F.contains(raw, F.lit("%")) & (decoded != raw), F.array(raw, decoded)).otherwise(F.array(raw))
     forms = texts.select(*keys, raw.alias("_raw"), F.posexplode(copies).alias("_form", "_text"))
-    found = forms.select(*keys, "_raw", "_form", F.explode(distinct_entities(entities_of(texts.sparkSession, "_text", extra))).alias("e"))
+    found = forms.select(*keys, "_raw", "_form", F.posexplode(entities_of(texts.sparkSession, "_text", extra)).alias("_place", "e"))
     found = found.where((F.col("_form") == 0) | F.contains("_raw", F.col("e.value")))
-    return found.groupBy(*keys, F.col("e.value").alias("value")).agg(F.max_by("e.entity_type", "_form").alias("entity_type"))
+    # The decoded copy's first claim of a value comes before the raw one's.
+    return found.groupBy(*keys, F.col("e.value").alias("value")).agg(F.min_by("e.entity_type", F.struct(-F.col("_form"), "_place")).alias("entity_type"))
 
 
 def scope_pattern(value: Column) -> Column:

@@ -2,35 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incognita.functions.spans import MARK
-from incognita.functions.text import quoted_literal
-
-PAIRS = "array<struct<original:string,surrogate:string>>"
-
-
-def _guarded(value: Column) -> Column:
-    """The literal as a whole token at those of its edges that are word characters; a percent code before it
-    counts as an edge."""
-    word = r"(?U)^\w$"
-    before = F.when(F.substring(value, 1, 1).rlike(word), r"(?:(?<!\w)|(?<=%[0-9a-fA-F]{2}))").otherwise("")
-    behind = F.when(F.substring(value, -1, 1).rlike(word), r"(?!\w)").otherwise("")
-    return F.concat(before, quoted_literal(value), behind)
-
-
-def replaced(text: Column, pairs: Column) -> Column:
-    """The text with each original of ``pairs`` replaced: leftmost first, of those that start together the longest.
-    What was put in is not looked at again."""
-    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct((-F.length(p["original"])).alias("k"), p["original"].alias("o"))))
-    pattern = F.concat(F.lit("(?U)(?:"), F.array_join(F.transform(ordered, lambda p: _guarded(p["o"])), "|"), F.lit(")"))
-    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
-    found = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["original"], p["surrogate"])))
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.element_at(found, p)).otherwise(p)), "")
-    safe = F.when(F.contains(text, F.lit(MARK)), F.lit(True)).otherwise(False)
-    plain = F.aggregate(F.array_sort(F.transform(pairs, lambda p: F.struct((-F.length(p["original"])).alias("k"), p["original"].alias("o"), p["surrogate"].alias("s")))), text, lambda acc, p: F.replace(acc, p["o"], p["s"]))
-    return F.when(F.size(pairs) > 0, F.when(safe, plain).otherwise(joined)).otherwise(text)
+from incognita.functions.tolerant import replaced_text
 
 
 def anonymized(texts: DataFrame, found: DataFrame, vault: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -40,5 +15,4 @@ def anonymized(texts: DataFrame, found: DataFrame, vault: DataFrame, *keys: str,
     )
     joined = texts.join(pairs, list(keys), "left")
     blank = F.coalesce(F.col(text).rlike(r"(?U)^\s*$"), F.lit(True))
-    new = F.when(blank | F.col("_pairs").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.coalesce("_pairs", F.array().cast(PAIRS))))
-    return joined.withColumn(text, new).drop("_pairs")
+    return joined.withColumn(text, replaced_text(F.col(text), F.when(~blank, F.col("_pairs")))).drop("_pairs")

@@ -6,19 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incognita.functions.text import projected
-from incognita.functions.tolerant import PAIRS, restored_text
-from incognita.operators.search import FEW_TERMS, holding
+from incognita.functions.tolerant import restored_by, restored_text
+from incognita.operators.search import FEW_CHARS, FEW_TERMS, holding
 
 
 def restored(texts: DataFrame, vault: DataFrame, *keys: str, text: str = "text", few: int = FEW_TERMS) -> DataFrame:
-    """texts with surrogates turned back, whatever their case, hyphens, white space or marks inside. Only the mappings
-    whose tolerant form stands in a text's go to that text; keys tell its rows apart."""
+    """texts with surrogates turned back, whatever their case, hyphens, white space or marks inside. A vault of at most ``few``
+    mappings goes to the tasks as one automaton, which reads each text once, without a shuffle; of a larger one, only the mappings whose tolerant form
+    stands in a text go to that text; keys tell its rows apart there."""
+    size = vault.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("surrogate") + F.length("original")), F.lit(0)).alias("chars")).first()
+    if size["n"] <= few and size["chars"] <= FEW_CHARS:
+        pairs = [(r["surrogate"], r["original"]) for r in vault.select("surrogate", "original").collect()]
+        return texts.withColumn(text, restored_by(texts.sparkSession, pairs, F.col(text)))
     forms = vault.select("surrogate", "original", projected(F.col("surrogate")).alias("_form"))
     hits = holding(texts.select(*keys, projected(F.col(text)).alias("_projected")), forms, *keys, text="_projected", term="_form", few=few)
     pairs = hits.groupBy(*keys).agg(F.collect_set(F.struct("surrogate", "original")).alias("_pairs"))
     joined = texts.join(pairs, list(keys), "left")
-    new = F.when(F.col("_pairs").isNull(), F.col(text)).otherwise(restored_text(F.col(text), F.coalesce("_pairs", F.array().cast(PAIRS))))
-    return joined.withColumn(text, new).select(*texts.columns)
+    return joined.withColumn(text, restored_text(F.col(text), F.col("_pairs"))).select(*texts.columns)
 
 
 def restored_exactly(text: Column, pairs: Column) -> Column:

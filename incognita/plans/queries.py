@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from incognita.functions import surrogates as sg
 from incognita.functions.rules import CARD, RULES, Rule
-from incognita.functions.spans import rule_spans
+from incognita.functions.spans import rule_values
 from incognita.functions.text import chunks, model_type, scope_type
 from incognita.operators import audit, detectors, payload, vault as vaults
 from incognita.operators.entities import claimed_spans, entity_counts, floor_entities, keep_entity, known_entities, merged_types, scope_entities, without_wrappers
@@ -43,8 +43,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _detect(rule: Rule) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = texts(spark, sf_dir).select(*KEYS, F.explode(rule_spans(F.col("text"), rule, 0)).alias("s"))
-        return found.groupBy(*KEYS, F.col("s.value").alias("value")).agg(F.count("*").alias("n"))
+        found = texts(spark, sf_dir).select(*KEYS, F.explode(rule_values(F.col("text"), rule)).alias("value"))
+        return found.groupBy(*KEYS, "value").agg(F.count("*").alias("n"))
 
     return query
 
