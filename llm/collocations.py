@@ -32,8 +32,8 @@ INSIDE = 100
 NO_LANG = "und"
 #: Bytes of text for one counter of words, of pairs and of triples, and binary digits of their numbers at least and at most (at most 16 MB of bits).
 COUNTER_BYTES, LEAST_BITS, MOST_BITS = (64, 16, 16), 16, 27
-#: Text that is worked on at once inside a task.
-CHUNK = 4 << 20
+#: Text that is worked on at once inside a task, and counters that are summed at once there.
+CHUNK, COUNTED = 1 << 20, 2_000_000
 _BREAK, _BLANK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _BLANK[[0x20, 0x09]] = True
@@ -120,14 +120,24 @@ def _has(bitmap: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 
 
 def _counter(batches: Iterator[pa.RecordBatch], size: int, buckets_of: Callable[[_Chunk], np.ndarray], totals: bool) -> Iterator[pa.RecordBatch]:
-    """Counters of each chunk, and with ``totals`` its words by language."""
+    """Counters of some chunks, and with ``totals`` their words by language."""
+
+    def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(bucket), pa.string()), pa.array(bucket), pa.array(n.astype(np.int64))], names=["lang", "bucket", "n"])
+
+    parts: list[np.ndarray] = []
     for batch in batches:
         for chunk, number, langs in _chunked(batch, size):
-            bucket, n = np.unique(buckets_of(chunk), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(bucket), pa.string()), pa.array(bucket), pa.array(n.astype(np.int64))], names=["lang", "bucket", "n"])
+            parts.append(buckets_of(chunk))
             if totals:
                 by_lang = np.bincount(number[chunk.doc], minlength=len(langs)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(langs), _TOTAL)), pa.array(by_lang)], names=["lang", "bucket", "n"])
+            if sum(map(len, parts)) >= COUNTED:
+                yield summed(parts)
+                parts = []
+    if parts:
+        yield summed(parts)
     give_back()
 
 
@@ -225,7 +235,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, l
 
     def lay_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, number, langs in _chunked(batch, size):
+            for chunk, number, langs in _chunked(batch, 2 * size):
                 possible = chunk.possible([m.value for m in maps], bits)
                 leads = possible[0] & _has(paired.value, _bucket(chunk.hashes, bits[0])) if len(maps) > 2 else possible[0]
                 yield _padded_windows(chunk, number, langs, possible, leads, longest)
