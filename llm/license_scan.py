@@ -179,6 +179,25 @@ SENTENCES: list[tuple[str, str]] = [
     ("Reserved", "all rights reserved"),
 ]
 
+# Sentences that name a holder, by what stands before and behind the name. A name with a full stop splits a sentence in two,
+# which have their own identifiers.
+_ENDORSE_END = "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_AS_IS_END = "as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+_LIABLE_END = "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+FRAMES: list[tuple[str, str, str]] = [
+    ("BsdEndorse", "neither the name of ", f" {_ENDORSE_END}"),
+    ("BsdEndorseBegin", "neither the name of ", ""),
+    ("BsdEndorseEnd", "", _ENDORSE_END),
+    ("AsIsBsd", "this software is provided by ", f" {_AS_IS_END}"),
+    ("AsIsBsdBegin", "this software is provided by ", ""),
+    ("AsIsBsdEnd", "", _AS_IS_END),
+    ("LiableBsd", "in no event shall ", f" {_LIABLE_END}"),
+    ("LiableBsdEnd", "", _LIABLE_END),
+]
+#: The ways in which splitting leaves the last sentences of a BSD notice.
+_ENDORSED = [["BsdEndorse"], ["BsdEndorseBegin", "BsdEndorseEnd"]]
+_BSD_END = [[*as_is, *liable] for as_is in (["AsIsBsd"], ["AsIsBsdBegin", "AsIsBsdEnd"]) for liable in (["LiableBsd"], ["LiableBsdEnd"], [])]
+
 #: The ways in which splitting leaves the two first sentences of a GPL notice.
 _GPL_FREE = {v: [[f"GplFree{v}"], ["GplProgram", "GplTerms", f"GplEither{v}"], ["GplProgramTerms", f"GplEither{v}"], ["GplProgram", f"GplTermsEither{v}"]] for v in (3, 2)}
 _GPL_HOPE = [["GplHope"], ["GplUseful", "GplWithout"]]
@@ -189,9 +208,9 @@ RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["MitGrant", "MitNotice", "AsIsMit", "LiableMit"]),
     ("MIT", ["MitGrant", "MitNotice", "AsIsMit"]),
     ("Apache-2.0", ["ApacheRef", "ApacheUse", "ApacheObtain", "ApacheAsIs", "ApacheSee"]),
-    *(("BSD-4-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdAd", "BsdEndorse", *end]) for end in (["AsIsBsd", "LiableBsd"], ["AsIsBsd"])),
-    *(("BSD-3-Clause", [*title, "BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", *end]) for title in (["BsdTitle"], []) for end in (["AsIsBsd", "LiableBsd"], ["AsIsBsd"])),
-    *(("BSD-2-Clause", [*title, "BsdGrant", "BsdSource", "BsdBinary", *end]) for title in (["Bsd2Title"], []) for end in (["AsIsBsd", "LiableBsd"], ["AsIsBsd"])),
+    *(("BSD-4-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdAd", *own, *end]) for own in _ENDORSED for end in _BSD_END),
+    *(("BSD-3-Clause", [*title, "BsdGrant", "BsdSource", "BsdBinary", *own, *end]) for title in (["BsdTitle"], []) for own in _ENDORSED for end in _BSD_END),
+    *(("BSD-2-Clause", [*title, "BsdGrant", "BsdSource", "BsdBinary", *end]) for title in (["Bsd2Title"], []) for end in _BSD_END),
     *((f"GPL-{v}.0-or-later", [*free, *hope, *see]) for v in _GPL_FREE for free in _GPL_FREE[v] for hope in _GPL_HOPE for see in (["GplSee", "GplReceived"], ["GplSee"])),
     *((f"GPL-{v}.0-or-later", free) for v in _GPL_FREE for free in _GPL_FREE[v]),
     *((f"LGPL-{v}-or-later", run) for v, n in (("2.1", "21"), ("3.0", "3")) for run in (["LgplLibrary", f"LgplTerms{n}", "LgplUseful", "GplWithout", "LgplSee"], ["LgplLibrary", "LgplTerms", f"GplEither{n}", "LgplUseful", "GplWithout", "LgplSee"], ["LgplLibrary", f"LgplTerms{n}"], ["LgplLibrary", "LgplTerms", f"GplEither{n}"], ["GplProgram", f"LgplTerms{n}"])),
@@ -205,7 +224,8 @@ RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["ApacheRef", "ApacheObtain", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["ApacheTitle", "ApacheTerms"]),
     ("Apache-2.0", ["Apache2Grant", "ApacheCopyGrant"]),
-    ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse"]),
+    ("BSD-4-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdAd"]),
+    *(("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", *own]) for own in [*_ENDORSED, ["BsdEndorseBegin"]]),
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
     ("Zlib", ["ZlibAsIs", "ZlibLiable", "ZlibGrant"]),
     ("BSL-1.0", ["BoostGrant"]),
@@ -261,6 +281,9 @@ RULES: list[tuple[str, list[str]]] = [
 KEYWORDS = ["licen", "notice", "terms", "anyone", "consortium", "advertising", "neither", "event", "permission", "warrant", "redistribut", "liable", "reserved", "software", "apache", "gnu", "mpl", "unencumbered", "gpl", "endorse"]
 #: Where a sentence ends. Single line breaks don't end one, as notices are wrapped.
 SENTENCE_END = r"[.!?;]+[ \t\r\n]+|\n[ \t]*\n"
+#: Marks of comments at the beginning of a line, which say nothing, and of list items, which end a sentence.
+COMMENT_MARK = r"(?m)^[ \t]*(?://+!?|/\*+|\*+/|\*+|#+|--+|;+|%+|<!--|\.\.|dnl )[ \t]*"
+ITEM_MARK = r"(?m)^[ \t]*(?:\(?(?:[0-9]{1,2}|[a-z]|i{1,3}|iv)[.)]|[-+o])[ \t]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -271,7 +294,13 @@ def normalised(sentence: Column) -> Column:
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for name, sentence in {s: n for n, s in SENTENCES}.items() for x in (name, sentence)])
-    found = F.transform(F.split(text, SENTENCE_END), lambda s: known[normalised(s)])
+    plain = F.regexp_replace(F.regexp_replace(text, COMMENT_MARK, ""), ITEM_MARK, "\n\n")
+
+    def framed(sentence: Column) -> Column:
+        cases = [F.when(sentence.startswith(begin) & sentence.endswith(end), name) for name, begin, end in FRAMES]
+        return F.coalesce(known[sentence], *cases)
+
+    found = F.transform(F.transform(F.split(plain, SENTENCE_END), normalised), framed)
     return F.filter(found, lambda i: i.isNotNull())
 
 
@@ -317,6 +346,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def license_sql(table: str = "documents") -> str:
     """The same scan as DuckDB SQL."""
     values = ", ".join(f"('{n}', '{s}')" for n, s in SENTENCES)
+    frames = " ".join(f"WHEN starts_with(n, '{begin}') AND suffix(n, '{end}') THEN '{name}'" for name, begin, end in FRAMES)
     names = []
     layers = []
     for k, (name, run) in enumerate(RULES):
@@ -327,10 +357,10 @@ def license_sql(table: str = "documents") -> str:
 WITH known(id, sentence) AS (VALUES {values}),
 parts AS (
   SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS k
-  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{SENTENCE_END}') AS p FROM {table})
-), hits AS (
-  SELECT doc_id, k, known.id FROM parts
-  JOIN known ON known.sentence = trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))
+  FROM (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '{COMMENT_MARK}', '', 'g'), '{ITEM_MARK}', chr(10) || chr(10), 'g'), '{SENTENCE_END}') AS p FROM {table})
+), plain AS (SELECT doc_id, k, trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS n FROM parts),
+hits AS (
+  SELECT * FROM (SELECT doc_id, k, coalesce(known.id, CASE {frames} END) AS id FROM plain LEFT JOIN known ON known.sentence = n) WHERE id IS NOT NULL
 ), seq AS (
   SELECT doc_id, count(*) AS n_sentences, string_agg(id, ',' ORDER BY k) AS sentences,
          '|' || string_agg('<' || id || '>', '' ORDER BY k) AS rest0

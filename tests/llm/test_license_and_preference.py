@@ -1,13 +1,14 @@
 import re
 
-from llm.license_scan import KEYWORDS, RULES, SENTENCES, scan_licenses
+from llm.license_scan import FRAMES, KEYWORDS, RULES, SENTENCES, scan_licenses
 from llm.preference import format_preferences, pairs_of_conversations
 
 
 def test_every_sentence_holds_a_keyword_and_every_rule_knows_its_sentences():
     assert all(any(k in s for k in KEYWORDS) for _, s in SENTENCES)
     assert all(re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", s) for _, s in SENTENCES)
-    known = {n for n, _ in SENTENCES}
+    assert all(any(k in begin + end for k in KEYWORDS) for _, begin, end in FRAMES)
+    known = {n for n, _ in SENTENCES} | {n for n, _, _ in FRAMES}
     assert all(set(run) <= known for _, run in RULES)
 
 
@@ -29,6 +30,64 @@ def test_scan(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+BSD = """Copyright (c) 2015, X. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+{0}Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+{1}Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+{2}THIS SOFTWARE IS PROVIDED BY {3} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR
+A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {3} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+ENDORSE = """{0}Neither the name of {1} nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+
+"""
+
+
+def test_holders_items_and_comment_marks(spark):
+    """Whoever the holder is, however items are marked, and inside comments: the licence with a 'neither the name' clause is never the one without."""
+    rows = {}
+    for marks in (("   * ", "   * ", "   * "), ("1. ", "2. ", "3. "), ("  (a) ", "  (b) ", "  (c) "), ("- ", "- ", "- "), ("", "\n", "\n")):
+        for holder in ("Google Inc.", "the copyright holder", "Example GmbH", "Foo Inc. and Bar Corp."):
+            rows["BSD-3-Clause", marks, holder] = BSD.format(marks[0], marks[1], ENDORSE.format(marks[2], holder), holder.upper())
+            rows["BSD-2-Clause", marks, holder] = BSD.format(marks[0], marks[1], "\n", holder.upper())
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+    for mark in ("# ", "// ", " * ", "-- ", ";; ", "%% ", ""):
+        rows["Apache-2.0", mark, ""] = "".join(f"{mark}{line}".rstrip() + "\n" for line in apache.split("\n"))
+        rows["BSD-3-Clause", mark, "Google Inc."] = "".join(f"{mark}{line}".rstrip() + "\n" for line in BSD.format("1. ", "2. ", ENDORSE.format("3. ", "Google Inc."), "X").split("\n"))
+    keys = list(rows)
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame([(i, rows[k]) for i, k in enumerate(keys)], "doc_id long, text string")).collect()}
+    for i, key in enumerate(keys):
+        assert got[i].licenses.replace(",all-rights-reserved", "") == key[0], (key, got[i])
+        assert key[0] != "Apache-2.0" or got[i].n_sentences == 5 and got[i].n_unmatched == 0, (key, got[i])
+
+
 def test_verbatim_notices(spark):
     """Notices as their licences word them, with sentence ends inside sentences and odd white space."""
     apache = '''Copyright 2020 X
