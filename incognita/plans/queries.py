@@ -389,7 +389,7 @@ def _payload_restore(spark: SparkSession, d: str) -> DataFrame:
     asked, _, vault, sent = _payloads(spark, d)
     back = restored(payload.leaves(sent, "conv_id", whole=True), vault, "conv_id", "path")
     after = payload.leaves(payload.with_leaves(sent, back, "conv_id", whole=True), "conv_id")
-    return after.where("path NOT LIKE '%name'").groupBy("conv_id").agg(F.count("*").alias("n_leaves"), F.sum(F.length("text")).alias("n_chars"), F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("text"))), "")).alias("texts_md5"))
+    return after.groupBy("conv_id").agg(F.count("*").alias("n_leaves"), F.sum(F.length("text")).alias("n_chars"), F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("text"))), "")).alias("texts_md5"))
 
 
 _add(
@@ -407,8 +407,8 @@ _add("audit_sorted", lambda spark, d: audit.sorted_by(_vault(spark, d)[1], "surr
 
 # --- streaming -----------------------------------------------------------------------------------------------------------
 
-#: Characters in one delta of the streamed texts.
-DELTA = 7
+#: Characters in one delta of the streamed texts, and files in which each part of a stream comes.
+DELTA, STREAM_FILES = 7, 4
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -422,11 +422,12 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(DELTA))
     deltas = sent.select(F.col("row_id").cast("string").alias("stream"), F.lit(0).alias("block"), "text", F.posexplode(starts).alias("k", "at"))
     deltas = deltas.select("stream", "block", F.col("k").cast("long").alias("seq"), F.substring("text", F.col("at") + 1, F.lit(DELTA)).alias("delta"), (F.col("at") + DELTA >= F.length("text")).alias("is_end"))
+    deltas = cut(deltas, "all-deltas")
     source, sink, marks = (new_path(spark, name) for name in ("deltas", "restored", "marks"))
     for part in (2, 0, 3, 1):  # later parts first
-        deltas.where(F.pmod(F.col("seq"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    query = restored_stream(stream, own).writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        deltas.where(F.pmod(F.col("seq"), F.lit(4)) == part).repartition(STREAM_FILES, "stream").write.mode("append").parquet(source)
+    stream = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(source)
+    query = restored_stream(stream, own, linger_ms=0).writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
     pieces = spark.read.schema("stream string, block int, seq long, text string").parquet(sink)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"]), "")
@@ -451,14 +452,15 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     is_first = F.col("row_id") % 2 == 0
     whole = F.concat(F.array(F.lit(": ping"), F.lit("event: start")), F.transform(cuts, lambda p: F.when(is_first, first(p)).otherwise(second(p))), F.when(is_first, F.array(stop, F.lit("data: no json"))).otherwise(F.array(F.lit(""), F.lit("data: [DONE]"))))
     sent = anonymized(lines, found, vault, *KEYS).select(F.col("row_id").cast("string").alias("stream"), F.posexplode(whole).alias("seq", "line")).withColumn("seq", F.col("seq").cast("long"))
+    sent = cut(sent, "all-events")
     source, sink, marks = (new_path(spark, name) for name in ("events", "restored-events", "marks"))
     for part in (2, 0, 1):
-        sent.where(F.pmod(F.col("seq"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        sent.where(F.pmod(F.col("seq"), F.lit(3)) == part).repartition(STREAM_FILES, "stream").write.mode("append").parquet(source)
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(source)
     query = restored_events(stream, own).writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
     out = spark.read.schema("stream string, seq long, part int, line string").parquet(sink)
-    data = F.substring("line", 7, 1_000_000)
+    data = F.expr("substr(line, 7)")
     text = F.coalesce(F.get_json_object(data, "$.delta.text"), F.get_json_object(data, "$.choices[0].delta.content"))
     placed = out.select("stream", F.struct("seq", "part", text.alias("text"), "line").alias("p")).groupBy("stream").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     joined = lambda keep, field: F.array_join(F.transform(F.filter("ps", keep), lambda p: p[field]), "" if field == "text" else "\n")

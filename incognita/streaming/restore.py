@@ -1,12 +1,15 @@
 """Restoration of streamed texts: deltas, and the event lines of chats.
 
 State keeps, for each stream, what is held back of its texts, the number expected next, what came early, and the stream's own
-mappings, so that micro-batches may arrive in any order; an end counts once all before it has.
+mappings, so that micro-batches may arrive in any order; an end counts once all before it has. Mappings come with a stream's first row alone, without which nothing of it is
+given out anyway. What stays of a stream that has ended is
+a mark, so that copies of its rows count for nothing: for good, for ``linger_ms``, or (0) not at all, where a source gives each row once.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from incognita.sources.shared import cut
 from incognita.streaming.matcher import Held, Matcher
 
 DELTAS = "stream string, block int, seq long, delta string, is_end boolean"
@@ -23,14 +27,17 @@ _PIECES = "stream string, block int, seq long, text string"
 _RESTORED = "stream string, seq long, part int, line string"
 #: A number that is never expected: what comes after an end is dropped.
 _NEVER = 2**62
+#: Stands among the blocks of a stream that has ended.
+_ENDED = "ended"
 
 
 def _with_pairs(rows: DataFrame, pairs: list[tuple[str, str]] | DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Rows with their stream's mappings as JSON in a column ``pairs``, and the mappings of all streams."""
+    """Rows, the first of each stream with its mappings as JSON in a column ``pairs``, and the mappings of all streams. The mappings are
+    aggregated once, into a table that the micro-batches read."""
     if isinstance(pairs, list):
         return rows.withColumn("pairs", F.lit(None).cast("string")), pairs
-    own = pairs.groupBy("stream").agg(F.to_json(F.collect_set(F.struct("surrogate", "original"))).alias("pairs"))
-    return rows.join(own, "stream", "left"), []
+    own = cut(pairs.groupBy("stream").agg(F.to_json(F.collect_set(F.struct("surrogate", "original"))).alias("pairs")), "stream-mappings")
+    return rows.join(own.withColumn("seq", F.lit(0).cast("long")), ["stream", "seq"], "left").select(*rows.columns, "pairs"), []
 
 
 def _known(frames: list[pd.DataFrame], kept: str) -> dict[str, str]:
@@ -41,11 +48,26 @@ def _known(frames: list[pd.DataFrame], kept: str) -> dict[str, str]:
     return known
 
 
-def restored_stream(deltas: DataFrame, pairs: list[tuple[str, str]] | DataFrame, timeout_ms: int | None = None) -> DataFrame:
+def _mode(wait_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout
+
+
+def _end(state: GroupState, after: tuple, linger_ms: int | None) -> None:
+    """What becomes of an ended stream's state."""
+    if linger_ms == 0:
+        state.remove()
+        return
+    state.update(after)
+    if linger_ms:
+        state.setTimeoutDuration(linger_ms)
+
+
+def restored_stream(deltas: DataFrame, pairs: list[tuple[str, str]] | DataFrame, timeout_ms: int | None = None, linger_ms: int | None = None) -> DataFrame:
     """A streaming DataFrame of restored pieces (stream, block, seq of the last delta in it, text) for deltas of the
-    columns of DELTAS. ``pairs``: a table of each stream's own mappings (stream, surrogate, original), which are
-    joined to its deltas and kept in its state; or a short list of (surrogate, original) for all streams. A delta that comes
-    twice counts once. With ``timeout_ms`` a block without an end is given out after that time in silence."""
+    columns of DELTAS, numbered from 0 in each block. ``pairs``: a table of each stream's own mappings (stream, surrogate, original), which come
+    with its first delta and are kept in its state; or a short list of (surrogate, original) for all streams. A delta that comes
+    twice counts once, after its block's end for ``linger_ms`` (None: always), after which the block's state goes. With ``timeout_ms`` a block
+    without an end is given out after that time in silence."""
     deltas, shared = _with_pairs(deltas, pairs)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,7 +80,8 @@ def restored_stream(deltas: DataFrame, pairs: list[tuple[str, str]] | DataFrame,
         if state.hasTimedOut:
             late = "".join(early[k][0] for k in sorted(early, key=int))
             state.remove()
-            yield piece(expected, hold.push(late) + hold.flush())
+            if expected != _NEVER:
+                yield piece(expected, hold.push(late) + hold.flush())
             return
         for frame in frames:
             for seq, delta, end in zip(frame["seq"], frame["delta"], frame["is_end"], strict=True):
@@ -70,7 +93,8 @@ def restored_stream(deltas: DataFrame, pairs: list[tuple[str, str]] | DataFrame,
             expected, ended = expected + 1, item[1]
         if ended:
             out.append(hold.flush())
-            state.update(('["", false]', _NEVER, "{}", "[]"))
+        if ended or expected == _NEVER:
+            _end(state, ('["", false]', _NEVER, "{}", "[]"), linger_ms)
         else:
             state.update((json.dumps([hold.text, hold.after_blank]), expected, json.dumps(early), json.dumps([*known.items()])))
             if timeout_ms:
@@ -78,8 +102,7 @@ def restored_stream(deltas: DataFrame, pairs: list[tuple[str, str]] | DataFrame,
         if text := "".join(out):
             yield piece(expected - 1, text)
 
-    mode = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return deltas.groupBy("stream", "block").applyInPandasWithState(step, _PIECES, _STATE, "append", mode)
+    return deltas.groupBy("stream", "block").applyInPandasWithState(step, _PIECES, _STATE, "append", _mode(timeout_ms or linger_ms))
 
 
 def _texts_of(event: dict) -> list[tuple[str, dict, str]]:
@@ -134,30 +157,40 @@ def _restored_lines(line: str, held: dict[str, Held], matcher: Matcher) -> list[
     return [f"data: {json.dumps(_tail_event(block, text), ensure_ascii=False)}" for block, text in rests if text] + [out]
 
 
-def restored_events(lines: DataFrame, pairs: list[tuple[str, str]] | DataFrame) -> DataFrame:
+def _is_last(line: str) -> bool:
+    """Whether a line ends its whole stream."""
+    return line.startswith("data:") and (line[5:].strip() == "[DONE]" or re.search(r'"type"\s*:\s*"message_stop"', line) is not None)
+
+
+def restored_events(lines: DataFrame, pairs: list[tuple[str, str]] | DataFrame, linger_ms: int | None = None) -> DataFrame:
     """A streaming DataFrame of restored event lines (stream, seq, part, line) for the server-sent event lines (LINES) of
     chats of either format, numbered from 0 in each stream: texts and tool-call arguments are restored across events, rests come
     as events of their own before their block's end, and all other lines pass as they are. ``pairs`` as in restored_stream.
-    A line that comes twice counts once."""
+    A line that comes twice counts once. ``linger_ms`` as there: the end of a stream is its line ``[DONE]`` or ``message_stop``."""
     lines, shared = _with_pairs(lines, pairs)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         raw_held, expected, raw, kept = state.get if state.exists else ("{}", 0, "{}", "[]")
         early: dict[str, str] = json.loads(raw)
         frames = list(frames)
         known = _known(frames, kept)
         matcher = Matcher([*known.items(), *shared])
-        held = {block: Held(matcher, *rest) for block, rest in json.loads(raw_held).items()}
+        held = {block: Held(matcher, *rest) for block, rest in json.loads(raw_held).items() if block != _ENDED}
         for frame in frames:
             for seq, line in zip(frame["seq"], frame["line"], strict=True):
                 if seq >= expected:
                     early.setdefault(str(seq), line or "")
-        rows = []
+        rows, over = [], _ENDED in raw_held
         while (line := early.pop(str(expected), None)) is not None:
             rows += [(*key, expected, part, out) for part, out in enumerate(_restored_lines(line, held, matcher))]
-            expected += 1
-        state.update((json.dumps({b: [h.text, h.after_blank] for b, h in held.items()}), expected, json.dumps(early), json.dumps([*known.items()])))
+            expected, over = expected + 1, over or _is_last(line)
+        kept_held = {b: [h.text, h.after_blank] for b, h in held.items()} | ({_ENDED: ["", False]} if over else {})
+        after = (json.dumps(kept_held), expected, json.dumps(early), json.dumps([] if over and not early else [*known.items()]))
+        _end(state, after, linger_ms) if over else state.update(after)
         if rows:
             yield pd.DataFrame(rows, columns=["stream", "seq", "part", "line"])
 
-    return lines.groupBy("stream").applyInPandasWithState(step, _RESTORED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return lines.groupBy("stream").applyInPandasWithState(step, _RESTORED, _STATE, "append", _mode(linger_ms))
