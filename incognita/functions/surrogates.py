@@ -108,9 +108,23 @@ def ip_address(original: Column, s: Column, wide: int = 0) -> Column:
     return F.when(is_ipv6(original), ipv6(s)).otherwise(v4)
 
 
+def network_of(address: Column, prefix: Column) -> Column:
+    """The network of an IPv4 address for a prefix length (text; what is no length from 0 to 32 masks nothing)."""
+    parts = F.split(address, r"\.")
+    number = sum((parts[k].cast("long") * 256 ** (3 - k) for k in range(1, 4)), parts[0].cast("long") * 256**3)
+    bits = F.coalesce(F.when(prefix.rlike("^[0-9]{1,2}$"), prefix.cast("int")), F.lit(32))
+    base = number - number % F.pow(F.lit(2), F.greatest(32 - bits, F.lit(0))).cast("long")
+    return F.concat_ws(".", *[(F.floor(base / 256 ** (3 - k)) % 256).cast("string") for k in range(4)])
+
+
 def cidr(original: Column, s: Column, wide: int = 0) -> Column:
+    """A network of the same prefix length. Three are compatible; then come those of 198.18.0.0/15 (for /24 there are 512), and for prefixes
+    shorter than 15, or after five more rounds, those of 240.0.0.0/4 (for /24 there are 983,040)."""
     prefix = F.when(F.contains(original, F.lit("/")), F.substring_index(original, "/", -1)).otherwise("24")
-    return F.concat(WIDER[wide](s), F.lit("/"), prefix) if wide else F.concat(_choice(TEST_NETS, _number(s, 0, 4)), F.lit("0/"), prefix)
+    if not wide:
+        return F.concat(_choice(TEST_NETS, _number(s, 0, 4)), F.lit("0/"), prefix)
+    short = prefix.rlike("^[0-9]$|^1[0-4]$")
+    return F.concat(network_of(F.when(short, _reserved_address(s)).otherwise(WIDER[wide](s)), prefix), F.lit("/"), prefix)
 
 
 def hash_like(original: Column, s: Column) -> Column:

@@ -122,8 +122,13 @@ def surrogate_expression(kind: str, wide: int = 0) -> str:
     if kind == "IPV6":
         return v6
     if kind == "CIDR":
-        net = f"{WIDER[wide]} || '/'" if wide else f"{_choice(sg.TEST_NETS, _int(0))} || '0/'"
-        return f"{net} || CASE WHEN contains(original, '/') THEN string_split(original, '/')[-1] ELSE '24' END"
+        prefix = "CASE WHEN contains(original, '/') THEN string_split(original, '/')[-1] ELSE '24' END"
+        if not wide:
+            return f"{_choice(sg.TEST_NETS, _int(0))} || '0/' || {prefix}"
+        address = f"string_split(CASE WHEN regexp_full_match({prefix}, '[0-9]|1[0-4]') THEN {WIDER[2]} ELSE {WIDER[wide]} END, '.')"
+        number = f"list_reduce(list_transform({address}, lambda x: x::BIGINT), lambda a, b: a * 256 + b)"
+        base = f"(({number}) >> (32 - ({prefix})::INT)) << (32 - ({prefix})::INT)"
+        return f"array_to_string(list_transform([24, 16, 8, 0], lambda k: ((({base}) >> k) & 255)::VARCHAR), '.') || '/' || {prefix}"
     if kind == "HASH":
         def one(value: str, ks: str) -> str:
             out = _pick(sg.HEX, f"length({value})", 0, ks)

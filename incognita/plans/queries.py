@@ -210,7 +210,7 @@ def _vault(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return found, cut(vaults.mint(found.select("value", "entity_type").distinct(), None, ENGAGEMENT), "vault")
 
 
-VAULT = f"""{sql.FOUND}, wanted AS (SELECT DISTINCT value AS original, entity_type FROM found), {sql.vault_ctes("wanted", ENGAGEMENT, 4, KINDS, 3)}"""
+VAULT = f"""{sql.FOUND}, wanted AS (SELECT DISTINCT value AS original, entity_type FROM found), {sql.vault_ctes("wanted", ENGAGEMENT, 4, KINDS, 8)}"""
 _add("vault_build", lambda spark, d: _vault(spark, d)[1], f"WITH {VAULT} SELECT * FROM vault")
 _add("vault_export", lambda spark, d: vaults.export(_vault(spark, d)[1]), f"WITH {VAULT} SELECT original, entity_type, surrogate FROM vault")
 _add("vault_stats", lambda spark, d: vaults.stats(_vault(spark, d)[1]), f"WITH {VAULT} SELECT entity_type, count(*) AS n FROM vault GROUP BY ROLLUP (entity_type)")
@@ -221,7 +221,7 @@ NETWORKS_SQL = "SELECT '10.' || CAST(c_custkey % 250 AS STRING) || '.' || CAST(C
 _add(
     "vault_collisions",
     lambda spark, d: vaults.mint(spark.sql(NETWORKS_SQL, customer=_table(spark, d, "customer")), None, ENGAGEMENT),
-    f"WITH networks AS (SELECT value AS original, entity_type FROM ({NETWORKS_SQL.format(customer='customer')})), {sql.vault_ctes('networks', ENGAGEMENT, 7, ['CIDR'])} SELECT * FROM vault",
+    f"WITH networks AS (SELECT value AS original, entity_type FROM ({NETWORKS_SQL.format(customer='customer')})), {sql.vault_ctes('networks', ENGAGEMENT, 12, ['CIDR'])} SELECT * FROM vault",
 )
 
 
