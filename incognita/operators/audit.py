@@ -18,11 +18,12 @@ def search(vault: DataFrame, query: str | None = None, entity_type: str | None =
     return rows
 
 
-def sorted_by(vault: DataFrame, column: str, descending: bool = False) -> DataFrame:
+def sorted_by(vault: DataFrame, column: str, descending: bool = False, collation: str = "UNICODE") -> DataFrame:
+    """Rows in the order of a collation (UNICODE: letters before their accents and case), ties by the other columns."""
     if column not in ("original", "entity_type", "surrogate"):
         raise ValueError(f"no such column to sort by: {column}")
     rest = [c for c in ("original", "entity_type", "surrogate") if c != column]
-    return vault.select("original", "entity_type", "surrogate").orderBy(F.desc(column) if descending else F.asc(column), *rest)
+    return vault.select("original", "entity_type", "surrogate").orderBy(F.collate(F.col(column), collation).desc() if descending else F.collate(F.col(column), collation), column, *rest)
 
 
 def types(vault: DataFrame) -> DataFrame:

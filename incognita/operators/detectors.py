@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incognita.operators.entities import floor_entities, keep_entity, merged_types, scope_entities, without_wrappers
@@ -18,11 +18,46 @@ FLOOR, SCOPE = "regex", "scope"
 _DETECTORS: dict[str, Detector] = {}
 #: Those whose findings always count, whatever their context.
 _FIXED = {FLOOR, SCOPE}
+#: Whether a contextual detector can be used, by name; one without an entry always can.
+_READY: dict[str, Callable[[], bool]] = {}
 
 
-def register(name: str, detector: Detector) -> None:
-    """Makes a contextual detector known; other names of one are registered like it."""
+def register(name: str, detector: Detector, ready: Callable[[], bool] | None = None) -> None:
+    """Makes a contextual detector known; other names of one are registered like it. ``ready`` tells whether it can be used now."""
     _DETECTORS[name.lower()] = detector
+    _READY.pop(name.lower(), None)
+    if ready:
+        _READY[name.lower()] = ready
+
+
+def contextual_ready(names: list[str], scoped: bool = False) -> bool:
+    """Whether any detector of a chain but the rules is there to find what rules can't; one whose check fails isn't. Only then do values that rules can't find count
+    as leaks."""
+
+    def ready(name: str) -> bool:
+        try:
+            return _READY.get(name, lambda: True)()
+        except Exception as error:
+            log.warning("detector %r can't be used: %s", name, error)
+            return False
+
+    return any(ready(name) for name in chain(names, scoped) if name != FLOOR)
+
+
+def register_udtf(spark: SparkSession, name: str, find: Callable[[str], list[tuple[str, str]]]) -> None:
+    """A function of a text that gives (value, entity_type) pairs as a table function for SQL: ``SELECT ... FROM t, LATERAL name(t.text)``. Texts and
+    findings go as Arrow batches; many rows may come of a text; null texts, and texts at which the function fails, give none."""
+
+    @F.udtf(returnType="value string, entity_type string", useArrow=True)
+    class Find:
+        def eval(self, text: str) -> Iterator[tuple[str, str]]:
+            try:
+                found = list(find(text)) if text is not None else []
+            except Exception:  # a text that breaks a detector must not stop the others
+                return
+            yield from found
+
+    spark.udtf.register(name, Find)
 
 
 def from_function(find: Callable[[str], list[tuple[str, str]]], failures: object = None) -> Detector:

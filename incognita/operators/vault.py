@@ -13,6 +13,10 @@ ATTEMPTS = 64
 WIDE_FROM = {1: 3, 2: 8}
 
 
+#: Originals that are still open after a round, up to which the rounds that follow are offered at once, so many of them a job.
+FEW_OPEN, BLOCK = 5_000, 8
+
+
 class ExhaustedError(RuntimeError):
     """A format has no free surrogate left for some original. The message names the type only."""
 
@@ -36,28 +40,56 @@ def mint(wanted: DataFrame, vault: DataFrame | None = None, engagement: str = "d
     if vault is not None:
         originals = originals.unionAll(vault.select("original"))
     taken = vault.select("surrogate") if vault is not None else None
-    open_, won = everyone, None
-    for k in range(attempts):
-        kinds = [r["kind"] for r in open_.select(F.upper("entity_type").alias("kind")).distinct().collect()] if k else TYPES
-        wide = max((space for space, first in WIDE_FROM.items() if k >= first), default=0)
-        offered = with_surrogates(open_, engagement, "" if k == 0 else f"#{k - 1}", kinds, wide)
-        free = offered.join(originals, "surrogate", "left_anti")
-        if taken is not None:
-            free = free.join(taken, "surrogate", "left_anti")
-        # Pre-aggregated before the shuffle: in a small space very many originals meet in few surrogates.
-        best = free.groupBy("surrogate").agg(F.min(F.struct("original", "entity_type")).alias("w"))
-        fresh = keep(best.select("w.original", "w.entity_type", "surrogate"), f"round-{k}")
+    open_, won, k = everyone, None, 0
+    while k < attempts:
+        n_open = open_.count()
+        if not n_open and won is not None:
+            return won
+        if k and n_open <= FEW_OPEN:
+            rounds = range(k, min(k + BLOCK, attempts))
+            fresh, open_ = _few(open_, _offered(open_, rounds, engagement, originals, taken))
+            k = rounds.stop
+        else:
+            # Pre-aggregated before the shuffle: in a small space very many originals meet in few surrogates.
+            best = _offered(open_, range(k, k + 1), engagement, originals, taken).groupBy("surrogate").agg(F.min(F.struct("original", "entity_type")).alias("w"))
+            fresh = keep(best.select("w.original", "w.entity_type", "surrogate"), f"round-{k}")
+            before, open_ = open_, keep(open_.join(fresh.select("original"), "original", "left_anti"), f"open-{k}")
+            if before is not everyone:
+                delete_tables(before)
+            k += 1
         won = fresh if won is None else won.unionAll(fresh)
         taken = fresh.select("surrogate") if taken is None else taken.unionAll(fresh.select("surrogate"))
-        before, open_ = open_, keep(open_.join(fresh.select("original"), "original", "left_anti"), f"open-{k}")
-        if before is not everyone:
-            delete_tables(before)
-        if open_.isEmpty():
-            return won
+    if open_.isEmpty():
+        return won
     kinds = [r["entity_type"] for r in open_.select("entity_type").distinct().orderBy("entity_type").limit(20).collect()]
     raise ExhaustedError(f"no free surrogate after {attempts} attempts for: {', '.join(kinds)}")
 
 
+def _offered(open_: DataFrame, rounds: range, engagement: str, originals: DataFrame, taken: DataFrame | None) -> DataFrame:
+    """original, entity_type, surrogate and round: what the rounds offer the open originals, without surrogates that are gone before."""
+    kinds = [r["kind"] for r in open_.select(F.upper("entity_type").alias("kind")).distinct().collect()] if rounds.start else TYPES
+    free = None
+    for k in rounds:
+        wide = max((space for space, first in WIDE_FROM.items() if k >= first), default=0)
+        offered = with_surrogates(open_, engagement, "" if k == 0 else f"#{k - 1}", kinds, wide).select("original", "entity_type", "surrogate", F.lit(k).alias("round"))
+        free = offered if free is None else free.unionAll(offered)
+    free = free.join(originals, "surrogate", "left_anti")
+    return free if taken is None else free.join(taken, "surrogate", "left_anti")
+
+
+def _few(open_: DataFrame, offered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What several rounds give to FEW_OPEN originals at most, and those that stay open. So few offers are settled on the driver."""
+    wins: dict[str, tuple] = {}
+    used: set[str] = set()
+    for r in sorted(offered.collect(), key=lambda r: (r["round"], r["original"].encode())):
+        if r["original"] not in wins and r["surrogate"] not in used:
+            used.add(r["surrogate"])
+            wins[r["original"]] = (r["original"], r["entity_type"], r["surrogate"])
+    spark = open_.sparkSession
+    left = [(r["original"], r["entity_type"]) for r in open_.select("original", "entity_type").collect() if r["original"] not in wins]
+    return spark.createDataFrame([*wins.values()], "original string, entity_type string, surrogate string"), spark.createDataFrame(left, "original string, entity_type string")
+
+
 def as_rows(minted: DataFrame, engagement: str) -> DataFrame:
     """Vault rows with engagement, norm and time, ready to append."""
     return minted.select(F.lit(engagement).alias("engagement"), "original", F.lower("original").alias("norm"), "entity_type", "surrogate", F.current_timestamp().alias("created_at"))

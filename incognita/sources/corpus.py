@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incognita.functions.text import scope_type
 
+log = logging.getLogger(__name__)
 VAULT_SCHEMA = "engagement string, original string, norm string, entity_type string, surrogate string, created_at timestamp"
 
 #: One line of tool output for each customer, of a kind that depends on its key: every rule has lines. The text
@@ -75,17 +78,29 @@ def read_vault(spark: SparkSession, path: str, engagement: str | None = None) ->
 
 
 def append_vault(rows: DataFrame, path: str) -> None:
-    """Adds rows, partitioned by engagement and sorted by original for reads by value. Rows that would give an engagement
-    an original or a surrogate twice are refused, and none is written; the message names no value."""
+    """Adds rows, partitioned by engagement and sorted by original for reads by value; an engagement's rows are dealt over tasks by ranges. Rows that would give
+    an engagement an original or a surrogate twice are refused, and none is written; the message names no value."""
+    spark = rows.sparkSession
     try:
-        known = rows.sparkSession.read.schema(VAULT_SCHEMA).parquet(path).select("engagement", "original", "surrogate")
-        every = known.unionByName(rows.select("engagement", "original", "surrogate"))
+        known = spark.read.schema(VAULT_SCHEMA).parquet(path)
     except AnalysisException:  # there is no table yet
-        every = rows.select("engagement", "original", "surrogate")
+        known = spark.createDataFrame([], VAULT_SCHEMA)
     for column in ("original", "surrogate"):
-        if not every.groupBy("engagement", column).count().where("count > 1").isEmpty():
+        keys = ["engagement", column]
+        twice = rows.groupBy(*keys).count().where("count > 1").select(*keys)
+        if not twice.unionByName(known.select(*keys).join(rows.select(*keys), keys, "left_semi")).isEmpty():
             raise ValueError(f"an engagement would have one {column} twice")
-    rows.repartition("engagement").sortWithinPartitions("engagement", "original").write.mode("append").partitionBy("engagement").parquet(path)
+    rows.repartitionByRange("engagement", "original").sortWithinPartitions("engagement", "original").write.mode("append").partitionBy("engagement").parquet(path)
+
+
+def save_look_up_tables(vault: DataFrame, name: str, folder: str, buckets: int = 32) -> tuple[str, str]:
+    """The vault as two tables in the catalog, bucketed and sorted by original and by surrogate, so that look-ups either way join a vault's rows
+    where they lie. The tables' names."""
+    names = (f"{name}_by_original", f"{name}_by_surrogate")
+    for table, column in zip(names, ("original", "surrogate"), strict=True):
+        dealt = vault.repartition(buckets, column)  # one file a bucket
+        dealt.write.bucketBy(buckets, column).sortBy(column).option("path", f"{folder}/{column}").saveAsTable(table)
+    return names
 
 
 def write_export_csv(export: DataFrame, path: str) -> None:
@@ -108,4 +123,16 @@ def inline_scope(spark: SparkSession, terms: str) -> DataFrame:
 
 
 def scope_file(spark: SparkSession, path: str) -> DataFrame:
-    return parse_scope(spark.read.text(path))
+    """Scope entries of a file's lines. A file that can't be read gives none, with a warning: a run goes on without it."""
+    try:
+        lines = spark.read.text(path)
+        lines.isEmpty()
+    except Exception as error:
+        log.warning("scope file %s can't be read: %s", path, str(error).splitlines()[0])
+        lines = spark.createDataFrame([], "value string")
+    return parse_scope(lines)
+
+
+def write_text_files(texts: DataFrame, path: str, text: str = "text") -> None:
+    """Texts as text files, one line for each line of a text; nulls are left out."""
+    texts.where(F.col(text).isNotNull()).select(text).write.text(path)
