@@ -1,6 +1,6 @@
 """Entity spans of a text.
 
-The rules run as native expressions: a text is searched for a rule only if it holds what the rule needs, and where the rule matches, its values are marked in
+The rules run as native expressions: a text is searched for a rule only if one scan for all rules has found what it needs, and where the rule matches, its values are marked in
 place. Places, checks and claims are then read off the marked copies in one pass of an Arrow function, in time linear in text and matches.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from incognita.functions.claims import claims
 from incognita.functions.rules import CARD, EXTRA_RULES, RULES, SAFE_WORDS, Rule
+from incognita.functions.scan import possible_rules
 
 #: A private-use character that marks values; one that a text itself holds is hidden during the search.
 MARK = "\ue000"
@@ -81,8 +82,9 @@ def entities(text: Column, extra: bool = False) -> Column:
     """Claimed spans of a text in the order of priority: cards first, then rule after rule, from left to right; a span
     that overlaps an earlier one is left out."""
     plain = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, _HIDDEN)).otherwise(text)
+    could = possible_rules(text, extra)
     copies = [
-        F.when(_likely(text, r) & plain.rlike(_java(r)), F.struct(F.lit(i).alias("rule"), F.regexp_replace(plain, _java(r), f"$1{MARK}$2{MARK}$3").alias("marked")))
+        F.when((could.bitwiseAND(F.lit(1 << i)) != 0) & plain.rlike(_java(r)), F.struct(F.lit(i).alias("rule"), F.regexp_replace(plain, _java(r), f"$1{MARK}$2{MARK}$3").alias("marked")))
         for i, r in enumerate([CARD, *RULES, *(EXTRA_RULES if extra else [])])
     ]
     hit = F.filter(F.array(*copies), lambda c: c.isNotNull())

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from incognita.functions.claims import claims
-from incognita.functions.spans import _spans_of, entities, rule_values
+from incognita.functions.scan import possible_rules
+from incognita.functions.spans import _java, _spans_of, entities, rule_values
 from incognita.functions.rules import CARD, RULES
 from incognita.functions.text import percent_decoded
 from incognita.functions.tolerant import Replacer, Restorer, replaced_text, tolerant_form
@@ -107,6 +108,22 @@ def test_very_many_spans_in_one_text(spark):
     assert (row.n, row.m) == (100_000, 50_000) and time.time() - began < 60
 
 
+def test_the_scan_spares_no_match(spark):
+    """Whatever a rule matches, the scan has set its bit: letters of other scripts, cases and digits, texts that end inside a literal."""
+    rnd = random.Random(9)
+    bits = ["4111 1111 1111 1111", "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12, "AKIA" + "A" * 16, "AUTHORIZATION: BA\u017fIC abcdefgh1", "authorization:\tBeaRer abcdefgh1", "\u0663" * 13, "\u0661.\u0662.3.4", "ab" * 16, "ab" * 20, "AB" * 32,
+            "12-34", "123-45-6789", "0a:1b:2c:3d:4e:5f", "0a-1b-2c-3d-4e-5f", "fe80:0:0:1:2:3:4:5", "1.2.3.4/24", "a.com", "u@x.org", "http://x", "D\\user1", "to\u212aen: secret1", "pass=hunter22", "set-coo\u212aie: a=bcdef", "Cookie: a=bcdef", "\n", " ", "é", ";", "$6$abcdefgh"]
+    texts = ["", *bits, *("".join(rnd.choice(bits) for _ in range(rnd.randrange(4))) for _ in range(400)), *(rnd.choice(bits)[: rnd.randrange(9)] for _ in range(100))]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    rules = [CARD, *RULES]
+    matched = F.array(*[F.coalesce(F.col("t").rlike(_java(r)), F.lit(False)) for r in rules])
+    rows = frame.select("i", "t", possible_rules(F.col("t")).alias("could"), matched.alias("does")).collect()
+    for r in rows:
+        assert all(r.could >> k & 1 or not does for k, does in enumerate(r.does)), (r.t, [rules[k].name for k, does in enumerate(r.does) if does and not r.could >> k & 1])
+    matching = {rule.name for k, rule in enumerate(rules) if any(r.does[k] for r in rows)}
+    assert matching >= {"payment_card", "basic", "bearer", "ipv4", "md5", "sha1", "sha256", "mac", "ipv6", "domain", "set_cookie", "labelled_secret"}
+
+
 @pytest.mark.parametrize("value,valid", [("4111 1111 1111 1111", True), ("4111111111111112", False), ("5500-0000-0000-0004", True), ("411111111111", False)])
 def test_card_numbers(value, valid):
     mark = chr(0xE000)
