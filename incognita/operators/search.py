@@ -30,7 +30,14 @@ def holding(texts: DataFrame, terms: DataFrame, *keys: str, text: str = "text",
     small = size["n"] <= few and size["chars"] <= FEW_CHARS
     held = texts.select(*keys, F.col(text).alias("_text")).where("_text IS NOT NULL")
     found = _by_automaton(held, [r["_needle"] for r in needles.collect()], keys) if small else _by_grams(held, needles, keys)
-    return found.join(F.broadcast(terms) if small and terms.count() <= few else terms, found["_needle"] == terms[term]).drop("_needle")
+    return found.join(F.broadcast(terms) if small and _fits(terms, few) else terms, found["_needle"] == terms[term]).drop("_needle")
+
+
+def _fits(rows: DataFrame, few: int) -> bool:
+    """Whether rows are few enough, and short enough in all their columns together, to be sent to every task."""
+    laid = F.length(F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in rows.columns]))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(laid), F.lit(0)).alias("chars")).first()
+    return size["n"] <= few and size["chars"] <= 4 * FEW_CHARS
 
 
 def _by_automaton(texts: DataFrame, needles: list[str], keys: tuple[str, ...]) -> DataFrame:
