@@ -445,7 +445,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     source, sink, marks = (new_path(spark, name) for name in ("deltas", "restored", "marks"))
     for part in (2, 0, 3, 1):  # later parts first
         deltas.where(F.pmod(F.col("seq"), F.lit(4)) == part).repartition(STREAM_FILES, "stream").write.mode("append").parquet(source)
-    stream = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(source)
+    stream = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", 2 * STREAM_FILES).parquet(source)
     query = restored_stream(stream, own, linger_ms=0).writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
     pieces = spark.read.schema("stream string, block int, seq long, text string").parquet(sink)
