@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from incognita.functions.claims import claims
 from incognita.functions.scan import possible_rules
-from incognita.functions.spans import _java, _spans_of, entities, rule_values
+from incognita.functions.spans import MARK, _java, _spans_of, entities, rule_values
 from incognita.functions.rules import CARD, RULES
 from incognita.functions.text import percent_decoded
 from incognita.functions.tolerant import Replacer, Restorer, replaced_text, tolerant_form
@@ -128,3 +128,11 @@ def test_the_scan_spares_no_match(spark):
 def test_card_numbers(value, valid):
     mark = chr(0xE000)
     assert bool(_spans_of(value, [{"rule": 0, "marked": f"{mark}{value}{mark}"}], [CARD])) == valid
+
+
+def test_python_gets_no_marked_copies(spark):
+    texts = spark.createDataFrame([(f"{MARK} é\U0001f600 10.0.0.1, a@b.corp.com",)], "text string")
+    found = texts.select(entities(F.col("text")).alias("s"))
+    assert [(s.start, s.end, s.value) for s in found.first().s] == [(5, 13, "10.0.0.1"), (15, 27, "a@b.corp.com")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "marked" not in plan and "sizes" in plan
