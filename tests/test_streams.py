@@ -1,4 +1,7 @@
 
+import pytest
+
+from incognita.streaming import byte_lines as lines_of, slots as dealt
 from incognita.streaming.restore import restored_events, restored_stream
 
 DELTAS = "stream string, block int, seq long, delta string, is_end boolean"
@@ -54,3 +57,42 @@ def test_event_streams_end(spark, tmp_path):
         assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == left
         out = [r.line for r in sorted(spark.table(f"last{n}").collect())]
         assert "real.host" in "".join(out) and "srv-one" not in "".join(out) and "data: [DONE]" in out
+
+
+def _by_parts(spark, rows, schema, folder, parts=3):
+    """A stream of rows that brings later parts first."""
+    at = [c.split()[0] for c in schema.split(", ")].index("seq")
+    for part in (2, 0, 1):
+        spark.createDataFrame([r for r in rows if r[at] % parts == part], schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_slots_give_what_single_states_give(spark, tmp_path):
+    """Streams that share states: the same rows as with a state each, ended streams leave nothing, and as many calls as slots, not as streams."""
+    pairs = spark.createDataFrame([(f"s{k}", f"srv-{k}.example", f"real{k}.hé") for k in range(40)], "stream string, surrogate string, original string")
+    text = {f"s{k}": f"at srv-{k}.example\nand *SRV-{k}.example* srv-{k}.exa" for k in range(40)}
+    deltas = [(s, 0, i // 4, t[i : i + 4], i + 4 >= len(t) and s != "s7") for s, t in text.items() for i in range(0, len(t), 4)]
+    event = lambda piece: 'data: {"choices":[{"index":0,"delta":{"content":' + f'"{piece}"' + "}}]}"
+    events = [(s, n, x) for s, t in text.items() for n, x in enumerate([": ping", *(event(t.replace("\n", " ")[i : i + 4]) for i in range(0, len(t), 4)), "data: [DONE]"])]
+    raw = {s: (t + "é€\n").encode() for s, t in text.items()}
+    chunks = [(s, i // 5, bytearray(b[i : i + 5]), i + 5 >= len(b)) for s, b in raw.items() for i in range(0, len(b), 5)]
+    made = {
+        "deltas": lambda slots: restored_stream(_by_parts(spark, deltas, DELTAS, str(tmp_path / f"deltas{slots}")), pairs, linger_ms=0, slots=slots),
+        "events": lambda slots: restored_events(_by_parts(spark, events, "stream string, seq long, line string", str(tmp_path / f"events{slots}")), pairs, linger_ms=0, slots=slots),
+        "chunks": lambda slots: lines_of.byte_lines(_by_parts(spark, chunks, lines_of.CHUNKS, str(tmp_path / f"chunks{slots}")), slots),
+    }
+    for name, query in made.items():
+        left, got = [], []
+        for slots in (None, 3):
+            run = _run(query(slots), f"{name}_{slots or 0}")
+            left.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+            got.append(sorted(map(tuple, spark.table(f"{name}_{slots or 0}").collect())))
+            assert slots is None or max(p["stateOperators"][0]["numRowsUpdated"] for p in run.recentProgress) <= slots
+        assert got[0] == got[1] and got[0]
+        assert left == ([1, 1] if name == "deltas" else [0, 0])
+    with pytest.raises(ValueError):
+        restored_events(spark.readStream.schema("stream string, seq long, line string").parquet(str(tmp_path / "events3")), [], linger_ms=5, slots=3)
+
+
+def test_slots_grow_with_streams():
+    assert [dealt.slots_for(*n) for n in ((0, 0), (10, 10), (90_000, 900_000), (9_000_000, 90_000_000), (1, 10**7))] == [1, 1, 352, 35157, 2442]
