@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from incognita.operators import search
 from incognita.operators.search import holding
 
+PLAIN = search._term_grams
+
 
 def test_terms_beyond_an_automaton(spark):
     rnd = random.Random(7)
@@ -20,3 +22,25 @@ def test_texts_give_out_few_grams_but_those_of_terms(spark):
     needles = spark.createDataFrame([("srv1234.corp",)], "_needle string")
     own = needles.mapInArrow(search._term_grams, "_needle string, _size int, _gram long")
     assert 200 * own.count() <= search._grams_met(texts, own.select("_needle", "_size", "_gram"), ("k",)).count() < 200 * own.count() + 200
+
+
+def test_grams_of_terms_are_dealt_over_tasks(spark, monkeypatch):
+    """Terms that fit one task don't put all their grams into it, and grams don't bring their terms along."""
+    seen = []
+    plain = search._grams_met
+    monkeypatch.setattr(search, "TERM_CHARS", 1000)
+    monkeypatch.setattr(search, "_term_grams", _counted)
+    monkeypatch.setattr(search, "_grams_met", lambda texts, rarest, keys: seen.append(rarest.count()) or plain(texts, rarest, keys))
+    terms = spark.range(400).select(F.concat(F.lit("srv"), F.col("id") + 1000, F.lit(".corp.local")).alias("term"))
+    texts = spark.range(400).select(F.col("id").alias("k"), F.concat(F.lit("at srv"), F.col("id") + 1000, F.lit(".corp.local now")).alias("text"))
+    assert holding(texts, terms, "k", few=0).count() == 400 and seen == [400]
+
+
+def _counted(batches):
+    """The grams, of less than 2,000 characters of terms a task."""
+    chars = 0
+    for batch in batches:
+        assert batch.schema.names == ["_id", "_needle"]
+        chars += sum(map(len, batch.column("_needle").to_pylist()))
+        assert chars < 2000
+        yield from PLAIN(iter([batch]))
