@@ -149,3 +149,13 @@ def test_locale_order(spark):
     rows = spark.createDataFrame([(o, "T", o) for o in ("b", "A", "a", "é", "e", "z", "É", "B")], "original string, entity_type string, surrogate string")
     assert [r.original for r in audit.sorted_by(rows, "original").collect()] == ["a", "A", "b", "B", "e", "é", "É", "z"]
     assert [r.original for r in audit.sorted_by(rows, "original", True).collect()][:2] == ["z", "É"]
+
+
+def test_lines_of_one_file_are_made_by_many_tasks(spark, tmp_path):
+    from incognita.sources.corpus import LINES_A_TASK, tool_lines
+
+    for rows, least in ((LINES_A_TASK - 1, 1), (3 * LINES_A_TASK, 4)):
+        made = spark.range(rows).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "CAST(id % 25 AS INT) AS c_nationkey", "'BUILDING' AS c_mktsegment")
+        made.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "customer.parquet"))
+        lines = tool_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() == least and lines.select("row_id").distinct().count() == rows
