@@ -45,3 +45,15 @@ def test_query_and_sql_agree(spark, tables, name):
 @pytest.mark.parametrize("name", ["vault_build", "vault_collisions"])
 def test_sql_has_all_rounds(name):
     assert f"won{vaults.ATTEMPTS - 1} AS" in ORACLES[name]
+
+
+def test_rates_where_case_is_lost_for_good(spark, tmp_path):
+    """A letter that has no upper case of its own in a URL's path, which surrogates keep, doesn't come back."""
+    made = duckdb.connect()
+    made.execute(f"COPY (SELECT 1::BIGINT AS doc_id, 'see https://shop.de/straße/a~b now and http://ex.com/x–y' AS text) TO '{tmp_path}/documents.parquet'")
+    made.execute(f"COPY (SELECT 1::BIGINT AS page_id, NULL::VARCHAR AS html) TO '{tmp_path}/pages.parquet'")
+    made.execute(f"COPY (SELECT 31::BIGINT AS c_custkey, 'Customer#31' AS c_name, 1 AS c_nationkey, 'AUTOMOBILE' AS c_mktsegment) TO '{tmp_path}/customer.parquet'")
+    made.execute(f"COPY (SELECT 1::BIGINT AS conv_id, 1 AS turn, 'user' AS role, 'hello' AS text) TO '{tmp_path}/conversations.parquet'")
+    assert differences(spark, str(tmp_path), "mangled_restore_rate") == []
+    rates = {r.mangler: (r.n, r.tolerant_ok) for r in QUERIES["mangled_restore_rate"](spark, str(tmp_path)).collect()}
+    assert rates["uppercase"][1] < rates["uppercase"][0] == rates["bold"][1]
