@@ -7,6 +7,10 @@ So that rare windows, which are most of them, need not be shuffled, windows end
 phrase of LEAST occurrences, and words in no pair of that many lead none. Passes before count words, pairs and triples in hashed counters; a counter below LEAST rules out all that share it, one above
 rules out nothing, so no phrase is lost and all counts that are reported are exact. The counters that reach LEAST are sent to the tasks as
 one bit each, in maps whose size is bounded by MOST_BITS whatever the input; a corpus that outgrows them gets longer windows, not other results.
+
+A task gives each distinct window once for all its text, not once a chunk. With more text more phrases reach LEAST, and each of them stands in
+most tasks; if tasks were as many as files have splits, rows would grow with the product of both. Therefore a few splits make one task, as
+long as all cores have some and no task gets more than TASK_BYTES.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +39,9 @@ NO_LANG = "und"
 COUNTER_BYTES, LEAST_BITS, MOST_BITS = (64, 16, 16), 16, 27
 #: Text that is worked on at once inside a task, and counters that are summed at once there.
 CHUNK, COUNTED = 1 << 20, 2_000_000
+#: Distinct windows and bytes of their words that a task holds before it gives them out, rows that it gives at once, tasks for a core at least, and
+#: bytes of text for a task that gathers windows.
+HELD, HELD_BYTES, GIVEN, CORE_TASKS, TASK_BYTES = 1 << 19, 32 << 20, 1 << 15, 2, 256 << 20
 _BREAK, _BLANK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _BLANK[[0x20, 0x09]] = True
@@ -165,11 +173,12 @@ def _bitmap(counters: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _padded_windows(chunk: _Chunk, number: np.ndarray, langs: pa.Array, possible: list[np.ndarray], leads: np.ndarray, longest: int) -> pa.RecordBatch:
-    """Each distinct window of a chunk, and how often it stands there."""
+def _padded_windows(chunk: _Chunk, possible: list[np.ndarray], leads: np.ndarray, longest: int) -> tuple[np.ndarray, list[np.ndarray], pa.Array]:
+    """The words that lead a chunk's windows, the numbers of their windows' first, second, ... words (-1 where padded), and the words by number."""
     ids, words = chunk.ids(np.flatnonzero(possible[0]))
     size = len(ids)
-    columns = [ids]
+    lead = np.flatnonzero(leads)
+    columns = [ids[lead]]
     for k in range(1, longest):
         # The phrase of k + 1 words: known to be possible, or else grown by the last words' phrase.
         further = possible[k].copy() if k < len(possible) else np.zeros(size, dtype=bool)
@@ -180,15 +189,57 @@ def _padded_windows(chunk: _Chunk, number: np.ndarray, langs: pa.Array, possible
         column = np.full(size, -1, np.int64)
         place = np.flatnonzero(alive)
         column[place] = ids[place + k]
-        columns.append(column)
-    lead = np.flatnonzero(leads)
-    key = number[chunk.doc[lead]].astype(np.int64)
-    for column in columns:
-        key = np.unique(key * (len(words) + 1) + column[lead] + 1, return_inverse=True)[1]
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    at = lead[first]
-    laid = [words.take(pa.array(c[at], mask=c[at] < 0)).cast(pa.string()) for c in columns]
-    return pa.RecordBatch.from_arrays([langs.take(pa.array(number[chunk.doc[at]])), *laid, pa.array(n.astype(np.int64))], names=["lang", *_columns(longest), "n"])
+        columns.append(column[lead])
+    return lead, columns, words
+
+
+class _Held:
+    """Distinct windows of a task's chunks so far, and how often each stands there; languages and words are numbered for the task."""
+
+    def __init__(self, longest: int, most: int, most_bytes: int, given: int):
+        self.keys, self.most, self.most_bytes, self.given = ["lang", *_columns(longest)], most, most_bytes, given
+        self._clear()
+
+    def _clear(self) -> None:
+        self.langs: dict[bytes, int] = {}
+        self.words: dict[bytes, int] = {}
+        self.bytes = self.rows = self.merged = 0
+        self.tables: list[pa.Table] = []
+
+    def _numbered(self, names: dict[bytes, int], new: pa.Array) -> np.ndarray:
+        """The task's numbers of a chunk's names, and -1 at the end, where -1 finds it."""
+        known = len(names)
+        out = [names.setdefault(x, len(names)) for x in new.cast(pa.large_binary()).to_pylist()]
+        self.bytes += sum(map(len, list(names)[known:]))
+        return np.array([*out, -1], np.int32)
+
+    def _sum(self, tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(self.keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*self.keys, "n"])
+
+    def add(self, number: np.ndarray, langs: pa.Array, columns: list[np.ndarray], words: pa.Array) -> Iterator[pa.RecordBatch]:
+        """Takes windows by their languages' and words' numbers in the chunk; gives out all that are held when they are too many."""
+        lang, word = self._numbered(self.langs, langs), self._numbered(self.words, words)
+        new = [lang[number], *(word[c] for c in columns), np.ones(len(number), np.int64)]
+        self.tables.append(self._sum([pa.table(dict(zip([*self.keys, "n"], new, strict=True)))]))
+        self.rows += self.tables[-1].num_rows
+        if self.rows >= max(self.most // 4, 2 * self.merged) or self.bytes >= self.most_bytes:
+            self.tables = [self._sum(self.tables)]
+            self.rows = self.merged = self.tables[0].num_rows
+            if self.rows >= self.most or self.bytes >= self.most_bytes:
+                yield from self.give()
+
+    def give(self) -> Iterator[pa.RecordBatch]:
+        if self.tables:
+            summed = self._sum(self.tables).combine_chunks()
+            names = [pa.array(list(x), pa.binary()) for x in (self.langs, self.words)]
+            plain = pc.CastOptions(pa.string(), allow_invalid_utf8=True)
+            for rows in summed.to_batches(self.given):
+                laid = []
+                for k, numbers in enumerate(rows.columns[:-1]):
+                    at = numbers.to_numpy()
+                    laid.append(pc.cast(names[k > 0].take(pa.array(at, mask=at < 0)), options=plain))
+                yield pa.RecordBatch.from_arrays([*laid, rows.columns[-1]], names=[*self.keys, "n"])
+        self._clear()
 
 
 def _columns(longest: int) -> list[str]:
@@ -205,7 +256,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, l
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     bits = [_bits(total, share) for share in COUNTER_BYTES[:longest]]
-    share, size = docs.sparkSession.sparkContext.broadcast, CHUNK
+    share, size, limits = docs.sparkSession.sparkContext.broadcast, CHUNK, (HELD, HELD_BYTES, GIVEN)
     maps: list = []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,15 +285,19 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, l
     delete_tables(docs.sparkSession, paths[1:])
 
     def lay_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(longest, *limits)
         for batch in batches:
-            for chunk, number, langs in _chunked(batch, 2 * size):
+            for chunk, number, langs in _chunked(batch, size):
                 possible = chunk.possible([m.value for m in maps], bits)
                 leads = possible[0] & _has(paired.value, _bucket(chunk.hashes, bits[0])) if len(maps) > 2 else possible[0]
-                yield _padded_windows(chunk, number, langs, possible, leads, longest)
+                lead, columns, words = _padded_windows(chunk, possible, leads, longest)
+                yield from held.add(number[chunk.doc[lead]], langs, columns, words)
+        yield from held.give()
         give_back()
 
     names = _columns(longest)
-    windows = texts.mapInArrow(lay_windows, f"lang string, {', '.join(f'{w} string' for w in names)}, n long")
+    tasks = max(CORE_TASKS * docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    windows = texts.coalesce(tasks).mapInArrow(lay_windows, f"lang string, {', '.join(f'{w} string' for w in names)}, n long")
     summed = windows.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # A row of level k has the first k words of its windows; where the k-th is padding, shorter levels have the phrase.
     level = F.lit(longest) - F.length(F.regexp_replace(F.bin("level"), "0", ""))

@@ -60,6 +60,43 @@ def test_against_brute_force(spark, monkeypatch, seed, top, longest, least, insi
     assert sorted(map(tuple, got.collect())) == want
 
 
+def given_windows(monkeypatch, docs):
+    """Result of a small run, and the windows that its tasks gave to the rollup."""
+    frames, rollup = [], type(docs).rollup
+    with monkeypatch.context() as patch:
+        patch.setattr(type(docs), "rollup", lambda self, *cols: (frames.append(self), rollup(self, *cols))[1])
+        rows = collocations(docs, 2000, 5, 10, 100).collect()
+    return sorted(map(tuple, rows)), frames[0]
+
+
+def test_windows_are_given_once_a_task(spark, monkeypatch):
+    """Neither chunks nor splits multiply them: before, every chunk of every split gave its own."""
+    monkeypatch.setattr(co, "CHUNK", 500)
+    rows = cases(6, 600)
+    schema, tasks = "lang string, text string", co.CORE_TASKS * spark.sparkContext.defaultParallelism
+    got, windows = given_windows(monkeypatch, spark.createDataFrame(rows, schema).repartition(8 * tasks))
+    assert got == brute(rows, 2000, 5, 10, 100)
+    assert windows.rdd.getNumPartitions() == tasks
+    kinds = windows.drop("n").distinct().count()
+    assert windows.groupBy(*windows.columns[:-1], F.spark_partition_id()).count().where("count > 1").count() == 0
+    assert windows.count() <= tasks * kinds
+    _, one = given_windows(monkeypatch, spark.createDataFrame(rows, schema).repartition(1))
+    assert one.count() == kinds
+
+
+@pytest.mark.parametrize("held,held_bytes", [(40, 1 << 20), (1 << 20, 60)])
+def test_windows_beyond_what_a_task_holds(spark, monkeypatch, held, held_bytes):
+    """They are given out early, none lost and none twice."""
+    monkeypatch.setattr(co, "CHUNK", 500)
+    monkeypatch.setattr(co, "HELD", held)
+    monkeypatch.setattr(co, "HELD_BYTES", held_bytes)
+    monkeypatch.setattr(co, "GIVEN", 7)
+    rows = cases(7, 400)
+    got, windows = given_windows(monkeypatch, spark.createDataFrame(rows, "lang string, text string").repartition(1))
+    assert got == brute(rows, 2000, 5, 10, 100)
+    assert windows.count() > windows.drop("n").distinct().count()
+
+
 def test_scores_beyond_64_bits(spark):
     rnd = random.Random(5)
     rows = []
